@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import sharding
+from tidewright.llm import bpe, sharding
 from tidewright.llm.tables import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of every document's ids and of the text decoded from them."""
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
+    return coded.select("doc_id", *bpe.digests(coded))
+
+
 def op7_shard_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes, equal texts together."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
@@ -16,6 +29,7 @@ def op7_shard_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe_prefix_dp": op1_bpe_prefix_dp,
     "op7_shard_differencing": op7_shard_differencing,
 }
 
