@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, sharding
+from tidewright.llm import bpe, sharding, warc
 from tidewright.llm.tables import table
 
 
@@ -28,9 +28,28 @@ def op7_shard_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written archives of all pages hold, read back."""
+    found = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_bpe_prefix_dp": op1_bpe_prefix_dp,
     "op7_shard_differencing": op7_shard_differencing,
+    "op8_warc_dictionary": op8_warc_dictionary,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc_dictionary": """
+        WITH p AS (
+          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), g AS (
+          SELECT payload_digest, max(page_id) AS target FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+        )
+        SELECT page_id, payload_bytes, p.payload_digest,
+               CASE WHEN target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN target <> page_id THEN target END AS refers_to
+        FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000
+    """,
+}
