@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, sharding, warc
+from tidewright.llm import bpe, langid, sharding, warc
 from tidewright.llm.tables import table
 
 
@@ -22,6 +22,13 @@ def op1_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *bpe.digests(coded))
 
 
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    sample = langid.fit(docs.filter(F.coalesce(~langid.held_out(), F.lit(False))))
+    return langid.classify(docs, sample, keep=[F.col("doc_id"), F.coalesce(langid.held_out(), F.lit(False)).alias("held_out")])
+
+
 def op7_shard_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes, equal texts together."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
@@ -36,6 +43,7 @@ def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_prefix_dp": op1_bpe_prefix_dp,
+    "op5_cross_parsing": op5_cross_parsing,
     "op7_shard_differencing": op7_shard_differencing,
     "op8_warc_dictionary": op8_warc_dictionary,
 }
