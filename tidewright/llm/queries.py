@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, langid, sharding, warc
+from tidewright.llm import bpe, langid, ngram_join, sharding, warc
 from tidewright.llm.tables import table
 
 
@@ -22,6 +22,12 @@ def op1_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *bpe.digests(coded))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 3-word shingle Jaccard of 0.9 or more."""
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +49,7 @@ def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_prefix_dp": op1_bpe_prefix_dp,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_cross_parsing": op5_cross_parsing,
     "op7_shard_differencing": op7_shard_differencing,
     "op8_warc_dictionary": op8_warc_dictionary,
