@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, langid, ngram_join, sharding, warc
+from tidewright.llm import bpe, langid, ngram_join, sharding, substring_dedup, warc
 from tidewright.llm.tables import table
 
 
@@ -35,6 +35,12 @@ def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, sample, keep=[F.col("doc_id"), F.coalesce(langid.held_out(), F.lit(False)).alias("held_out")])
 
 
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without 20-word windows that start earlier."""
+    found = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"), width=20)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_shard_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes, equal texts together."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
@@ -51,11 +57,32 @@ QUERIES = {
     "op1_bpe_prefix_dp": op1_bpe_prefix_dp,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_cross_parsing": op5_cross_parsing,
+    "op6_recompression": op6_recompression,
     "op7_shard_differencing": op7_shard_differencing,
     "op8_warc_dictionary": op8_warc_dictionary,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_recompression": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), v AS (
+          SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS h
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)
+        ), r AS (
+          SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM v) WHERE k > 1
+        ), gone AS (
+          SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r
+        ), p AS (
+          SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d WHERE len(w) > 0
+        ), k AS (
+          SELECT p.doc_id, count(gone.p) AS n_removed,
+                 coalesce(string_agg(word, ' ' ORDER BY p.p) FILTER (gone.p IS NULL), '') AS kept
+          FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.p = gone.p GROUP BY 1
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
     "op8_warc_dictionary": """
         WITH p AS (
           SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
