@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, langid, ngram_join, sharding, substring_dedup, warc
+from tidewright.llm import bpe, langid, line_dedup, ngram_join, sharding, substring_dedup, warc
 from tidewright.llm.tables import table
 
 
@@ -28,6 +28,12 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left of every document without runs of three lines that stand earlier."""
+    found = line_dedup.delete_repeated_runs(table(spark, sf_dir, "documents"), min_lines=3)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -56,6 +62,7 @@ def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_prefix_dp": op1_bpe_prefix_dp,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_line_runs": op4_line_runs,
     "op5_cross_parsing": op5_cross_parsing,
     "op6_recompression": op6_recompression,
     "op7_shard_differencing": op7_shard_differencing,
@@ -63,6 +70,28 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_runs": """
+        WITH d AS (
+          SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS w FROM documents
+        ), v AS (
+          SELECT doc_id, s, md5(array_to_string(w[s:s + 2], chr(10))) AS h
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) >= 3)
+        ), r AS (
+          SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM v) WHERE k > 1
+        ), gone AS (
+          SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS p FROM r
+        ), p AS (
+          SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS line FROM d WHERE len(w) > 0
+        ), k AS (
+          SELECT p.doc_id, count(gone.p) AS n_removed, count(gone.p) - count(before.p) AS n_runs,
+                 coalesce(string_agg(line, chr(10) ORDER BY p.p) FILTER (gone.p IS NULL), '') AS kept
+          FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.p = gone.p
+          LEFT JOIN gone AS before ON gone.doc_id = before.doc_id AND gone.p = before.p + 1 GROUP BY 1
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+               CASE WHEN text IS NOT NULL THEN sha256(kept) END AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
     "op6_recompression": r"""
         WITH d AS (
           SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -131,7 +131,7 @@ def _windows(joined: DataFrame, width: int) -> DataFrame:
     return joined.select("id", "packed", "found").mapInArrow(run, f"name long, id {kind}, start int")
 
 
-def _later(windows: DataFrame) -> DataFrame:
+def later_places(windows: DataFrame) -> DataFrame:
     """(id, found): 8 bytes for each window that also starts earlier, start and 16 bits of its name."""
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -206,7 +206,7 @@ def _cut(joined: DataFrame, width: int) -> DataFrame:
     return joined.select("id", "packed", "found").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept binary")
 
 
-def _meet(packed: DataFrame, found: DataFrame) -> DataFrame:
+def meet_places(packed: DataFrame, found: DataFrame) -> DataFrame:
     lists = found.groupBy(F.col("id").alias("at")).agg(F.collect_list("found").alias("found"))
     return packed.join(lists, F.col("id").eqNullSafe(F.col("at")), "left").drop("at")
 
@@ -216,5 +216,5 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     packed = packed_texts(rows)
     places = _met_twice(_symbols(rows, width))
-    later = _later(_windows(_meet(packed, places), width))
-    return _cut(_meet(packed, later), width)
+    later = later_places(_windows(meet_places(packed, places), width))
+    return _cut(meet_places(packed, later), width)
