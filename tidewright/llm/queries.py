@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, langid, line_dedup, ngram_join, sharding, substring_dedup, warc
+from tidewright.llm import bpe, decontamination, langid, line_dedup, ngram_join, sharding, substring_dedup, warc
 from tidewright.llm.tables import table
 
 
@@ -59,6 +59,12 @@ def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that it holds within a fifth of the item's words edited."""
+    found = decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 QUERIES = {
     "op1_bpe_prefix_dp": op1_bpe_prefix_dp,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -67,6 +73,7 @@ QUERIES = {
     "op6_recompression": op6_recompression,
     "op7_shard_differencing": op7_shard_differencing,
     "op8_warc_dictionary": op8_warc_dictionary,
+    "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
 ORACLES: dict[str, str] = {
