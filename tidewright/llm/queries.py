@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, decontamination, langid, line_dedup, ngram_join, sharding, substring_dedup, warc
+from tidewright.llm import bpe, decontamination, langid, line_dedup, ngram_join, pii, sharding, substring_dedup, warc
 from tidewright.llm.tables import table
 
 
@@ -59,6 +59,15 @@ def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: what the patterns find, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_spans(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    every = F.concat("base", "added")
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(every).alias("spans"))
+
+
 def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and benchmark item that it holds within a fifth of the item's words edited."""
     found = decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -73,6 +82,7 @@ QUERIES = {
     "op6_recompression": op6_recompression,
     "op7_shard_differencing": op7_shard_differencing,
     "op8_warc_dictionary": op8_warc_dictionary,
+    "op9_skip_chain_crf": op9_skip_chain_crf,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
