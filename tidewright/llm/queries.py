@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, decontamination, langid, line_dedup, ngram_join, pii, sharding, substring_dedup, warc
+from tidewright.llm import ann, bpe, decontamination, langid, line_dedup, ngram_join, pii, sharding, substring_dedup, warc
 from tidewright.llm.tables import table
 
 
@@ -22,6 +22,11 @@ def op1_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *bpe.digests(coded))
 
 
+def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector, by inner product."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under 3-word shingle Jaccard of 0.9 or more."""
     found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
@@ -76,6 +81,7 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_prefix_dp": op1_bpe_prefix_dp,
+    "op2_posting_lists": op2_posting_lists,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_line_runs": op4_line_runs,
     "op5_cross_parsing": op5_cross_parsing,
