@@ -226,17 +226,21 @@ class Items:
 
 def find_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent_edits: int = PERCENT_EDITS, recall: float = RECALL) -> DataFrame:
     """(id, item, n_edits, start_word) for each row of ``docs`` and item that it holds."""
-    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kinds = f"id {rows.schema['id'].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, n_edits int, start_word long"
+    found = [_search_block(rows, block, kinds, percent_edits, recall) for block in _blocks(benchmark, item_col, item_text_col)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], kinds)
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple]]:
+    """The items, in blocks of about BLOCK_BYTES."""
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(total) // BLOCK_BYTES)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = f"id {rows.schema['id'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, n_edits int, start_word long"
-    found = []
     for number in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number).distinct().collect()
-        found.append(_search_block(rows, sorted((r["item"], r["text"]) for r in part), kinds, percent_edits, recall))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kinds)
+        if part:
+            yield sorted((r["item"], r["text"]) for r in part)
 
 
 def _search_block(rows: DataFrame, block: list[tuple], kinds: str, percent: int, recall: float) -> DataFrame:
@@ -250,3 +254,24 @@ def _search_block(rows: DataFrame, block: list[tuple], kinds: str, percent: int,
 
     items_kind = pa.string() if "item string" in kinds else pa.int64()
     return rows.mapInArrow(run, kinds)
+
+
+def drop_holders(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent_edits: int = PERCENT_EDITS, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item; a pass over ``docs`` for each block of items."""
+    for block in _blocks(benchmark, item_col, item_text_col):
+        docs = _without(docs, block, text_col, percent_edits, recall)
+    return docs
+
+
+def _without(docs: DataFrame, block: list[tuple], text_col: str, percent: int, recall: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = kept(("decontamination", hash(tuple(shared.value)), percent, recall), lambda: Items(shared.value, percent, recall))
+        for batch in batches:
+            stay = np.ones(batch.num_rows, bool)
+            stay[[x[0] for x in index.search(batch.column(place).to_pylist())]] = False
+            yield batch.filter(pa.array(stay))
+
+    return docs.mapInArrow(run, docs.schema)
