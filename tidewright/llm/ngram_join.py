@@ -51,7 +51,11 @@ from tidewright.llm.scratch import Scratch
 #: Counters of the frequency table (a power of two): 4 MB, whatever the input.
 SKETCH = 1 << 20
 SLICES = 64
-MOST_MATCHES = 4
+MOST_MATCHES = 8
+#: Look-ups that any prefix shingle is expected to cost, as texts share some by chance.
+CHANCE = 1.0
+#: A leader must share this part of a document's prefix shingles.
+LEADER_SHARE = 0.25
 #: Cost of verifying a candidate, in index look-ups.
 VERIFY_COST = 50.0
 
@@ -133,7 +137,7 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, width: int, percent: int
                 first = n - least_overlap(n, percent)
                 most = MOST_MATCHES if n >= 20 else 1
                 order = np.lexsort((found, often))[: first + most]
-                weight = np.maximum(often[order] - floor, 0.0)
+                weight = CHANCE + np.maximum(often[order] - floor, 0.0)
                 look_ups = np.cumsum(weight)[first : first + most]
                 cost = look_ups + VERIFY_COST * look_ups / np.arange(1, len(look_ups) + 1)
                 ids.append(number)
@@ -208,7 +212,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     heads = members.filter("n > 0 and id = class").select("id")
 
     prefixes = scratch.save(_prefixes(rows, frequencies, width, percent).join(heads, "id", "left_semi").dropDuplicates(["id"]), "prefixes")
-    exploded = prefixes.select("id", "n", "matches", F.posexplode("tokens").alias("at", "token"))
+    exploded = prefixes.select("id", "n", "matches", F.size("tokens").alias("long"), F.posexplode("tokens").alias("at", "token"))
     first = F.col("n") + F.expr(f"(-{percent} * n) div 100")  # n - ceil(percent * n / 100)
     exploded = exploded.withColumn("level", F.greatest(F.lit(1), F.col("at") - first + 1).cast("int")).drop("at")
     shared = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
@@ -216,8 +220,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # Leaders: a linear number of pairs that finds most of the large groups.
     heads_of = posts.groupBy("token").agg(F.min("id").alias("l0"), F.max("id").alias("l1"), F.min_by("id", F.xxhash64("id")).alias("l2"))
-    led = posts.select("token", "id", "n").join(heads_of, "token").select("id", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"l{k}").alias("leader")) for k in range(3)])).alias("x")).select("id", "n", "x.k", "x.leader")
-    best = led.filter("leader <> id").groupBy("id", "k", "leader").agg(F.count(F.lit(1)).alias("c")).groupBy("id", "k").agg(F.max(F.struct(F.col("c"), F.col("leader"))).alias("m"))
+    led = posts.select("token", "id", "long").join(heads_of, "token").select("id", "long", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"l{k}").alias("leader")) for k in range(3)])).alias("x")).select("id", "long", "x.k", "x.leader")
+    best = led.filter("leader <> id").groupBy("id", "k", "leader").agg(F.count(F.lit(1)).alias("c"), F.first("long").alias("long")).filter(F.col("c") >= LEADER_SHARE * F.col("long")).groupBy("id", "k").agg(F.max(F.struct(F.col("c"), F.col("leader"))).alias("m"))
     pairs = best.select(F.greatest("id", "m.leader").alias("a"), F.least("id", "m.leader").alias("b")).distinct()
     packed = packed_texts(rows)
     known = scratch.save(_verified(pairs, packed, width, percent), "led")
