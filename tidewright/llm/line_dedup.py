@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import words
 from tidewright.llm.recompression import Windows
-from tidewright.llm.substring_dedup import later_places, meet_places
+from tidewright.llm.substring_dedup import later_places, meet_places, places_of
 
 MIN_LINES = 3
 
@@ -74,7 +74,7 @@ def _delete(joined: DataFrame, min_lines: int, others: list[str]) -> DataFrame:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             texts = [x and unpacker.decompress(x) for x in batch.column(1).to_pylist()]
-            marks = [np.frombuffer(b"".join(x or ()), np.int64) for x in batch.column(2).to_pylist()]
+            marks = [*places_of(batch.column(2))]
             for a, b in words.groups(texts):
                 lines = [[] if x is None else x.split(b"\n") for x in texts[a:b]]
                 found = Windows(*_lines(texts[a:b]), min_lines, rounds=0)

@@ -2,6 +2,9 @@
 
 A window is ``width`` consecutive words of one document. Spark rounds:
 
+0. A document whose text another document of smaller id has is a copy: it loses all
+   words, and the steps below leave it out. Copies come from narrow rows (digest
+   and id), counted with map-side combination.
 1. Every document is recompressed (see ``recompression``); symbols are dealt by
    name, sorted, and those met once are dropped as the sorted rows stream by.
 2. Documents meet the codes of their repeated symbols. A window can only be
@@ -25,6 +28,7 @@ that comes first; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,52 +42,56 @@ from tidewright.llm.recompression import Windows
 
 #: Symbol names are dealt with so many bits; a clash makes a candidate, never a result.
 NAME_BITS = 48
-#: Rows that a task gathers before it groups them by document.
-HELD = 1 << 18
+
+
+def places_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each row's list of places (null: none)."""
+    flat, ends = np.asarray(column.values), np.asarray(column.offsets)
+    return (flat[a:b] if ok else flat[:0] for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), np.asarray(column.is_valid()).tolist(), strict=True))
 
 
 def _utf8(column: pa.Array) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-def _symbols(rows: DataFrame, width: int) -> DataFrame:
+def _copies(rows: DataFrame) -> DataFrame:
+    """(of, digests): the digests of texts of an id that an earlier id has too."""
+    own = rows.select("id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
+    first = own.groupBy("digest").agg(F.min(F.struct("id")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = own.join(first, "digest").filter(~F.col("id").eqNullSafe(F.col("least.id")))
+    return later.groupBy(F.col("id").alias("of")).agg(F.collect_set("digest").alias("digests"))
+
+
+def _symbols(base: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _utf8(batch.column(1))
+        for ids, texts, _ in _unpacked(batches, False):
             for a, b in words.groups(texts):
                 doc, code, name = Windows(*words.word_hashes(texts[a:b]), width).symbols()
-                ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array((name >> np.uint64(64 - NAME_BITS)).astype(np.int64)), ids, pa.array(code.astype(np.int64))], ["name", "id", "place"])
+                own = ids.slice(a, b - a).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([pa.array((name >> np.uint64(64 - NAME_BITS)).astype(np.int64)), own, pa.array(code.astype(np.int64))], ["name", "id", "place"])
 
-    return rows.mapInArrow(run, f"name long, id {rows.schema['id'].dataType.simpleString()}, place long")
+    return base.select("id", "packed", "digests").mapInArrow(run, f"name long, id {base.schema['id'].dataType.simpleString()}, place long")
 
 
-def _by_document(ids: pa.Array, values: np.ndarray) -> pa.RecordBatch:
-    """One row for each id with its values as bytes."""
-    coded = ids.dictionary_encode()
-    number = np.where(np.asarray(coded.indices.is_null()), -1, np.asarray(coded.indices.fill_null(-1)))
-    order = np.argsort(number, kind="stable")
-    number, values = number[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, int)
-    ends = np.append(first[1:], len(number))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(order[first])), pa.array([values[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], ["id", "found"])
+def _unpacked(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[tuple[pa.Array, list[bytes], list[np.ndarray]]]:
+    """Ids, texts and places of rows; the texts of copies are empty and ``None`` stands for their places."""
+    import zstandard
 
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts = [unpacker.decompress(x) for x in batch.column(1).to_pylist()]
+        copies = [bool(d) and hashlib.md5(t).digest() in d for t, d in zip(texts, batch.column(2).to_pylist(), strict=True)]
+        lists = list(places_of(batch.column(3))) if places else [np.zeros(0, np.int64)] * len(texts)
+        yield batch.column(0), [b"" if c else t for t, c in zip(texts, copies, strict=True)] if not places else texts, [None if c else x for x, c in zip(lists, copies, strict=True)]
 
-def _gathered(parts: Iterator[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for ids, values in parts:
-        if len(values):
-            held.append((ids, values))
-            size += len(values)
-        if size >= HELD:
-            yield _by_document(pa.concat_arrays([x for x, _ in held]), np.concatenate([v for _, v in held]))
-            held, size = [], 0
-    if held:
-        yield _by_document(pa.concat_arrays([x for x, _ in held]), np.concatenate([v for _, v in held]))
+
+def _placed(parts: Iterator[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for ids, places in parts:
+        yield pa.RecordBatch.from_arrays([ids, pa.array(places.astype(np.int64))], ["id", "place"])
 
 
 def _met_twice(symbols: DataFrame) -> DataFrame:
-    """(id, found): the codes (8 bytes each) of a document's symbols whose names occur again."""
+    """(id, place): the codes of a document's symbols whose names occur again."""
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
         last = None  # name, id and place of the last row, and whether it was handed on
@@ -103,36 +111,32 @@ def _met_twice(symbols: DataFrame) -> DataFrame:
             last = (name[-1], ids.slice(len(name) - 1), place[-1:], bool(take[-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(repeated(batches))
+        yield from _placed(repeated(batches))
 
     kind = symbols.schema["id"].dataType.simpleString()
-    return symbols.repartition("name").sortWithinPartitions("name").mapInArrow(run, f"id {kind}, found binary")
+    return symbols.repartition("name").sortWithinPartitions("name").mapInArrow(run, f"id {kind}, place long")
 
 
 def _windows(joined: DataFrame, width: int) -> DataFrame:
     """(name, id, start) of all windows that are known by repeated symbols only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = [unpacker.decompress(x) for x in batch.column(1).to_pylist()]
-            codes = [np.frombuffer(b"".join(x or ()), np.int64) for x in batch.column(2).to_pylist()]
+        for ids, texts, codes in _unpacked(batches, True):
+            texts = [b"" if x is None else t for t, x in zip(texts, codes, strict=True)]
             for a, b in words.groups(texts):
-                known = np.concatenate([np.zeros(0, np.int64), *[x + (i << 35) for i, x in enumerate(codes[a:b]) if len(x)]])
+                known = np.concatenate([np.zeros(0, np.int64), *[x + (i << 35) for i, x in enumerate(codes[a:b]) if x is not None and len(x)]])
                 found = Windows(*words.word_hashes(texts[a:b]), width)
                 which = found.candidates(known)
                 doc = np.searchsorted(found.first, which, "right") - 1
-                ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(found.hashes(which).view(np.int64)), ids, pa.array((which - found.first[doc]).astype(np.int32))], ["name", "id", "start"])
+                own = ids.slice(a, b - a).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([pa.array(found.hashes(which).view(np.int64)), own, pa.array((which - found.first[doc]).astype(np.int32))], ["name", "id", "start"])
 
     kind = joined.schema["id"].dataType.simpleString()
-    return joined.select("id", "packed", "found").mapInArrow(run, f"name long, id {kind}, start int")
+    return joined.select("id", "packed", "digests", "found").mapInArrow(run, f"name long, id {kind}, start int")
 
 
 def later_places(windows: DataFrame) -> DataFrame:
-    """(id, found): 8 bytes for each window that also starts earlier, start and 16 bits of its name."""
+    """(id, place): each window that also starts earlier, as its start and 16 bits of its name."""
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
         last = None  # name, id and start of the first place of the last name
@@ -157,30 +161,25 @@ def later_places(windows: DataFrame) -> DataFrame:
             yield ids.filter(pa.array(later)), (start << 16 | name & 0xFFFF)[later]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(repeats(batches))
+        yield from _placed(repeats(batches))
 
     kind = windows.schema["id"].dataType.simpleString()
-    return windows.repartition("name").sortWithinPartitions("name", "id", "start").mapInArrow(run, f"id {kind}, found binary")
+    return windows.repartition("name").sortWithinPartitions("name", "id", "start").mapInArrow(run, f"id {kind}, place long")
 
 
 def _cut(joined: DataFrame, width: int) -> DataFrame:
     """(id, n_words, n_removed, kept) for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = [unpacker.decompress(x) for x in batch.column(1).to_pylist()]
-            marks = [np.frombuffer(b"".join(x or ()), np.int64) for x in batch.column(2).to_pylist()]
+        for ids, texts, marks in _unpacked(batches, True):
             for a, b in words.groups(texts):
                 data = b" ".join(texts[a:b])
                 starts, ends = words.word_spans(data)
                 hashes, counts = words.word_hashes(texts[a:b])
                 found = Windows(hashes, counts, width)
-                size = np.array([len(x) for x in marks[a:b]])
-                doc = np.repeat(np.arange(b - a), size)
-                mark = np.concatenate([np.zeros(0, np.int64), *marks[a:b]])
+                own = [np.zeros(0, np.int64) if x is None else x for x in marks[a:b]]
+                doc = np.repeat(np.arange(b - a), [len(x) for x in own])
+                mark = np.concatenate([np.zeros(0, np.int64), *own])
                 start = mark >> 16
                 fits = start < found.per_doc[doc]
                 which = (found.first[doc] + start)[fits]
@@ -193,28 +192,30 @@ def _cut(joined: DataFrame, width: int) -> DataFrame:
                 removed, kept, at = [], [], 0
                 for i, n in enumerate(counts.tolist()):
                     out = gone[found.begin[i] : found.begin[i] + n]
-                    removed.append(int(out.sum()))
-                    if removed[-1]:
+                    removed.append(n if marks[a + i] is None and n >= width else int(out.sum()))
+                    if removed[-1] == n:
+                        kept.append(b"")
+                    elif removed[-1]:
                         stay = np.flatnonzero(~out) + at
                         kept.append(b" ".join(data[x:y] for x, y in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)))
                     else:
                         kept.append(b" ".join(texts[a + i].split()))
                     at += n
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_words", "n_removed", "kept"])
 
     kind = joined.schema["id"].dataType.simpleString()
-    return joined.select("id", "packed", "found").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept binary")
+    return joined.select("id", "packed", "digests", "found").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept binary")
 
 
 def meet_places(packed: DataFrame, found: DataFrame) -> DataFrame:
-    lists = found.groupBy(F.col("id").alias("at")).agg(F.collect_list("found").alias("found"))
+    lists = found.groupBy(F.col("id").alias("at")).agg(F.collect_list("place").alias("found"))
     return packed.join(lists, F.col("id").eqNullSafe(F.col("at")), "left").drop("at")
 
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
     """(id, n_words, n_removed, kept) for each row; ``kept`` is UTF-8, words joined by one space."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    packed = packed_texts(rows)
-    places = _met_twice(_symbols(rows, width))
-    later = later_places(_windows(meet_places(packed, places), width))
-    return _cut(meet_places(packed, later), width)
+    base = packed_texts(rows).join(_copies(rows), F.col("id").eqNullSafe(F.col("of")), "left").drop("of")
+    places = _met_twice(_symbols(base, width))
+    later = later_places(_windows(meet_places(base, places), width))
+    return _cut(meet_places(base, later), width)
