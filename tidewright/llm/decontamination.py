@@ -65,15 +65,16 @@ def normal_words(texts: list[str | None]) -> list[bytes]:
     return found
 
 
-def embed(flat: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """The walk's string (a row of ``steps`` words) for each ``flat[start:end]``; 0 past the end."""
-    at = start.astype(np.int64).copy()
-    out = np.zeros((len(start), steps), np.uint64)
-    most = max(len(flat) - 1, 0)
+def embed(flat: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int) -> np.ndarray:
+    """The strings (walks x sequences x ``steps`` words) of all walks over each ``flat[start:end]``; 0 past the end."""
+    at = np.repeat(start.astype(np.int64)[None], WALKS, 0)
+    out = np.zeros((WALKS, len(start), steps), np.uint64)
+    flat = flat if len(flat) else np.zeros(1, np.uint64)
+    walk = (np.arange(WALKS, dtype=np.uint64) << np.uint64(32))[:, None]
     for j in range(steps):
-        word = np.where(at < end, flat[np.minimum(at, most)], np.uint64(0)) if len(flat) else out[:, j]
-        out[:, j] = word
-        at += (words.mix(word ^ np.uint64((walk << 32 | j) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(1)).astype(np.int64)
+        word = np.where(at < end, flat[np.minimum(at, len(flat) - 1)], np.uint64(0))
+        out[:, :, j] = word
+        at += (words.mix(word ^ (walk | np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)).astype(np.int64)
     return out
 
 
@@ -136,15 +137,13 @@ class Items:
             both = np.concatenate([own, np.array(edited, np.uint64)])
             steps = 3 * len(own)
             a, b = np.array([0, len(own)]), np.array([len(own), len(both)])
-            for walk in range(WALKS):
-                x, y = embed(both, a, b, steps, walk)
-                agree.append(float((x == y).mean()))
+            agree += [float((x == y).mean()) for x, y in embed(both, a, b, steps)]
         p = max(0.05, float(np.quantile(agree, 0.1))) if agree else 1.0
         meets = min(p**STEPS_IN_TABLE, 1 - 1e-9)
         number = max(WALKS, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
         return [(t % WALKS, rng.random(STEPS_IN_TABLE)) for t in range(number)]
 
-    def _table_keys(self, walks: list[np.ndarray], steps: int) -> Iterator[np.ndarray]:
+    def _table_keys(self, walks: np.ndarray, steps: int) -> Iterator[np.ndarray]:
         for walk, places in self.tables:
             seen = walks[walk][:, np.minimum((places * steps).astype(int), steps - 1)]
             yield words.join_hashes(seen[:, 0], seen[:, 1])
@@ -157,12 +156,12 @@ class Items:
             laid = np.concatenate([self.words[k] for k in own])
             at = np.arange(len(own)) * m
             tables = []
-            for key in self._table_keys([embed(laid, at, at + m, steps, w) for w in range(WALKS)], steps):
+            for key in self._table_keys(embed(laid, at, at + m, steps), steps):
                 order = np.argsort(key, kind="stable")
                 tables.append((key[order], own[order]))
             self.keys[m] = tables
         found = set()
-        walks = [embed(flat, start, end, steps, w) for w in range(WALKS)]
+        walks = embed(flat, start, end, steps)
         for key, (sorted_, own) in zip(self._table_keys(walks, steps), self.keys[m], strict=True):
             a, b = np.searchsorted(sorted_, key, "left"), np.searchsorted(sorted_, key, "right")
             hit = np.flatnonzero(b > a)
@@ -177,6 +176,7 @@ class Items:
         """(text, item, edits, first word) of the nearest stretch for each text and item it holds."""
         found: dict[tuple, tuple[int, int]] = {}
         plain = normal_words(texts)
+        verified: dict[tuple, tuple[int, int]] = {}
         for a, b in words.groups(plain):
             flat, counts = words.word_hashes(plain[a:b])
             last = np.cumsum(counts)
@@ -194,9 +194,14 @@ class Items:
                 if not len(place):
                     continue
                 entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                item, diagonal = item_of[entry], np.repeat(place, n) - offset_of[entry]
+                item, offset, place, doc = item_of[entry], offset_of[entry], np.repeat(place, n), np.repeat(doc, n)
+                # A match leaves that many different q-grams of the item.
+                both = doc * len(self.ids) + item
+                pair, grams_met = np.unique(np.unique(both << 32 | offset) >> 32, return_counts=True)
+                enough = (grams_met >= self.need[pair % len(self.ids)])[np.searchsorted(pair, both)]
+                both, diagonal = both[enough], (place - offset)[enough]
                 # Hits on one item in one document, in the order of their diagonals.
-                key = np.sort((np.repeat(doc, n) * len(self.ids) + item) << 32 | (diagonal + (1 << 30)))
+                key = np.sort(both << 32 | (diagonal + (1 << 30)))
                 item = (key >> 32) % len(self.ids)
                 near = 2 * self.edits[item]
                 enough = np.searchsorted(key, key + near, "right") - np.searchsorted(key, key - near, "left") >= self.need[item]
@@ -213,11 +218,16 @@ class Items:
                 for w, k in zip(window.tolist(), item.tolist(), strict=True):
                     d, e = int(doc[w]), int(self.edits[k])
                     low, high = max(int(first[d]), int(start[w]) - e), min(int(last[d]), int(start[w]) + m + e)
-                    if np.array_equal(flat[start[w] : start[w] + m], self.words[k]) and start[w] + m <= last[d]:
-                        edits, at = 0, int(start[w])
-                    else:
-                        edits, at = least_edits(self.words[k].tolist(), flat[low:high].tolist())
-                        at += low
+                    near = flat[low:high]
+                    key = (k, near.tobytes())
+                    if key not in verified:
+                        if len(verified) >= 1 << 14:
+                            verified.clear()
+                        # Each word of the item that the stretch lacks takes an edit.
+                        lacks = int((~np.isin(self.words[k], near)).sum())
+                        verified[key] = least_edits(self.words[k].tolist(), near.tolist()) if lacks <= e else (lacks, 0)
+                    edits, at = verified[key]
+                    at += low
                     if edits <= e:
                         here = (a + d, self.ids[k])
                         found[here] = min(found.get(here, (edits, at - int(first[d]))), (edits, at - int(first[d])))
