@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Words that carry no topic in the short planning list.
 PLANNING_STOP = ("the", "of", "and", "for", "in", "on", "a", "an", "to", "with", "de", "la", "les", "en", "du", "des")
@@ -33,7 +34,7 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("struct<lemma: string, key: string>")
+@F.pandas_udf(StructType([StructField("lemma", StringType()), StructField("key", StringType())]))
 def _lemma(s: pd.Series) -> pd.DataFrame:
     clean = s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip())
     return pd.DataFrame({"lemma": clean.map(lambda x: None if x is None else x[:LEMMA_CHARS]), "key": clean.map(lambda x: None if x is None else x.casefold()[:LEMMA_CHARS])})
@@ -49,7 +50,7 @@ def squeezed(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.translate(_col(c), "_", " ")), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(s: pd.Series) -> pd.Series:
     plain = s.fillna("").map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii").lower())
     return plain.str.replace(r"[^a-z0-9]+", " ", regex=True).str.strip()

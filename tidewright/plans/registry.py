@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewright.plans import ledgers, selecting  # noqa: F401
+from tidewright.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
