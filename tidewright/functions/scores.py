@@ -40,14 +40,16 @@ def lexical_ladder(name: Column, label: Column, stop: tuple[str, ...] = ()) -> C
     words, has = T.tokens(label, least=2, stop=stop), T.tokens(F.translate(name, "_", " "), least=2, stop=stop)
     shared, size = T.shared_words(words, has), F.size(words)
     part = F.least(F.lit(60), 20 + F.floor(40 * shared / size)).cast("int")
-    ladder = (
-        F.when(n == l, F.struct(F.lit(100).alias("score"), F.lit("EXACT_TITLE").alias("reason")))
-        .when(n.startswith(F.concat(l, F.lit(" "))) | n.endswith(F.concat(F.lit(" "), l)), F.struct(F.lit(88), F.lit("TITLE_PHRASE")))
-        .when(n.contains(l), F.struct(F.lit(79), F.lit("PHRASE")))
-        .when((size > 0) & (shared == size), F.struct(F.lit(68), F.lit("ALL_TOKENS")))
-        .when(shared > 0, F.struct(part, F.lit("TOKEN_OVERLAP")))
-    )
-    return ladder.otherwise(F.struct(F.lit(0), F.lit("NO_SIGNAL")))
+    rungs = [
+        (n == l, F.lit(100), "EXACT_TITLE"),
+        (n.startswith(F.concat(l, F.lit(" "))) | n.endswith(F.concat(F.lit(" "), l)), F.lit(88), "TITLE_PHRASE"),
+        (n.contains(l), F.lit(79), "PHRASE"),
+        ((size > 0) & (shared == size), F.lit(68), "ALL_TOKENS"),
+        (shared > 0, part, "TOKEN_OVERLAP"),
+    ]
+    score = F.coalesce(*[F.when(test, value) for test, value, _ in rungs], F.lit(0))
+    reason = F.coalesce(*[F.when(test, name) for test, _, name in rungs], F.lit("NO_SIGNAL"))
+    return F.struct(score.alias("score"), reason.alias("reason"))
 
 
 def category_confidence(depth: Column, reviewed: Column) -> Column:
