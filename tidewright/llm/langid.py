@@ -90,9 +90,12 @@ class CrossParser:
             for state, out in enumerate(step):
                 if out:
                     table[state, list(out)] = list(out.values())
-            table[:, 0] = np.arange(len(step))
+            # A phrase starts with every step out of the root, and with every step that leaves a match.
             root = np.where(table[0] < 0, 0, table[0])
-            table = np.where(table < 0, (root + states) * self.width + _NEW, (table + states) * self.width)
+            starts = table < 0
+            starts[0] = True
+            table = (np.where(table < 0, root, table) + states) * self.width + np.where(starts, _NEW, 0)
+            table[:, 0] = (np.arange(len(step)) + states) * self.width
             tables.append(table.astype(np.int32))
             self.roots.append(states * self.width)
             self.bits.append(np.log2(max(2, length)))
@@ -165,7 +168,7 @@ class CrossParser:
         for a in range(0, len(grid), 4096):
             columns = np.ascontiguousarray(grid[a : a + 4096].T).astype(np.int32)
             state = np.repeat(np.array(self.roots, np.int32)[:, None], columns.shape[1], 1)
-            count = np.ones_like(state)
+            count = np.zeros_like(state)
             for column in columns:
                 state = self.table.take(state + column)
                 count += state >> 30

@@ -60,6 +60,13 @@ LEADER_SHARE = 0.25
 VERIFY_COST = 50.0
 
 
+def _slices(batches: Iterator[pa.RecordBatch], n: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that few texts are held as Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, n):
+            yield batch.slice(i, n)
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [(text or "").encode("utf-8", "surrogatepass").lower() for text in column.to_pylist()]
 
@@ -83,7 +90,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SKETCH, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, keys = [], []
             for found in _sets(_texts(batch.column(1)), width):
                 sizes.append(len(found))
@@ -127,7 +134,7 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, width: int, percent: int
         counts = table.value
         mean = float(counts.mean())
         floor = mean + 3 * mean**0.5
-        for batch in batches:
+        for batch in _slices(batches):
             ids, sizes, chosen, flat = [], [], [], []
             for number, found in zip(batch.column(0).to_pylist(), _sets(_texts(batch.column(1)), width), strict=True):
                 n = len(found)
@@ -186,7 +193,7 @@ def _verified(pairs: DataFrame, packed: DataFrame, width: int, percent: int) ->
                 memo[key] = next(_sets([unpacker.decompress(data).lower()], width))
             return memo[key]
 
-        for batch in batches:
+        for batch in _slices(batches):
             a, b = [], []
             for x, y, px, py in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "pa", "pb")), strict=True):
                 s, t = found(x, px), found(y, py)

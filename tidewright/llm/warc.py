@@ -195,7 +195,7 @@ def export(archives: DataFrame, uri: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with store.open_output_stream(f"{base}/{name}") as out:
+                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                     out.write(content.as_buffer())
                 yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": pa.array([len(content.as_buffer())], pa.int64())})
 
