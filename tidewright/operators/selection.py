@@ -36,7 +36,8 @@ def spread(items: Column, most: int) -> Column:
 
 
 def stratified(df: DataFrame, order: list[Column], item: str, n: int, explore: float = 0.25, tranches: int = 3) -> DataFrame:
-    """The top share of n, and the rest of n from tranches of the remainder by hash, equally many from each."""
+    """The top share of n, and the rest of n from tranches of the remainder by hash, equally many from
+    each; what a short tranche lacks comes from the others in order."""
     ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)
     total = df.count()
     take = min(n, total)
@@ -48,6 +49,9 @@ def stratified(df: DataFrame, order: list[Column], item: str, n: int, explore: f
     others = ranked.filter(F.col("_r") >= top).withColumn("_t", tranche).withColumn("_h", by_hash)
     quota = F.lit(want // tranches) + F.when(F.col("_t") < want % tranches, 1).otherwise(0)
     picked = others.filter(F.col("_h") <= quota).drop("_t", "_h")
+    short = want - sum(min(want // tranches + (i < want % tranches), cut[i + 1] - cut[i]) for i in range(tranches))
+    if short:
+        picked = picked.unionByName(others.filter(F.col("_h") > quota).drop("_t", "_h").orderBy("_r").limit(short))
     return ranked.filter(F.col("_r") < top).unionByName(picked).drop("_r")
 
 
