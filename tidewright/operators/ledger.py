@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.ranking import ranked
+
 # Which state an event leads to, from which states.
 TRANSITIONS = {
     ("PENDING", "queue"): "QUEUED_SELECTION",
@@ -20,13 +22,9 @@ TRANSITIONS = {
 
 
 def numbered(df: DataFrame, order: str, prefix: str, *, start: int = 1, width: int = 6, key: str = "code") -> DataFrame:
-    """Gapless prefixed numbers in an order: offsets of range partitions, so no task sees all rows."""
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = inside.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    number = F.col("_o") + F.col("_i") + start - 1
-    return inside.join(F.broadcast(offsets), "_p").withColumn(key, F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))).drop("_p", "_i", "_o")
+    """Gapless prefixed numbers in an order."""
+    rows = ranked(df, [F.asc(order)], "_n")
+    return rows.withColumn(key, F.concat(F.lit(prefix), F.lpad((F.col("_n") + start - 1).cast("string"), width, "0"))).drop("_n")
 
 
 def folded_state(events: DataFrame, key: str, order: str, event: str, *, initial: str = "PENDING", transitions: dict | None = None) -> DataFrame:

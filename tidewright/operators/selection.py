@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.ranking import ranked
+
 
 def concept_turns(df: DataFrame, concept: str, priority: str, item: str, n: int, pool: int = 10) -> DataFrame:
     """n rows that take turns among concepts, from the top pool x n by priority."""
@@ -38,7 +40,7 @@ def spread(items: Column, most: int) -> Column:
 def stratified(df: DataFrame, order: list[Column], item: str, n: int, explore: float = 0.25, tranches: int = 3) -> DataFrame:
     """The top share of n, and the rest of n from tranches of the remainder by hash, equally many from
     each; what a short tranche lacks comes from the others in order."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)
+    rows = ranked(df, order, "_k").withColumn("_r", F.col("_k") - 1).drop("_k")
     total = df.count()
     take = min(n, total)
     top = int(round(take * (1 - explore)))
@@ -46,13 +48,13 @@ def stratified(df: DataFrame, order: list[Column], item: str, n: int, explore: f
     cut = [rest * i // tranches for i in range(tranches + 1)]
     tranche = F.coalesce(*[F.when(F.col("_r") - top < cut[i + 1], i) for i in range(tranches)])
     by_hash = F.row_number().over(Window.partitionBy("_t").orderBy(F.sha2(F.col(item).cast("string"), 256), F.col(item).cast("string")))
-    others = ranked.filter(F.col("_r") >= top).withColumn("_t", tranche).withColumn("_h", by_hash)
+    others = rows.filter(F.col("_r") >= top).withColumn("_t", tranche).withColumn("_h", by_hash)
     quota = F.lit(want // tranches) + F.when(F.col("_t") < want % tranches, 1).otherwise(0)
     picked = others.filter(F.col("_h") <= quota).drop("_t", "_h")
     short = want - sum(min(want // tranches + (i < want % tranches), cut[i + 1] - cut[i]) for i in range(tranches))
     if short:
         picked = picked.unionByName(others.filter(F.col("_h") > quota).drop("_t", "_h").orderBy("_r").limit(short))
-    return ranked.filter(F.col("_r") < top).unionByName(picked).drop("_r")
+    return rows.filter(F.col("_r") < top).unionByName(picked).drop("_r")
 
 
 def after_cursor(df: DataFrame, order: list[tuple[str, bool]], cursor: tuple | None, n: int) -> DataFrame:
@@ -82,9 +84,9 @@ def complexity_pack(df: DataFrame, order: list[Column], evidence: Column, budget
     cost = 1 + F.least(F.lit(3), F.floor(evidence / 8))
     w = Window.partitionBy(*keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("cost", cost.cast("int")).withColumn("_n", F.row_number().over(w)).withColumn("running_cost", F.sum("cost").over(upto))
+    rows = df.withColumn("cost", cost.cast("int")).withColumn("_n", F.row_number().over(w)).withColumn("running_cost", F.sum("cost").over(upto))
     breaks = ((F.col("_n") > least) & (F.col("running_cost") > budget)) | (F.col("_n") > most)
-    return ranked.withColumn("_x", F.max(breaks.cast("int")).over(upto)).filter("_x = 0").drop("_n", "_x")
+    return rows.withColumn("_x", F.max(breaks.cast("int")).over(upto)).filter("_x = 0").drop("_n", "_x")
 
 
 def budget_skipping(df: DataFrame, key: str, order: list[str], costs: dict[str, float], n: int, firm: str | None = None) -> DataFrame:
@@ -162,18 +164,18 @@ def exploration_order(df: DataFrame, order: list[Column], item: str, share: floa
     """Rows with ``exploring``: the bottom share, re-ordered by hash; column ``turn`` gives the order."""
     n = df.count()
     cut = n - int(n * share)
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    out = ranked.withColumn("exploring", F.col("_r") > cut)
-    again = F.row_number().over(Window.partitionBy("exploring").orderBy(F.when(F.col("exploring"), F.sha2(F.col(item).cast("string"), 256)), "_r"))
-    return out.withColumn("turn", again).drop("_r")
+    out = ranked(df, order, "_r").withColumn("exploring", F.col("_r") > cut)
+    first = out.filter(~F.col("exploring")).withColumn("turn", F.col("_r"))
+    rest = ranked(out.filter("exploring"), [F.sha2(F.col(item).cast("string"), 256), F.col("_r")], "turn")
+    return first.unionByName(rest).drop("_r")
 
 
 def scan_budget(df: DataFrame, anchor: str, order: list[Column], n_rows: str, per_anchor: int, budget: int) -> DataFrame:
     """Anchors in order with the rows each may read of a common budget, capped per anchor."""
     capped = F.least(F.col(n_rows), F.lit(per_anchor))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     granted = F.greatest(F.lit(0), F.least(F.col("_c"), budget - F.col("_before")))
-    return df.withColumn("_c", capped).withColumn("_before", before).withColumn("granted", granted.cast("long")).filter("granted > 0").drop("_c", "_before")
+    rows = ranked(df.withColumn("_c", capped), order, "_k", {"_before": F.col("_c")})
+    return rows.withColumn("granted", granted.cast("long")).filter("granted > 0").drop("_c", "_before", "_k")
 
 
 def small_groups(df: DataFrame, key: str, most: int) -> DataFrame:

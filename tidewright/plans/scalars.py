@@ -49,8 +49,8 @@ WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+'
 SELECT doc_id, CAST(len(list_intersect(a, b)) AS INT) AS shared FROM d, b
 """)
 def x6_shared_words(t: Tables) -> DataFrame:
-    b = t.benchmark.filter("item_id = 3").select(T.tokens("text", pattern="[a-z]+").alias("b"))
-    return t.documents.join(F.broadcast(b)).select("doc_id", T.shared_words(T.tokens("text", pattern="[a-z]+"), F.col("b")).alias("shared"))
+    own = t.benchmark.filter("item_id = 3").select(T.tokens("text", pattern="[a-z]+").alias("b")).first()["b"]
+    return t.documents.select("doc_id", T.shared_words(T.tokens("text", pattern="[a-z]+"), F.array(*map(F.lit, own))).alias("shared"))
 
 
 @query("""

@@ -326,9 +326,9 @@ SELECT c_custkey, c_name, (SELECT count(*) FROM f) AS total FROM f ORDER BY c_cu
 """)
 def f17_search_with_count(t: Tables) -> DataFrame:
     found = t.customer.filter(filters.safe_filter({"q": "1"}, [], {"q": ["c_name"]})).join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
-    total = found.agg(F.count(F.lit(1)).alias("total"))
+    total = found.count()
     page = filters.page(found.select("c_custkey", "c_name"), "c_custkey", ["c_custkey"], limit=40)
-    return page.join(F.broadcast(total))
+    return page.withColumn("total", F.lit(total).cast("long"))
 
 
 @query("""
