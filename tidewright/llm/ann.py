@@ -15,9 +15,11 @@
   ``ratio`` is the least that reaches ``recall`` on the sample, against brute
   force, at fitting time; where the sample is not larger than the lists are
   meant to be, all lists are read and the search is exact.
-* Lists are dealt into blocks of about ``BLOCK_ROWS`` rows and their queries into
-  blocks of about ``BLOCK_QUERIES``; a task scores a block of rows against a block
-  of queries and hands on k rows a query. A vector that a third of all rows hold
+* Lists that are neighbours share a shelf of about ``BLOCK_ROWS`` rows, which is read
+  whole for a query of any of them, each vector once; so a query hands on k rows a
+  shelf, not k rows a list. Shelves that have grown are dealt into blocks of about
+  ``BLOCK_ROWS`` rows and their queries into blocks of about ``BLOCK_QUERIES``; a task
+  scores a block of rows against a block of queries. A vector that a third of all rows hold
   fills many blocks, not one task, and a list is never cut.
 
 Scores are inner products of the original components in double precision,
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.scratch import Scratch
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 SAMPLE_BYTES = 32 << 20
 LIST_ROWS = 256
 MOST_LISTS = 4096
@@ -92,6 +94,8 @@ class Centroids:
         width = max(map(len, links))
         self.graph = np.array([sorted(s) + [a] * (width - len(s)) for a, s in enumerate(links)])
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
+        shelves = min(n, max(1, round(n * LIST_ROWS / BLOCK_ROWS)))
+        self.shelf = _squared(self.centres, _means(self.centres, shelves, rng)).argmin(1)
         self.exact = len(x) <= 2 * LIST_ROWS or n <= 2
         self.ratio = np.inf if self.exact else self._fit_ratio(sample, x, recall, k, rng)
 
@@ -189,20 +193,27 @@ class Centroids:
     def _fit_ratio(self, sample: np.ndarray, x: np.ndarray, recall: float, k: int, rng) -> float:
         """The least ratio that finds ``recall`` of the sample's own neighbours."""
         probe = rng.choice(len(sample), min(400, len(sample)), replace=False)
-        score = sample[probe].astype(float) @ sample.astype(float).T
-        score[np.arange(len(probe)), probe] = -np.inf
-        best = np.argpartition(-score, min(k, len(sample) - 1) - 1, 1)[:, :k]
+        best = []
+        for q in probe.tolist():
+            score = sample @ sample[q]
+            score[q] = -np.inf
+            best.append(np.argpartition(-score, min(k, len(sample) - 1) - 1)[:k])
+        best = np.array(best)
         row, own = self.lists_of(sample)
         homes: list[list[int]] = [[] for _ in sample]
         for r, c in zip(row.tolist(), own.tolist(), strict=True):
             homes[r].append(c)
         far = np.sqrt(_squared(self.aim(sample[probe]), self.centres))
         reach = far / far.min(1, keepdims=True) - 1
+        for c in range(self.shelf.max() + 1):  # a shelf is read with the nearest of its lists
+            own = self.shelf == c
+            if own.any():
+                reach[:, own] = reach[:, own].min(1, keepdims=True)
         needed = np.sort([min(reach[q, c] for c in homes[v]) for q in range(len(probe)) for v in best[q].tolist()])
         return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1e-9
 
 
-def search(table: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.97) -> DataFrame:
+def search(table: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``queries`` holds."""
     spark = table.sparkSession
     scratch = Scratch(spark, "ann")
@@ -230,20 +241,21 @@ def search(table: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_
                 for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                     v = np.asarray(part.column(1).flatten()).reshape(-1, dim)
                     row, own = index.lists_for(v) if asking else index.lists_of(v)
+                    row, own = np.divmod(np.unique(row << 32 | index.shelf[own]), 1 << 32)
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(own.astype(np.int32))], ["id", "v", "list"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(own.astype(np.int32))], ["id", "v", "shelf"])
 
         return run
 
-    dealt = "id long, v array<double>, list int"
+    dealt = "id long, v array<double>, shelf int"
     members = scratch.save(rows.select("id", "v").mapInArrow(deal(False), dealt), "members")
     asks = scratch.save(rows.filter("asks").select("id", "v").mapInArrow(deal(True), dealt), "asks")
-    # One row a list: bounded by MOST_LISTS.
-    sizes = members.groupBy("list").agg(F.count(F.lit(1)).alias("m")).join(asks.groupBy("list").agg(F.count(F.lit(1)).alias("q")), "list")
-    sizes = F.broadcast(sizes.select("list", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb")))
+    # One row a shelf: fewer than MOST_LISTS.
+    sizes = members.groupBy("shelf").agg(F.count(F.lit(1)).alias("m")).join(asks.groupBy("shelf").agg(F.count(F.lit(1)).alias("q")), "shelf")
+    sizes = F.broadcast(sizes.select("shelf", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb")))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = members.join(sizes, "list").withColumn("mi", F.pmod(F.xxhash64("id", "v"), F.col("mb")).cast("int")).withColumn("qi", F.explode(every("qb"))).select("list", "mi", "qi", "id", "v")
-    right = asks.join(sizes, "list").withColumn("qi", F.pmod(F.xxhash64("id", "v"), F.col("qb")).cast("int")).withColumn("mi", F.explode(every("mb"))).select("list", "mi", "qi", "id", "v")
+    left = members.join(sizes, "shelf").withColumn("mi", F.pmod(F.xxhash64("id", "v"), F.col("mb")).cast("int")).withColumn("qi", F.explode(every("qb"))).select("shelf", "mi", "qi", "id", "v")
+    right = asks.join(sizes, "shelf").withColumn("qi", F.pmod(F.xxhash64("id", "v"), F.col("qb")).cast("int")).withColumn("mi", F.explode(every("mb"))).select("shelf", "mi", "qi", "id", "v")
 
     def score(own: pa.Table, asking: pa.Table) -> pa.Table:
         x_id, q_id = np.asarray(own["id"]), np.asarray(asking["id"])
@@ -267,7 +279,7 @@ def search(table: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_
         columns = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(float))})
 
-    keys = ["list", "mi", "qi"]
+    keys = ["shelf", "mi", "qi"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
     once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
