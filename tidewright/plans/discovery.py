@@ -169,7 +169,7 @@ def j21_link_inventory(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey, count(DISTINCT l_orderkey) AS snapshots, count(*) AS representations, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS finished
+SELECT s_suppkey, count(DISTINCT l_orderkey) AS snapshots, count(*) AS representations, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS finished
 FROM supplier JOIN lineitem ON s_suppkey = l_suppkey LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
 """)
 def j22_fan_out_inventory(t: Tables) -> DataFrame:

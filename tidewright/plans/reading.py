@@ -99,7 +99,7 @@ def k1_k2_packs(t: Tables) -> DataFrame:
     return packs.packed(rows, "source", "name", "text").drop("zip")
 
 
-@query("SELECT c_custkey, CAST(count(o_orderkey) AS INT) AS n_orders, coalesce(sum(o_orderkey), 0) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+@query("SELECT c_custkey, CAST(count(o_orderkey) AS INT) AS n_orders, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def k3_k11_nested_export(t: Tables) -> DataFrame:
     orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderpriority")
     out = packs.nested(t.customer.select("c_custkey"), "c_custkey", {"orders": (orders, ["o_orderkey", "o_orderpriority"])})

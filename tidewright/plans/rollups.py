@@ -10,7 +10,7 @@ from tidewright.plans.base import Tables, query
 
 
 @query("""
-SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS seed_count, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS links, sum(CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END) AS shared FROM events GROUP BY 1, 2
+SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS seed_count, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS links, CAST(sum(CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS shared FROM events GROUP BY 1, 2
 """)
 def a1_evidence_rollup(t: Tables) -> DataFrame:
     e = t.events.select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id", F.concat(F.lit("k"), F.col("event_id") % 3).alias("kind"))
@@ -54,7 +54,7 @@ def a8_multi_valued(t: Tables) -> DataFrame:
     return aggregates.multi_valued(t.orders, ["o_custkey", "o_orderpriority"])
 
 
-@query("SELECT lang, count(*) AS rows, sum(n_chars) AS chars, sum(length(text) - length(replace(text, chr(10), ''))) AS line_ends, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
+@query("SELECT lang, count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS line_ends, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
 def a9_language_totals(t: Tables) -> DataFrame:
     ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"), F.sum(ends).alias("line_ends"), F.countDistinct("source").alias("sources"))
@@ -144,7 +144,7 @@ def a20_vocabulary_statistics(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT k AS property, sum(n) AS statements FROM (SELECT 'flag_' || l_returnflag AS k, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 'status_' || l_linestatus, count(*) FROM lineitem GROUP BY 1) GROUP BY 1
+SELECT k AS property, CAST(sum(n) AS BIGINT) AS statements FROM (SELECT 'flag_' || l_returnflag AS k, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 'status_' || l_linestatus, count(*) FROM lineitem GROUP BY 1) GROUP BY 1
 """)
 def a21_property_tallies(t: Tables) -> DataFrame:
     props = F.create_map(F.concat(F.lit("flag_"), "l_returnflag"), F.lit(1), F.concat(F.lit("status_"), "l_linestatus"), F.lit(1))
