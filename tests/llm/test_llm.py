@@ -160,6 +160,23 @@ def test_ngram_join_equals_brute_force(spark, width, percent):
     assert found == brute_components(docs, width, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_ngram_join_links_short_sets_to_longer_ones(spark, percent):
+    rng = random.Random(percent)
+    docs = []
+    for k in range(40):  # pairs of 20-23 and 16-19 words amid copies of their template that link with nothing
+        template = [f"t{k}x{i}" for i in range(23)]
+        large = rng.randrange(20, 24 if percent == 80 else 22)
+        small = rng.randrange(-(-percent * large // 100), 20)
+        crowd = [[*rng.sample(template, 12), *(f"o{k}x{j}x{i}" for i in range(8))] for j in range(24)]
+        group = [*crowd[:12], template[:large], template[:small], *crowd[12:]]
+        docs += [(100 * k + i, " ".join(w)) for i, w in enumerate(group)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, width=1, percent=percent).collect()}
+    wanted = brute_components(docs, 1, percent)
+    assert found == wanted and len({c for _, c in wanted.values()}) == len(docs) - 40
+
+
 def test_ngram_join_with_odd_ids(spark, odd, none):
     found = ngram_join.jaccard_components(odd)
     assert found.count() == odd.select("doc_id").distinct().count()

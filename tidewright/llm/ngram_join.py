@@ -6,7 +6,8 @@ the shingles of every set in one global order, their l-prefixes (the first
 any l. A longer prefix costs more index look-ups but asks for more shared
 shingles before a pair has to be verified. Each document takes the l of least
 estimated cost: look-ups plus candidates, both from the estimated frequencies of
-its prefix shingles. A pair is judged by the l of its larger document.
+its prefix shingles. A pair is judged by the l of its larger document, so each
+document posts its prefix for the greatest l that any partner may ask for.
 
 How it scales:
 
@@ -52,6 +53,8 @@ from tidewright.llm.scratch import Scratch
 SKETCH = 1 << 20
 SLICES = 64
 MOST_MATCHES = 8
+#: Smaller sets ask for one shared shingle: a longer prefix would be most of the set.
+LONG_SET = 20
 #: Look-ups that any prefix shingle is expected to cost, as texts share some by chance.
 CHANCE = 1.0
 #: A leader must share this part of a document's prefix shingles.
@@ -85,6 +88,11 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def most_matches(n: int, percent: int) -> int:
+    """The greatest l that a set of n may ask for: never more than it shares with any partner."""
+    return min(MOST_MATCHES, least_overlap(n, percent)) if n >= LONG_SET else 1
+
+
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
     """Rows (id, n, key) for documents, and (slice, counts) for the frequency table."""
 
@@ -142,10 +150,11 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, width: int, percent: int
                     continue
                 often = counts[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
                 first = n - least_overlap(n, percent)
-                most = MOST_MATCHES if n >= 20 else 1
-                order = np.lexsort((found, often))[: first + most]
+                # The largest partner may ask for more than the set itself.
+                posted = most_matches(100 * n // percent, percent)
+                order = np.lexsort((found, often))[: first + posted]
                 weight = CHANCE + np.maximum(often[order] - floor, 0.0)
-                look_ups = np.cumsum(weight)[first : first + most]
+                look_ups = np.cumsum(weight)[first : first + most_matches(n, percent)]
                 cost = look_ups + VERIFY_COST * look_ups / np.arange(1, len(look_ups) + 1)
                 ids.append(number)
                 sizes.append(n)
