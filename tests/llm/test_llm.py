@@ -177,6 +177,13 @@ def test_ngram_join_links_short_sets_to_longer_ones(spark, percent):
     assert found == wanted and len({c for _, c in wanted.values()}) == len(docs) - 40
 
 
+def test_commonest_parts_do_not_depend_on_the_order_of_rows(spark):
+    placed = [(t, p) for t in range(20) for p in (2, 5, 3, 1)] + [(90, 4), (90, 4), (90, 7), (91, 4)]
+    for ordered in (placed, placed[::-1], sorted(placed)):
+        df = spark.createDataFrame(ordered, "token long, part long").coalesce(1)
+        assert {tuple(r) for r in ngram_join._commonest_parts(df).collect()} == {*((t, 5) for t in range(20)), (90, 4)}
+
+
 def test_ngram_join_with_odd_ids(spark, odd, none):
     found = ngram_join.jaccard_components(odd)
     assert found.count() == odd.select("doc_id").distinct().count()

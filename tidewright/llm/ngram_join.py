@@ -215,6 +215,15 @@ def _verified(pairs: DataFrame, packed: DataFrame, width: int, percent: int) ->
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _commonest_parts(placed: DataFrame) -> DataFrame:
+    """(token, common): the part with most rows of each token of several parts.
+
+    Ties go to the greatest part, as each side of the join works this out by itself.
+    """
+    by_part = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
+    return by_part.groupBy("token").agg(F.max(F.struct("c", "part"))["part"].alias("common"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "common")
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) for each document."""
     spark = docs.sparkSession
@@ -245,8 +254,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # All other links: pairs of different parts only.
     placed = scratch.save(posts.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "placed")
-    by_part = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("part", "c").alias("common"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "common")
-    mixed = placed.join(by_part, "token")
+    mixed = placed.join(_commonest_parts(placed), "token")
     x = mixed.filter("part <> common").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "matches", "level", "part")])
     y = mixed.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "matches", "level", "part")], (F.col("part") != F.col("common")).alias("minor"))
     larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
