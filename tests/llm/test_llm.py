@@ -261,6 +261,28 @@ def test_line_dedup_equals_brute_force(spark):
         assert r.n_lines - r.n_removed == len(wanted[r.id])
 
 
+def test_line_dedup_takes_long_runs_of_few_lines(spark):
+    rng = random.Random(12)
+    lines = [prose(rng, n) for n in (3, 4, 9, 10, 11, 19, 20, 21, 60)] + ["", "x"]
+    docs = unique_documents() + [(700 + i, "\n".join(rng.choice(lines) + rng.choice(["", f" {i}"]) for _ in range(rng.randrange(9)))) for i in range(40)] + [(800, lines[8] + "\nx\n" + lines[8])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    split = lambda t: [] if t is None else t.split("\n")
+    seen, gone = set(), defaultdict(set)
+    for d, t in sorted(docs):
+        units = split(t)
+        for width in (1, 2, 3):
+            for s in range(len(units) - width + 1):
+                run = tuple(units[s : s + width])
+                if width == 3 or len(" ".join(run).split()) >= 20:
+                    gone[d].update(range(s, s + width) if run in seen else [])
+                    seen.add(run)
+    texts = dict(docs)
+    for r in line_dedup.delete_repeated_runs(df, min_words=20).collect():
+        kept = [x for i, x in enumerate(split(texts[r.id])) if i not in gone[r.id]]
+        assert r.text == (None if texts[r.id] is None else "\n".join(kept)) and r.n_lines - r.n_removed == len(kept)
+    assert line_dedup.delete_repeated_runs(df).agg(F.sum("n_removed")).first()[0] < sum(map(len, gone.values()))
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     assert line_dedup.delete_repeated_runs(odd, keep=["id", "name"]).count() == odd.count()
     assert line_dedup.delete_repeated_runs(none).count() == 0

@@ -13,6 +13,8 @@ maximal repeated runs, and these are deleted.
 
 So a line goes if and only if it lies in ``min_lines`` consecutive lines of its
 document that also stand earlier (in a document of smaller id, or further up).
+With ``min_words``, so does a shorter run of at least so many words: suffixes of
+each smaller number of lines that have enough words get names too.
 
 Lines end at ``\\n``. Intervals stream by in sorted order, so a line that every
 document has takes no memory. Documents meet their copies by id, texts compressed.
@@ -51,23 +53,43 @@ def _lines(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return words.span_hashes(data, starts, ends), counts
 
 
-def _suffixes(rows: DataFrame, min_lines: int) -> DataFrame:
-    """(name, id, start): each suffix of at least ``min_lines`` lines, named by its first."""
+def _widths(texts: list[bytes | None], min_lines: int, min_words: int | None) -> Iterator[tuple[int, Windows, np.ndarray]]:
+    """Numbers of lines from which runs go, their windows, and which of these are long enough."""
+    names, counts = _lines(texts)
+    found = Windows(names, counts, min_lines, rounds=0)
+    yield min_lines, found, np.ones(len(found.starts), bool)
+    if min_words is None:
+        return
+    _, size = words.word_hashes([line for text in texts if text is not None for line in text.split(b"\n")])
+    laid = np.zeros(len(found.names) + 1, np.int64)
+    laid[np.arange(len(names)) + np.repeat(np.arange(1, len(counts) + 1), counts) + 1] = size
+    before = np.cumsum(laid)
+    for width in range(1, min_lines):
+        found = Windows(names, counts, width, rounds=0)
+        yield width, found, before[found.starts + width] - before[found.starts] >= min_words
+
+
+def _suffixes(rows: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """(name, id, start): each suffix from which a run may go, named by its first lines.
+
+    ``start`` is the first line times ``min_lines``, plus the number of lines less one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if x is None else x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
             for a, b in words.groups(texts):
-                found = Windows(*_lines(texts[a:b]), min_lines, rounds=0)
-                which = np.arange(len(found.starts))
-                doc = np.repeat(np.arange(b - a), found.per_doc)
-                ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(found.hashes(which).view(np.int64)), ids, pa.array((which - found.first[doc]).astype(np.int32))], ["name", "id", "start"])
+                for width, found, enough in _widths(texts[a:b], min_lines, min_words):
+                    which = np.flatnonzero(enough)
+                    doc = np.repeat(np.arange(b - a), found.per_doc)[which]
+                    ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
+                    start = (which - found.first[doc]) * min_lines + width - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(found.hashes(which).view(np.int64)), ids, pa.array(start.astype(np.int32))], ["name", "id", "start"])
 
     return rows.mapInArrow(run, f"name long, id {rows.schema['id'].dataType.simpleString()}, start int")
 
 
-def _delete(joined: DataFrame, min_lines: int, others: list[str]) -> DataFrame:
+def _delete(joined: DataFrame, min_lines: int, min_words: int | None, others: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -77,16 +99,19 @@ def _delete(joined: DataFrame, min_lines: int, others: list[str]) -> DataFrame:
             marks = [*places_of(batch.column(2))]
             for a, b in words.groups(texts):
                 lines = [[] if x is None else x.split(b"\n") for x in texts[a:b]]
-                found = Windows(*_lines(texts[a:b]), min_lines, rounds=0)
+                windows = list(_widths(texts[a:b], min_lines, min_words))
                 kept, removed, runs = [], [], []
                 for i, own in enumerate(lines):
-                    start, check = marks[a + i] >> 16, marks[a + i] & 0xFFFF
-                    fits = start < found.per_doc[i]
-                    start, check = start[fits], check[fits]
-                    start = start[found.hashes(found.first[i] + start).view(np.int64) & 0xFFFF == check] if len(start) else start
+                    (at, lines_less_one), check = np.divmod(marks[a + i] >> 16, min_lines), marks[a + i] & 0xFFFF
                     cover = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + min_lines, -1)
+                    for width, found, enough in windows:
+                        fits = (lines_less_one == width - 1) & (at < found.per_doc[i])
+                        start, sums = at[fits], check[fits]
+                        if len(start):
+                            which = found.first[i] + start
+                            start = start[enough[which] & (found.hashes(which).view(np.int64) & 0xFFFF == sums)]
+                        np.add.at(cover, start, 1)
+                        np.add.at(cover, start + width, -1)
                     gone = np.cumsum(cover)[:-1] > 0
                     removed.append(int(gone.sum()))
                     runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
@@ -100,7 +125,7 @@ def _delete(joined: DataFrame, min_lines: int, others: list[str]) -> DataFrame:
     return joined.select("id", "packed", "found", *others).mapInArrow(run, ", ".join([f"id {joined.schema['id'].dataType.simpleString()}, text string, n_lines long, n_removed long, n_runs long", *kinds]))
 
 
-def delete_repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_lines: int = MIN_LINES) -> DataFrame:
+def delete_repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """id, text without later copies, n_lines, n_removed, n_runs and the columns ``keep`` of each row."""
     keep = keep or []
     others = [f"_c{i}" for i in range(len(keep))]
@@ -117,6 +142,6 @@ def delete_repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     kinds = [f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in others]
     packed = rows.mapInArrow(pack, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, packed binary", *kinds]))
-    later = later_places(_suffixes(rows.select("id", "text"), min_lines))
-    found = _delete(meet_places(packed, later), min_lines, others)
+    later = later_places(_suffixes(rows.select("id", "text"), min_lines, min_words))
+    found = _delete(meet_places(packed, later), min_lines, min_words, others)
     return found.withColumnsRenamed(dict(zip(others, keep, strict=True)))

@@ -39,6 +39,12 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op4_line_runs``, also without runs of one or two lines of 50 words or more that stand earlier."""
+    found = line_dedup.delete_repeated_runs(table(spark, sf_dir, "documents"), min_lines=3, min_words=50)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -84,6 +90,7 @@ QUERIES = {
     "op2_posting_lists": op2_posting_lists,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_line_runs": op4_line_runs,
+    "op4_long_runs": op4_long_runs,
     "op5_cross_parsing": op5_cross_parsing,
     "op6_recompression": op6_recompression,
     "op7_shard_differencing": op7_shard_differencing,
