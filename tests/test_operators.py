@@ -1,8 +1,13 @@
+import random
+import re
+import unicodedata
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import filters, graph, joins, ledger, selection
+from tidewright.plans import registry, scalars
 from tidewright.streaming import dedupe
 
 
@@ -84,3 +89,29 @@ def test_streamed_fold(spark, tmp_path):
 def test_missing_role_is_an_error(spark):
     with pytest.raises(ValueError):
         joins.by_alias(spark.range(1), {"x": ["nope"]})
+
+
+def test_scalar_queries_read_whole_texts_in_every_language(spark, tmp_path):
+    rng = random.Random(4)
+    some = ["The", "ÄPFEL", "déjà_vu", "que", "with", "und", "x", "naïve-1", "Don't", "日本語", "der", "that"]
+    texts = {i: " ".join(rng.choice(some) for _ in range(200)) + f"\n\t Ende_{i} les" for i in range(6)}
+    texts[6] = "Short"
+    docs = [(i, s, ["en", "de", "fr"][i % 3]) for i, s in texts.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda name, column: {r.doc_id: r[column] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    plain = lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()
+    assert found("x2_squeezed_whole", "s") == {i: " ".join(s.replace("_", " ").lower().split()) for i, s in texts.items()}
+    assert found("x3_ascii_folded_whole", "s") == {i: " ".join(re.findall("[a-z0-9]+", plain(s))) for i, s in texts.items()}
+    assert found("x42_search_words_whole", "words") == {i: sorted({w for w in re.findall(r"[\w-]+", s.lower()) if len(w) >= 3}) for i, s in texts.items()}
+    links = found("x10_wiki_links", "links")
+    assert all(links[i][-1] == "Les" for i in range(6))
+    best = {}
+    for i, s in texts.items():
+        title, body = (set(re.findall("[a-z]+", x.lower())) for x in (s[:60], s[60:]))
+        for branch, concept, terms in scalars._CONCEPTS:
+            a, b = len(title & {*terms}), len(body & {*terms})
+            if a + b:
+                score = min(95, 18 * a + 7 * min(5, b) + (7 if a and b else 0))
+                best[i, branch] = max(best.get((i, branch), (0, "")), (score, concept))
+    rows = registry.QUERIES["x24_classify_whole"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.branch): (r.score, r.concept) for r in rows} == best

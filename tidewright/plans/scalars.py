@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import scores
@@ -21,12 +21,24 @@ def x2_squeezed(t: Tables) -> DataFrame:
     return t.documents.filter("lang = 'en'").select("doc_id", T.squeezed(F.substring("text", 1, 200)).alias("s"))
 
 
+@query()
+def x2_squeezed_whole(t: Tables) -> DataFrame:
+    """Whole texts in every language, beyond what the SQL of ``x2_squeezed`` follows."""
+    return t.documents.select("doc_id", T.squeezed("text").alias("s"))
+
+
 @query("SELECT doc_id, trim(regexp_replace(lower(left(text, 300)), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents WHERE lang = 'en' AND NOT regexp_matches(left(text, 300), '[^\\x00-\\x7F]')")
 def x3_ascii_folded(t: Tables) -> DataFrame:
     head = F.substring("text", 1, 300)
     return t.documents.filter((F.col("lang") == "en") & ~head.rlike(r"[^\x00-\x7F]")).select("doc_id", T.ascii_folded(head).alias("s"))
 
 
+@query()
+def x3_ascii_folded_whole(t: Tables) -> DataFrame:
+    """Whole texts in every language, with accents, beyond what the SQL of ``x3_ascii_folded`` follows."""
+    return t.documents.select("doc_id", T.ascii_folded("text").alias("s"))
+
+
 _STEM = """CASE WHEN w LIKE 'educat%' THEN 'educat' WHEN w LIKE 'universit%' THEN 'universit' WHEN w LIKE 'school%' THEN 'school' WHEN w LIKE '%ies' AND length(w) > 5 THEN regexp_replace(w, 'ies$', 'y')
  WHEN w LIKE '%s' AND length(w) > 5 AND NOT regexp_matches(w, '(ss|us|is)$') THEN regexp_replace(w, 's$', '') ELSE w END"""
 
@@ -81,7 +93,7 @@ def x9_language_code(t: Tables) -> DataFrame:
 def x10_wiki_links(t: Tables) -> DataFrame:
     from tidewright.sources import html
 
-    text = F.concat(F.lit("[[first_one|label]] and "), F.array_join(F.transform(F.slice(F.split("text", " "), 1, 80), lambda w: F.concat(F.lit("[["), w, F.lit("]]"))), " "))
+    text = F.concat(F.lit("[[first_one|label]] and "), F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("[["), w, F.lit("]]"))), " "))
     return t.documents.select("doc_id", html.wiki_links(text, 12).alias("links"))
 
 
@@ -175,12 +187,22 @@ s AS (SELECT *, least(95, 18 * tm + 7 * least(5, cm) + CASE WHEN tm > 0 AND cm >
 SELECT doc_id, branch, concept, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, branch ORDER BY score DESC, concept DESC) AS r FROM s) WHERE r = 1
 """)
 def x24_classify(t: Tables) -> DataFrame:
+    return _classified(t, F.substring("text", 1, 60), F.substring("text", 61, 200))
+
+
+@query()
+def x24_classify_whole(t: Tables) -> DataFrame:
+    """The first 60 characters as title and all the rest as body."""
+    return _classified(t, F.substring("text", 1, 60), F.expr("substring(text, 61)"))
+
+
+def _classified(t: Tables, title: Column, body: Column) -> DataFrame:
     """Best concept of each branch; words meet concepts by an equi join, ties go to the greater concept id."""
     from pyspark.sql import Window
 
     terms = t.spark.createDataFrame([(b, c, w) for b, c, ws in _CONCEPTS for w in ws], "branch string, concept string, term string")
-    part = lambda text, title: t.documents.select("doc_id", F.explode(T.tokens(text, pattern="[a-z]+")).alias("term"), F.lit(title).alias("title"))
-    words = part(F.substring("text", 1, 60), True).unionByName(part(F.substring("text", 61, 200), False))
+    part = lambda text, first: t.documents.select("doc_id", F.explode(T.tokens(text, pattern="[a-z]+")).alias("term"), F.lit(first).alias("title"))
+    words = part(title, True).unionByName(part(body, False))
     met = words.join(F.broadcast(terms), "term").groupBy("doc_id", "branch", "concept").agg(F.sum(F.col("title").cast("int")).alias("tm"), F.sum((~F.col("title")).cast("int")).alias("cm"))
     score = F.least(F.lit(95), 18 * F.col("tm") + 7 * F.least(F.lit(5), F.col("cm")) + F.when((F.col("tm") > 0) & (F.col("cm") > 0), 7).otherwise(0))
     rank = F.row_number().over(Window.partitionBy("doc_id", "branch").orderBy(F.desc("score"), F.desc("concept")))
@@ -301,3 +323,9 @@ def x41_deterministic_uuid(t: Tables) -> DataFrame:
 @query("SELECT doc_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(left(text, 400)), '[^\\p{L}\\p{N}_-]+', ' ', 'g')), ' '), lambda w: length(w) >= 3))) AS words FROM documents WHERE lang <> 'de'")
 def x42_search_words(t: Tables) -> DataFrame:
     return t.documents.filter("lang <> 'de'").select("doc_id", F.sort_array(T.search_words(F.substring("text", 1, 400), 3)).alias("words"))
+
+
+@query()
+def x42_search_words_whole(t: Tables) -> DataFrame:
+    """Whole texts in every language, beyond what the SQL of ``x42_search_words`` follows."""
+    return t.documents.select("doc_id", F.sort_array(T.search_words("text", 3)).alias("words"))
