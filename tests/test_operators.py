@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import SF
 from tidewright.operators import filters, graph, joins, ledger, selection
 from tidewright.plans import registry, scalars
 from tidewright.streaming import dedupe
@@ -115,3 +116,9 @@ def test_scalar_queries_read_whole_texts_in_every_language(spark, tmp_path):
                 best[i, branch] = max(best.get((i, branch), (0, "")), (score, concept))
     rows = registry.QUERIES["x24_classify_whole"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.branch): (r.score, r.concept) for r in rows} == best
+
+
+def test_crawl_reaches_every_customer(spark):
+    found = registry.QUERIES["g4_best_first_crawl"](spark, SF).filter("depth = 0 and expanded").select("node").collect()
+    customers = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()
+    assert sorted(r.node for r in found) == sorted(r.c_custkey for r in customers)

@@ -82,6 +82,12 @@ def j9_link_profile(t: Tables) -> DataFrame:
     return t.lineitem.filter(F.col("l_orderkey").between(10, 60)).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name")
 
 
+@query("SELECT l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")
+def j9_link_profile_whole(t: Tables) -> DataFrame:
+    """Over the range of all orders."""
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name")
+
+
 @query("""
 SELECT o_orderkey AS source, o_orderpriority AS category, o_orderstatus AS kind FROM orders UNION ALL
 SELECT l_orderkey, CASE WHEN p_size = 14 THEN p_type END, l_returnflag FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 2 = 0
@@ -271,8 +277,13 @@ def g3_seed_expansion(t: Tables) -> DataFrame:
 
 @query()
 def g4_best_first_crawl(t: Tables) -> DataFrame:
-    e = t.orders.select((F.col("o_custkey") % 5).alias("g"), F.col("o_custkey").alias("source"), ((F.col("o_orderkey") * 7) % 1500).alias("target"), (F.col("o_totalprice") % 35).alias("gain")).distinct()
-    seeds = t.customer.filter("c_custkey <= 50").select((F.col("c_custkey") % 5).alias("g"), F.col("c_custkey").alias("node"), F.lit(1000.0).alias("score"))
+    """One crawl for each ten customers, so that its page budget reaches all of its seeds."""
+    e = t.orders.select(F.col("o_custkey").alias("source"), ((F.col("o_orderkey") * 7) % 1500).alias("target"), (F.col("o_totalprice") % 35).alias("gain")).distinct()
+    crawl = lambda c: F.floor((F.col(c) - 1) / 10).alias("g")
+    seeds = t.customer.select(crawl("c_custkey"), F.col("c_custkey").alias("node"), F.lit(1000.0).alias("score"))
+    near = e.select(crawl("source"), "source", "target", "gain")
+    further = near.select("g", F.col("target").alias("source")).distinct().join(e, "source").select("g", "source", "target", "gain")
+    e = near.unionByName(further).distinct()
     return graph.best_first("g", e, seeds, pages=60, links=20, depth=2)
 
 

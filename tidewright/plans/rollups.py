@@ -95,7 +95,16 @@ def a12_reconciliation(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, list(l_linenumber || ':' || CAST(l_quantity AS INT) ORDER BY l_linenumber, l_quantity) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 200 GROUP BY 1")
 def a13_nested_collection(t: Tables) -> DataFrame:
-    rows = t.orders.filter("o_orderkey < 200").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    return _nested_lines(t.orders.filter("o_orderkey < 200"), t.lineitem)
+
+
+@query("SELECT o_orderkey, list(l_linenumber || ':' || CAST(l_quantity AS INT) ORDER BY l_linenumber, l_quantity) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def a13_nested_collection_whole(t: Tables) -> DataFrame:
+    return _nested_lines(t.orders, t.lineitem)
+
+
+def _nested_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    rows = orders.join(lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     lines = F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))))
     return rows.groupBy("o_orderkey").agg(F.transform(lines, lambda x: F.concat_ws(":", x["n"], x["q"])).alias("lines"))
 
