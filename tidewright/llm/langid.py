@@ -9,25 +9,30 @@ language with the least wins. No n-gram order or smoothing has to be chosen.
 Fitting reads a bounded sample of labelled rows: for every label the row of
 smallest hash in each of ``buckets`` hash buckets, of rows of at most
 ``row_chars`` characters, whole rows in the order of their hashes up to
-``lang_chars`` characters a label and ``total_chars`` in all. The sample's text
-goes to the executors, which build the automata once each as a dense table (one
-row a state); so a worker's memory is bounded by ``total_chars`` and doesn't
-depend on the input. Fitting on less or other text changes no interface.
+``lang_chars`` characters a label and ``total_chars`` in all. At most
+``buckets`` rows a label reach the driver, however often a row is repeated. The
+sample's text goes to the executors, which build the automata once each; a
+worker's memory is bounded by ``total_chars`` (two states a character, one row
+of ``DENSE`` steps a state) and doesn't depend on the input.
 
-Texts are parsed whole. They are lower-cased, letters keep their identity,
-every run of other characters is one space. Segments of ``SEGMENT`` characters
-are parsed side by side, all languages at once, with a few vector operations a
-character position; a segment end ends a phrase, for all languages alike.
+Texts are parsed whole. They are lower-cased, letters (Unicode category L) keep
+their identity, every run of other characters is one space. Steps by the
+commonest letters are in a dense table, those by all other letters in a sorted
+list. Segments of ``SEGMENT`` characters are parsed side by side, all languages
+at once, each as if a phrase began with it; then every segment is parsed again
+from the state in which the one before it ended, until its phrases begin where
+they began before, and again while that changes the state at its end. So
+phrases cross segments as in one parse from left to right.
 
 Defined results: null text or text without letters is ``und`` with score 0;
 with one label, that label with score 1; ties go to the label that sorts first;
 without any labelled row every text is ``und``; repeated rows are predicted
-each; other columns are ignored.
+each; a text of any length is parsed to its end; other columns are ignored, and
+kept columns may have any names but those of the result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,14 +41,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.worker import kept
+from tidewright.llm.worker import kept, slices
 
 BUCKETS = 64
 ROW_CHARS = 20_000
 LANG_CHARS = 40_000
 TOTAL_CHARS = 320_000
 SEGMENT = 256
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters that are parsed side by side.
+GROUP_CHARS = 2_000_000
+#: Letters with a column of their own in the table of steps.
+DENSE = 48
 _MOST_LABELS = 2_000
 _NEW = 1 << 30
 
@@ -51,22 +59,24 @@ _NEW = 1 << 30
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, row_chars: int = ROW_CHARS, lang_chars: int = LANG_CHARS, total_chars: int = TOTAL_CHARS) -> dict[str, list[str]]:
     """The sample's texts by label."""
     usable = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & (F.length(text_col) <= row_chars))
-    hashed = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("langid"), F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
-    picked = hashed.groupBy("lang", F.pmod("h", F.lit(buckets)).alias("b")).agg(F.min(F.struct("h", "id")).alias("m")).select("lang", "m.h", "m.id").limit(_MOST_LABELS * buckets + 1).collect()
+    hashed = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("langid"), F.col(id_col)).alias("h"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
+    picked = hashed.filter("id is not null").groupBy("lang", F.pmod("h", F.lit(buckets)).alias("b")).agg(F.min(F.struct("h", "id", "t")).alias("m")).select("lang", "m.*").limit(_MOST_LABELS * buckets + 1).collect()
     if len(picked) > _MOST_LABELS * buckets:
         raise ValueError(f"more than {_MOST_LABELS} labels")
     labels = sorted({r["lang"] for r in picked})
     each = min(lang_chars, total_chars // max(1, len(labels)))
-    order = {(r["lang"], r["id"]): r["h"] for r in picked if r["id"] is not None}
-    ids = [i for _, i in order]
-    if not ids:
+    order = {(r["lang"], r["id"], r["t"]): r["h"] for r in picked}
+    if not order:
         return {}
-    rows = usable.filter(F.col(id_col).isin(ids)).select(F.col(lang_col), F.col(id_col), F.col(text_col)).collect()
-    rows = sorted({tuple(r) for r in rows if (r[0], r[1]) in order}, key=lambda r: (r[0], order[r[0], r[1]], r[2]))
+    # One row a label, id and text, whatever number of rows repeat them.
+    keys = [F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t")]
+    rows = usable.filter(F.col(id_col).isin(sorted({i for _, i, _ in order}))).select(*keys, F.col(text_col).alias("text"))
+    rows = rows.filter(F.col("t").isin([t for _, _, t in order])).groupBy("lang", "id", "t").agg(F.min("text").alias("text")).collect()
     found: dict[str, list[str]] = {}
     used: Counter = Counter()
-    for lang, _, text in rows:
-        if _LETTER.search(text) and (used[lang] + len(text) <= each or lang not in found):
+    for r in sorted((r for r in rows if (r["lang"], r["id"], r["t"]) in order), key=lambda r: (r["lang"], order[r["lang"], r["id"], r["t"]], r["text"])):
+        lang, text = r["lang"], r["text"]
+        if any(map(str.isalpha, text)) and (used[lang] + len(text) <= each or lang not in found):
             found.setdefault(lang, []).append(text)
             used[lang] += len(text)
     return found
@@ -78,31 +88,56 @@ class CrossParser:
     def __init__(self, sample: dict[str, list[str]]):
         self.labels = sorted(sample)
         counts = Counter(c for texts in sample.values() for text in texts for c in text.lower() if c.isalpha())
-        letters = sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:200])
-        self.width = len(letters) + 3  # pad, space, the letters, any other letter
-        other = self.width - 1
-        self.code = np.fromiter((other if chr(c).isalpha() else 1 for c in range(0x110000)), np.uint8, 0x110000)
-        self.code[[ord(c) for c in letters]] = np.arange(2, other)
-        tables, self.roots, self.bits, states = [], [], [], 0
+        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        # Codes: 0 pads, 1 is space, 2 a letter that the sample lacks, then its letters, commonest first.
+        self.code = np.fromiter((2 if chr(c).isalpha() else 1 for c in range(0x110000)), np.int32, 0x110000)
+        self.code[[ord(c) for c in letters]] = np.arange(3, 3 + len(letters))
+        self.width = min(DENSE, len(letters)) + 3
+        tables, self.roots, self.bits, states, rare = [], [], [], 0, []
         for label in self.labels:
             step, length = self._automaton([self.codes([text])[0] for text in sample[label]])
             table = np.full((len(step), self.width), -1, np.int64)
             for state, out in enumerate(step):
-                if out:
-                    table[state, list(out)] = list(out.values())
+                for c, to in out.items():
+                    if c < self.width:
+                        table[state, c] = to
+                    else:
+                        rare.append((state + states, c, to + states))
             # A phrase starts with every step out of the root, and with every step that leaves a match.
             root = np.where(table[0] < 0, 0, table[0])
             starts = table < 0
             starts[0] = True
-            table = (np.where(table < 0, root, table) + states) * self.width + np.where(starts, _NEW, 0)
-            table[:, 0] = (np.arange(len(step)) + states) * self.width
+            table = np.where(table < 0, root, table) + states + np.where(starts, _NEW, 0)
+            table[:, 0] = np.arange(len(step)) + states
             tables.append(table.astype(np.int32))
-            self.roots.append(states * self.width)
+            self.roots.append(states)
             self.bits.append(np.log2(max(2, length)))
             states += len(step)
-        if states * self.width >= _NEW:
+        if states >= _NEW:
             raise ValueError("the sample is too large")
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        keys = np.array([s * len(self.code) + c for s, c, _ in rare], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.rare_keys, self.rare_to = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array([t for _, _, t in rare], np.int32)[order], 0).astype(np.int32)
+
+    def step(self, state: np.ndarray, codes: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """States after one more character each; ``_NEW`` is added where it starts a phrase."""
+        dense = codes < self.width
+        found = self.table.take(state * self.width + np.where(dense, codes, 2))
+        i = np.flatnonzero(~dense)
+        if len(i):
+            found[i] = self._rare(state[i], codes[i], root[i])
+        return found
+
+    def _rare(self, state: np.ndarray, codes: np.ndarray, root: np.ndarray) -> np.ndarray:
+        def out(s):
+            key = s.astype(np.int64) * len(self.code) + codes
+            at = np.searchsorted(self.rare_keys, key)
+            return self.rare_keys[at] == key, self.rare_to[at]
+
+        goes, to = out(state)
+        first, begins = out(root)
+        return np.where(goes & (state != root), to, np.where(first, begins, root) + _NEW).astype(np.int32)
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts, runs of spaces as one, and each text's number of codes."""
@@ -155,44 +190,68 @@ class CrossParser:
                     at = link[at]
         return step, sum(map(len, texts))
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases (labels x texts) and the number of codes of each text."""
-        flat, sizes = self.codes(texts)
+    def phrases(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases (labels x texts) of texts of ``sizes`` codes one after another."""
         parts = -(-sizes // SEGMENT)
         first = np.concatenate([[0], np.cumsum(parts)])
-        padded = np.zeros(first[-1] * SEGMENT, np.uint8)
+        padded = np.zeros(first[-1] * SEGMENT, np.int32)
         shift = first[:-1] * SEGMENT - np.concatenate([[0], np.cumsum(sizes)[:-1]])
         padded[np.arange(len(flat)) + np.repeat(shift, sizes)] = flat
-        grid = padded.reshape(-1, SEGMENT)
-        counts = np.empty((len(self.labels), len(grid)), np.int32)
-        for a in range(0, len(grid), 4096):
-            columns = np.ascontiguousarray(grid[a : a + 4096].T).astype(np.int32)
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], columns.shape[1], 1)
-            count = np.zeros_like(state)
-            for column in columns:
-                state = self.table.take(state + column)
-                count += state >> 30
+        grid = np.ascontiguousarray(padded.reshape(-1, SEGMENT).T)
+        n = grid.shape[1]
+        later = np.ones(n, bool)
+        later[first[:-1][parts > 0]] = False
+        counts = np.zeros((len(self.labels), len(sizes)), np.int64)
+        for k in range(len(self.labels)):
+            root = np.full(n, self.roots[k], np.int32)
+            state, begins = root.copy(), np.zeros((SEGMENT, n), bool)
+            for i, column in enumerate(grid):
+                state = self.step(state, column, root)
+                begins[i] = state >= _NEW
                 state &= _NEW - 1
-            counts[:, a : a + 4096] = count
-        sums = np.concatenate([np.zeros((len(self.labels), 1), np.int64), np.cumsum(counts, 1)], 1)
-        return sums[:, first[1:]] - sums[:, first[:-1]], sizes
+            # A segment goes on where the one before it ended; that may change where it ends itself.
+            todo = np.flatnonzero(later)
+            into = root.copy()
+            while len(todo):
+                todo = todo[state[todo - 1] != into[todo]]
+                into[todo] = state[todo - 1]
+                at, now = todo, into[todo]
+                for i in range(SEGMENT):
+                    if not len(at):
+                        break
+                    now = self.step(now, grid[i, at], root[at])
+                    new = now >= _NEW
+                    now &= _NEW - 1
+                    met = new & begins[i, at]
+                    begins[i, at] = new
+                    at, now = at[~met], now[~met]
+                changed = at[state[at] != now]
+                state[at] = now
+                todo = changed[(changed + 1 < n) & later[np.minimum(changed + 1, n - 1)]] + 1
+            sums = np.concatenate([[0], np.cumsum(begins.sum(0))])
+            counts[k] = sums[first[1:]] - sums[first[:-1]]
+        return counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = ["und"] * len(texts), [0.0] * len(texts)
-        known = [i for i, text in enumerate(texts) if self.labels and text and _LETTER.search(text)]
+        known = [i for i, text in enumerate(texts) if self.labels and text]
         while known:
             size, end = 0, 0
-            while end < len(known) and (not end or size + len(texts[known[end]]) <= 4_000_000):
+            while end < len(known) and (not end or size + len(texts[known[end]]) <= GROUP_CHARS):
                 size += len(texts[known[end]])
                 end += 1
             now, known = known[:end], known[end:]
-            counts, sizes = self.phrases([texts[i] for i in now])
-            entropy = counts * np.array(self.bits)[:, None] / sizes
+            flat, sizes = self.codes([texts[i] for i in now])
+            ends = np.cumsum(sizes)
+            letters = np.concatenate([[0], np.cumsum(flat > 1)])
+            has = letters[ends] > letters[ends - sizes]
+            entropy = self.phrases(flat, sizes) * np.array(self.bits)[:, None] / sizes
             best = entropy.argmin(0)
             two = np.sort(entropy, 0)[:2]
-            score = 1 - two[0] / two[1] if len(two) > 1 else np.ones(len(now))
-            for i, b, s in zip(now, best, score, strict=True):
-                labels[i], scores[i] = self.labels[b], float(s)
+            score = 1 - two[0] / np.maximum(two[1], 1e-300) if len(two) > 1 else np.ones(len(now))
+            for i, b, s, ok in zip(now, best, score, has, strict=True):
+                if ok:
+                    labels[i], scores[i] = self.labels[b], float(s)
         return labels, scores
 
 
@@ -205,7 +264,7 @@ def classify(docs: DataFrame, sample: dict[str, list[str]], *, keep: list[Column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = shared.value
         parser = kept(("langid", hash(tuple((k, tuple(v)) for k, v in sorted(texts.items())))), lambda: CrossParser(texts))
-        for batch in batches:
+        for batch in slices(batches, 2000):
             labels, scores = parser.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names)
 

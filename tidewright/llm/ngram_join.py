@@ -6,8 +6,8 @@ the shingles of every set in one global order, their l-prefixes (the first
 any l. A longer prefix costs more index look-ups but asks for more shared
 shingles before a pair has to be verified. Each document takes the l of least
 estimated cost: look-ups plus candidates, both from the estimated frequencies of
-its prefix shingles. A pair is judged by the l of its larger document, so each
-document posts its prefix for the greatest l that any partner may ask for.
+its prefix shingles, and posts the prefix of that l. A pair is judged by the
+lesser l of its two documents, for which both have posted enough.
 
 How it scales:
 
@@ -19,11 +19,17 @@ How it scales:
   semi-join before any pairing.
 * A large group of near copies shares its postings. Before pairs are formed,
   each document is verified against three leaders (the documents of least id,
-  of greatest id and of least hash that share most prefix shingles with it): a
-  linear number of pairs. Groups linked so far are one part; after that only
+  of least hash and with the fewest rare shingles, which is the text that the
+  others were made from, that share most prefix shingles with it): a linear
+  number of pairs. Groups linked so far are one part; after that only
   pairs of documents in different parts are candidates, and on each shingle the
   rows outside its commonest part meet all rows. So no pairs inside a found
   group are made, and no link between parts is lost.
+* Two shingles that meet count only where both stand in the prefixes that this
+  pair has to share l shingles of: sizes x and y need ``ceil(t / (1 + t) * (x + y))``
+  in common, so near copies of one size meet in half as many shingles as the
+  longest prefix has. A crowd of copies that stay below the threshold of each
+  other then meets in the shingles of their edits, not in those all have.
 * Pairs are verified on the whole texts, which travel compressed.
 
 The result gives each document its component under the links. Component labels
@@ -48,6 +54,7 @@ from pyspark.sql import functions as F
 from tidewright.llm import words
 from tidewright.llm.components import components
 from tidewright.llm.scratch import Scratch
+from tidewright.llm.worker import drop, slices
 
 #: Counters of the frequency table (a power of two): 4 MB, whatever the input.
 SKETCH = 1 << 20
@@ -63,13 +70,6 @@ LEADER_SHARE = 0.25
 VERIFY_COST = 50.0
 
 
-def _slices(batches: Iterator[pa.RecordBatch], n: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches in pieces, so that few texts are held as Python objects at once."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, n):
-            yield batch.slice(i, n)
-
-
 def _texts(column: pa.Array) -> list[bytes]:
     return [(text or "").encode("utf-8", "surrogatepass").lower() for text in column.to_pylist()]
 
@@ -88,6 +88,11 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def pair_overlap(x, y, percent: int):
+    """What sets of x and y share at least to reach the threshold: ceil(t / (1 + t) * (x + y))."""
+    return -(-percent * (x + y) // (100 + percent))
+
+
 def most_matches(n: int, percent: int) -> int:
     """The greatest l that a set of n may ask for: never more than it shares with any partner."""
     return min(MOST_MATCHES, least_overlap(n, percent)) if n >= LONG_SET else 1
@@ -97,8 +102,9 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
     """Rows (id, n, key) for documents, and (slice, counts) for the frequency table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()
         table = np.zeros(SKETCH, np.int64)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             sizes, keys = [], []
             for found in _sets(_texts(batch.column(1)), width):
                 sizes.append(len(found))
@@ -135,37 +141,39 @@ def _frequencies(summaries: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, frequencies: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, matches, tokens): each document's longest prefix and its chosen l."""
+    """(id, n, matches, central, tokens): each document's prefix, its chosen l and how common its shingles are."""
     table = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
         mean = float(counts.mean())
         floor = mean + 3 * mean**0.5
-        for batch in _slices(batches):
-            ids, sizes, chosen, flat = [], [], [], []
+        for batch in slices(batches):
+            ids, sizes, chosen, central, flat = [], [], [], [], []
             for number, found in zip(batch.column(0).to_pylist(), _sets(_texts(batch.column(1)), width), strict=True):
                 n = len(found)
                 if not n:
                     continue
                 often = counts[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
                 first = n - least_overlap(n, percent)
-                # The largest partner may ask for more than the set itself.
-                posted = most_matches(100 * n // percent, percent)
-                order = np.lexsort((found, often))[: first + posted]
+                order = np.lexsort((found, often))[: first + most_matches(n, percent)]
                 weight = CHANCE + np.maximum(often[order] - floor, 0.0)
-                look_ups = np.cumsum(weight)[first : first + most_matches(n, percent)]
+                # Costs are those of meeting a partner of the same size.
+                same = n - pair_overlap(n, n, percent)
+                look_ups = np.cumsum(weight)[same : same + most_matches(n, percent)]
                 cost = look_ups + VERIFY_COST * look_ups / np.arange(1, len(look_ups) + 1)
                 ids.append(number)
                 sizes.append(n)
                 chosen.append(int(cost.argmin()) + 1)
+                order = order[: first + chosen[-1]]
+                central.append(float(np.log2(weight / CHANCE).mean()))
                 flat.append(found[order].view(np.int64))
             ends = np.zeros(len(flat) + 1, np.int32)
             np.cumsum([len(x) for x in flat], out=ends[1:])
             tokens = pa.ListArray.from_arrays(ends, np.concatenate(flat) if flat else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(sizes, pa.int64()), pa.array(chosen, pa.int32()), tokens], ["id", "n", "matches", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(sizes, pa.int64()), pa.array(chosen, pa.int32()), pa.array(central, pa.float64()), tokens], ["id", "n", "matches", "central", "tokens"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, matches int, tokens array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, matches int, central double, tokens array<long>")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -202,7 +210,7 @@ def _verified(pairs: DataFrame, packed: DataFrame, width: int, percent: int) ->
                 memo[key] = next(_sets([unpacker.decompress(data).lower()], width))
             return memo[key]
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             a, b = [], []
             for x, y, px, py in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "pa", "pb")), strict=True):
                 s, t = found(x, px), found(y, py)
@@ -237,14 +245,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     heads = members.filter("n > 0 and id = class").select("id")
 
     prefixes = scratch.save(_prefixes(rows, frequencies, width, percent).join(heads, "id", "left_semi").dropDuplicates(["id"]), "prefixes")
-    exploded = prefixes.select("id", "n", "matches", F.size("tokens").alias("long"), F.posexplode("tokens").alias("at", "token"))
-    first = F.col("n") + F.expr(f"(-{percent} * n) div 100")  # n - ceil(percent * n / 100)
-    exploded = exploded.withColumn("level", F.greatest(F.lit(1), F.col("at") - first + 1).cast("int")).drop("at")
+    exploded = prefixes.select("id", "n", "matches", "central", F.size("tokens").alias("long"), F.posexplode("tokens").alias("at", "token"))
     shared = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     posts = scratch.save(exploded.join(shared, "token"), "posts")
 
     # Leaders: a linear number of pairs that finds most of the large groups.
-    heads_of = posts.groupBy("token").agg(F.min("id").alias("l0"), F.max("id").alias("l1"), F.min_by("id", F.xxhash64("id")).alias("l2"))
+    heads_of = posts.groupBy("token").agg(F.min("id").alias("l0"), F.max(F.struct("central", "id"))["id"].alias("l1"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("l2"))
     led = posts.select("token", "id", "long").join(heads_of, "token").select("id", "long", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"l{k}").alias("leader")) for k in range(3)])).alias("x")).select("id", "long", "x.k", "x.leader")
     best = led.filter("leader <> id").groupBy("id", "k", "leader").agg(F.count(F.lit(1)).alias("c"), F.first("long").alias("long")).filter(F.col("c") >= LEADER_SHARE * F.col("long")).groupBy("id", "k").agg(F.max(F.struct(F.col("c"), F.col("leader"))).alias("m"))
     pairs = best.select(F.greatest("id", "m.leader").alias("a"), F.least("id", "m.leader").alias("b")).distinct()
@@ -255,13 +261,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # All other links: pairs of different parts only.
     placed = scratch.save(posts.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "placed")
     mixed = placed.join(_commonest_parts(placed), "token")
-    x = mixed.filter("part <> common").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "matches", "level", "part")])
-    y = mixed.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "matches", "level", "part")], (F.col("part") != F.col("common")).alias("minor"))
-    larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
-    asked = F.when(larger, F.col("x_matches")).otherwise(F.col("y_matches"))
+    x = mixed.filter("part <> common").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "matches", "at", "part")])
+    y = mixed.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "matches", "at", "part")], (F.col("part") != F.col("common")).alias("minor"))
+    asked = F.least("x_matches", "y_matches")
     near = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (F.col("x_part") != F.col("y_part"))
     once = ~F.col("minor") | (F.col("x_id") < F.col("y_id"))  # two minor rows meet twice
-    met = x.join(y, "token").filter(near & once & (F.col("x_level") <= asked) & (F.col("y_level") <= asked))
+    # The prefixes that this pair has to share `asked` shingles of: size less overlap plus `asked`.
+    spare = asked + F.expr(f"-(({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent})")
+    met = x.join(y, "token").filter(near & once & (F.col("x_at") < F.col("x_n") + spare) & (F.col("y_at") < F.col("y_n") + spare))
     met = met.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b"), asked.alias("asked"))
     candidates = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("asked").alias("asked")).filter("c >= asked").select("a", "b")
     links = scratch.save(_verified(candidates, packed, width, percent), "links")

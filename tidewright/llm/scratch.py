@@ -10,6 +10,7 @@ process.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests)."""
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it.
+
+    Where the session names none, a local folder serves a session whose executors
+    are threads of the driver's own process; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -1,12 +1,17 @@
-"""Hashes of words and word sequences, a batch of texts at a time.
-
-Words are maximal runs of bytes other than space and \\t..\\r, as in
-``[^\\x20\\x09-\\x0D]+`` on the text. Names are 64-bit hashes that depend on the
-bytes only: the same on every executor and in every run.
+"""Names of words and word sequences, a batch of texts at a time.
+
+Words are maximal runs of bytes other than space and \t..\r, as in
+``[^\x20\x09-\x0D]+`` on the text. Names are 64 bits that depend on the bytes
+only: the same on every executor and in every run. A word of up to eight bytes
+is its own name, scrambled, so no two of one length share one; up to sixteen
+bytes, both halves are scrambled one after the other; longer words and lines go
+by BLAKE2b. Names choose candidates; what deletes text compares ``digests`` of
+128 bits of the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +20,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Texts are hashed in groups of about so many bytes.
 GROUP_BYTES = 2 << 20
 
@@ -27,20 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, GROUP_BYTES + (1 << 16))
-        tables = []
-        for base in (_BASE, _INVERSE):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            tables.append(np.cumprod(table, dtype=np.uint64))
-        _powers[:] = tables
-    return _powers
+#: The low bytes of an eight-byte word that belong to a span of 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def groups(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
@@ -63,12 +55,40 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def long_name(data: bytes) -> int:
+    """The name of one long word, or of a line."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
 def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``data``."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[np.frombuffer(data, np.uint8)] * power[: len(data)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit name of each span of ``data``."""
+    eights = np.ndarray(len(data) + 9, "<u8", data + bytes(16), strides=(1,))
+    size = ends - starts
+    names = mix((eights[starts] & _LOW[np.minimum(size, 8)]) + np.uint64(_BASE) * (np.minimum(size, 17).astype(np.uint64) + np.uint64(1)))
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        rest = eights[starts[more] + 8] & _LOW[np.minimum(size[more] - 8, 8)]
+        names[more] = mix(names[more] ^ mix(rest + np.uint64(_BASE)))
+        for i in more[size[more] > 16].tolist():
+            names[i] = long_name(data[starts[i] : ends[i]])
+    return names
+
+
+def spaced(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of ``data`` with one space after each, and their starts and ends there."""
+    size = ends - starts
+    after = np.cumsum(size + 1)
+    take = np.ones(int(after[-1]) if len(after) else 0, bool)
+    take[after - 1] = False
+    out = np.full(len(take), 32, np.uint8)
+    out[take] = np.frombuffer(data, np.uint8)[~_SPACE[np.frombuffer(data, np.uint8)]]
+    return out.tobytes(), after - size - 1, after - 1
+
+
+def digests(data: bytes, starts: list[int], ends: list[int]) -> bytes:
+    """128-bit digests of spans of ``data``, one after another."""
+    make = hashlib.blake2b
+    return b"".join([make(data[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)])
 
 
 def word_hashes(texts: list[bytes | None], separator: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:

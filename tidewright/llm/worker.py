@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
+#: Rows that are held as Python objects at once.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that few texts are held as Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def trim() -> None:
+    """Give freed memory back to the system; reused workers would keep it from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def drop() -> None:
+    """Forget what ``kept`` holds."""
+    store = sys.modules.get("_tidewright_worker")
+    if store is not None and store.__dict__.pop("kept", None) is not None:
+        trim()
 
 
 def kept(key: object, make: Callable[[], object]) -> object:
     """``make()``, or what it returned for ``key`` in an earlier task of this worker.
 
-    One object is kept for each first element of ``key`` (a tuple), the last used.
+    One object is kept in all, the last used: what an earlier operator kept is
+    freed before the next is made.
     """
     store = sys.modules.setdefault("_tidewright_worker", types.ModuleType("_tidewright_worker")).__dict__
-    slot = f"kept_{key[0]}"
-    if store.get(slot, (None,))[0] != key:
-        store[slot] = (key, make())
-    return store[slot][1]
+    if store.get("kept", (None,))[0] != key:
+        drop()
+        store["kept"] = (key, make())
+    return store["kept"][1]
 
 
 class Generations(dict):
