@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -90,32 +91,66 @@ def test_memo_is_bounded():
 # Nearest neighbours
 
 
-def test_ann_is_exact_on_few_and_recalls_on_many(spark):
+def nearest(table, q, k=20):
+    """Brute force: {id: best score} of the k nearest ids to any vector of q, ties to smaller ids."""
+    best = {}
+    for v in [v for i, v in table if i == q]:
+        for i, x in table:
+            if i != q and len(x) == len(v):
+                best[i] = max(best.get(i, -math.inf), math.fsum(float(a) * float(b) for a, b in zip(v, x)))
+    return sorted(best.items(), key=lambda r: (-r[1], r[0]))[:k]
+
+
+def test_ann_reads_few_lists_of_clustered_vectors(spark):
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(30, 16))
-    x = (centres[rng.integers(30, size=3000)] + 0.3 * rng.normal(size=(3000, 16))).astype(np.float32)
-    x[100:400] = x[100]
-    table = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    bad = [(9000, None, 1), (9020, [0.0] * 16, 1), (9040, [float("nan")] * 16, 1), (9060, [1.0] * 3, 1), (None, [1.0] * 16, 1), (9080, [None] + [1.0] * 15, 1)]
-    schema = "vec_id long, embedding array<float>, list int"
-    df = spark.createDataFrame(table + bad, schema)
+    centres = rng.normal(size=(200, 16))
+    x = (centres[rng.integers(200, size=9000)] + 0.25 * rng.normal(size=(9000, 16))).astype(np.float32).astype(float)
+    top = np.sqrt((x**2).sum(1)).max()
+    index = ann.Centroids(x, len(x) // ann.LIST_ROWS, top, 0.93, 20)
+    row, own = index.lists_of(x)
+    asks = np.arange(0, len(x), 20)
+    q_row, q_list = index.lists_for(x[asks])
+    assert len(index.centres) >= 50 and len(row) > 1.01 * len(x), "boundary vectors stand in several lists"
+    read = [set(row[np.isin(own, q_list[q_row == i])].tolist()) for i in range(len(asks))]
+    assert np.mean([len(r) for r in read]) <= 0.2 * len(x)
+    df = spark.createDataFrame([(i, v.tolist(), i % 20) for i, v in enumerate(x)], "vec_id long, embedding array<float>, list int")
     found = defaultdict(list)
     for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
         found[r.query_id].append((r.rank, r.vec_id, r.score))
-    hit = total = 0
-    for q in range(0, 3000, 20):
-        score = x.astype(float) @ x[q].astype(float)
-        score[q] = -np.inf
-        score[100:400] = score[101 if q == 100 else 100]
+    hit = 0
+    for i, q in enumerate(asks.tolist()):
+        score = x @ x[q]
         score[q] = -np.inf
         best = np.lexsort((np.arange(len(x)), -score))[:20]
-        own = sorted(found[q])
-        assert [k for k, *_ in own] == list(range(1, 21))
-        assert all(abs(s - score[v]) < 1e-9 for _, v, s in own)
-        assert [v for _, v, _ in own] == [v for _, v, _ in sorted(own, key=lambda r: (-r[2], r[1]))]
-        hit += len({v for _, v, _ in own} & set(best.tolist()))
-        total += 20
-    assert hit / total >= 0.9 and set(found) == set(range(0, 3000, 20))
+        mine = sorted(found[q])
+        assert [k for k, *_ in mine] == list(range(1, 21)) and all(abs(s - score[v]) < 1e-9 for _, v, s in mine)
+        assert [v for _, v, _ in mine] == [v for _, v, _ in sorted(mine, key=lambda r: (-r[2], r[1]))]
+        within = sorted(read[i] - {q}, key=lambda v: (-score[v], v))[:20]
+        assert {v for _, v, _ in mine} == set(within) or math.isclose(score[within[-1]], mine[-1][2])
+        hit += len({v for _, v, _ in mine} & set(best.tolist()))
+    assert hit / (20 * len(asks)) >= 0.9 and set(found) == set(asks.tolist())
+
+
+def test_ann_of_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    table = [(i, rng.normal(size=4).round(2).tolist()) for i in range(300)]
+    table += [(7, table[7][1])] * 40 + [(8, v) for _, v in table[20:60]]  # repeated rows; one id with many vectors
+    table += [(i, table[100][1]) for i in range(400, 460)]  # ties
+    table += [(500 + i, rng.normal(size=6).round(2).tolist()) for i in range(5)]  # another length: fewer than k candidates
+    bad = [(900, None), (920, [0.0] * 4), (940, [float("nan")] * 4), (960, [float("inf")] * 4), (None, [1.0] * 4), (980, [None, 1.0, 1.0, 1.0])]
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame(table + bad, schema)
+    for c in ("id", "v", "asks", "query_id", "list", "shelf", "lists", "score", "rank"):
+        df = df.withColumn(c, F.lit("x"))
+    found = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id").isin(7, 8, 100, 420, 500, 900, 920, 940)).collect():
+        found[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(found) == {7, 8, 100, 420, 500}
+    for q in found:
+        mine, best = sorted(found[q]), nearest(table, q)
+        assert [k for k, *_ in mine] == list(range(1, len(best) + 1)), q
+        assert [v for _, v, _ in mine] == [v for v, _ in best] or len({v for _, v, _ in mine} & dict(best).keys()) >= 0.8 * len(best), q
+    assert [v for _, v, _ in sorted(found[500])] == [v for v, _ in nearest(table, 500)]
     few = ann.search(spark.createDataFrame(table[:15], schema), F.col("vec_id") == 0).collect()
     assert len(few) == 14 and ann.search(spark.createDataFrame([], schema), F.lit(True)).count() == 0
 

@@ -1,147 +1,196 @@
-"""Deletion of repeated runs of lines, over a suffix array of line names.
-
-Every suffix of a document's line sequence is sorted by its first lines. Names
-of prefixes come by doubling: the name of 2h lines is the name of the pair of
-names of h lines, at a place and h lines on, which never leaves the document; as
-names are hashes of what they stand for, they rank alike on every executor and
-a round needs no exchange. Doubling stops at ``min_lines``: suffixes whose
-longest common prefix reaches ``min_lines`` are then exactly those with equal
-names. They are dealt by name and sorted by name, document and line, which puts
-the intervals of the suffix array one after another; in each interval all but
-the first suffix are later copies. Copies that overlap in a document make up its
-maximal repeated runs, and these are deleted.
+"""Deletion of repeated runs of lines, over a suffix array of line sequences.
+
+Every place of a document starts a suffix, the sequence of its lines from there
+on. Suffixes are ranked by distributed prefix doubling:
+
+0. A line is named by 128 bits of BLAKE2b over its bytes. Names that occur once
+   are dropped; the others are sorted and numbered, which ranks suffixes by
+   their first line.
+1. In each round the rank of a suffix by its first h lines and the rank h places
+   on, in the same document, make a pair. Pairs are counted with map-side
+   combination, those met once are dropped, the others are sorted and numbered:
+   ranks by 2h lines. A suffix whose pair is unique, or whose document ends
+   within 2h lines, is settled and takes no part in later rounds. Rounds end
+   when every suffix is settled.
+
+The suffixes of one rank by h lines are the interval of the suffix array whose
+longest common prefixes reach h lines. Intervals for L lines, h < L < 2h, are
+those of equal ranks at a place and L - h places on: two overlapping runs of h
+lines make up the L lines. In the interval of ``min_lines`` lines every suffix
+but the first (of least document, then least place) is a later copy. Copies that
+overlap make up a document's maximal repeated runs, and these are deleted.
 
 So a line goes if and only if it lies in ``min_lines`` consecutive lines of its
 document that also stand earlier (in a document of smaller id, or further up).
-With ``min_words``, so does a shorter run of at least so many words: suffixes of
-each smaller number of lines that have enough words get names too.
+With ``min_words``, so does a shorter run of at least so many words: each place
+is judged in the interval of the fewest lines that hold ``min_words`` words.
 
-Lines end at ``\\n``. Intervals stream by in sorted order, so a line that every
-document has takes no memory. Documents meet their copies by id, texts compressed.
+Lines end at ``\\n``. A line that a third of all documents have is one row of
+each partial count; the join that hands ranks back has it as a skewed key, which
+adaptive execution splits. A text that a document of smaller id has too is left
+out of the rounds, as all its places are later copies.
 
 Defined results: a null text has no lines and stays null; an empty text has one
 empty line; a text that loses all lines becomes empty; documents of fewer lines
-lose nothing; rows that repeat an id count as places of one document (equal rows
-keep the same lines); rows with a null id are one document that comes first; an
-empty table gives no rows; other columns are passed through.
+lose nothing; texts of any number of lines are taken whole, a text twice as long
+costs at most one round more; rows that repeat an id count as places of one
+document (equal rows keep the same lines; texts that differ under one id are
+told apart by 32 bits of their digest); rows with a null id are one document
+that comes first; an empty table gives no rows; other columns are passed through
+if ``keep`` names them, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import words
-from tidewright.llm.recompression import Windows
-from tidewright.llm.substring_dedup import later_places, meet_places, places_of
+from tidewright.llm.scratch import Scratch
+from tidewright.llm.substring_dedup import copies, meet_places, places_of
+from tidewright.llm.worker import drop, slices
 
 MIN_LINES = 3
 
 
-def _lines(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all lines and each text's number of lines."""
-    counts = np.array([0 if text is None else text.count(b"\n") + 1 for text in texts], np.int64)
-    data = b"\n".join(text for text in texts if text is not None)
-    if not counts.sum():
-        return np.zeros(0, np.uint64), counts
-    ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data))
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return words.span_hashes(data, starts, ends), counts
-
-
-def _widths(texts: list[bytes | None], min_lines: int, min_words: int | None) -> Iterator[tuple[int, Windows, np.ndarray]]:
-    """Numbers of lines from which runs go, their windows, and which of these are long enough."""
-    names, counts = _lines(texts)
-    found = Windows(names, counts, min_lines, rounds=0)
-    yield min_lines, found, np.ones(len(found.starts), bool)
-    if min_words is None:
-        return
-    _, size = words.word_hashes([line for text in texts if text is not None for line in text.split(b"\n")])
-    laid = np.zeros(len(found.names) + 1, np.int64)
-    laid[np.arange(len(names)) + np.repeat(np.arange(1, len(counts) + 1), counts) + 1] = size
-    before = np.cumsum(laid)
-    for width in range(1, min_lines):
-        found = Windows(names, counts, width, rounds=0)
-        yield width, found, before[found.starts + width] - before[found.starts] >= min_words
-
-
-def _suffixes(rows: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
-    """(name, id, start): each suffix from which a run may go, named by its first lines.
-
-    ``start`` is the first line times ``min_lines``, plus the number of lines less one.
-    """
+def _needs(lines: list[bytes], min_lines: int, min_words: int | None) -> np.ndarray:
+    """For each place the fewest lines from which a run that starts there goes; 0 where the text ends before."""
+    n = len(lines)
+    need = np.where(np.arange(n) + min_lines <= n, min_lines, 0)
+    if min_words is not None:
+        before = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
+        for size in range(min(min_lines - 1, n), 0, -1):
+            need[: n - size + 1][before[size:] - before[: n - size + 1] >= min_words] = size
+    return need
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if x is None else x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
-            for a, b in words.groups(texts):
-                for width, found, enough in _widths(texts[a:b], min_lines, min_words):
-                    which = np.flatnonzero(enough)
-                    doc = np.repeat(np.arange(b - a), found.per_doc)[which]
-                    ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
-                    start = (which - found.first[doc]) * min_lines + width - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(found.hashes(which).view(np.int64)), ids, pa.array(start.astype(np.int32))], ["name", "id", "start"])
 
-    return rows.mapInArrow(run, f"name long, id {rows.schema['id'].dataType.simpleString()}, start int")
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], list[bool]]]:
+    """Rows in pieces, the lines of each, and whether a text is a copy. Columns: id, packed, tag, digests, ..."""
+    import zstandard
 
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in slices(batches):
+        texts = [None if x is None else unpacker.decompress(x) for x in batch.column(1).to_pylist()]
+        same = [bool(d) and hashlib.sha256(t or b"").digest()[:16] in d for t, d in zip(texts, batch.column(3).to_pylist(), strict=True)]
+        yield batch, [[] if x is None else x.split(b"\n") for x in texts], same
+
+
+def _lines(base: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """(id, tag, at, need, a, b) for each line; a and b are its name."""
 
-def _delete(joined: DataFrame, min_lines: int, min_words: int | None, others: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        drop()
+        for batch, texts, same in _unpacked(batches):
+            texts = [[] if s else x for x, s in zip(texts, same, strict=True)]
+            size = [len(x) for x in texts]
+            names = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for lines in texts for x in lines), "<i8").reshape(-1, 2)
+            row = pa.array(np.repeat(np.arange(len(texts)), size))
+            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in size]])
+            need = np.concatenate([np.zeros(0, np.int64), *[_needs(x, min_lines, min_words) for x in texts]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(at.astype(np.int32)), pa.array(need.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1])], ["id", "tag", "at", "need", "a", "b"])
+
+    return base.select("id", "packed", "tag", "digests").mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, tag long, at int, need int, a long, b long")
+
+
+def _intervals(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y, first) of pairs that occur more than once; ``first`` is the least document and place."""
+    return rows.groupBy(x, y).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "at")).alias("first")).filter("c > 1").drop("c")
+
+
+def _later() -> Column:
+    return ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.at") == F.col("at")))
+
+
+def _places() -> list[Column]:
+    """id and place: the line, the number of lines from it and the text's tag."""
+    return [F.col("id"), (F.shiftleft(F.col("at").cast("long"), 32) + F.col("tag")).alias("place")]
+
+
+def _rank(scratch: Scratch, rows: DataFrame, x: str, y: str, label: str) -> DataFrame:
+    """Rows of repeated pairs with the pair's number in sorted order, and its first place."""
+    numbered = scratch.save(_intervals(rows, x, y).orderBy(x, y).withColumn("number", F.monotonically_increasing_id()), f"{label}-ranks")
+    numbered = numbered.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("number").alias("rank"), "first")
+    joined = rows.select("id", "tag", "at", "need", F.col(x).alias("_x"), F.col(y).alias("_y")).join(numbered, ["_x", "_y"])
+    return joined.select("id", "tag", "at", "need", "rank", "first")
+
+
+def _ahead(rows: DataFrame, step: int) -> DataFrame:
+    """Rows with the rank ``step`` places on as ``next``; those without one are settled."""
+    there = rows.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), (F.col("at") - step).alias("_at"), F.col("rank").alias("next"))
+    return rows.drop("first").join(there, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")) & (F.col("at") == F.col("_at"))).drop("_id", "_tag", "_at")
+
+
+def later_copies(lines: DataFrame, scratch: Scratch, min_lines: int) -> tuple[DataFrame, int]:
+    """(id, place) of each place from which a run goes, and the number of doubling rounds."""
+    saved = scratch.save(lines, "lines")
+    # Rows that repeat an id and a text are one; only lines that occur again are left here.
+    now = scratch.save(_rank(scratch, saved, "a", "b", "one").dropDuplicates(["id", "tag", "at"]), "one")
+    marks = [now.filter((F.col("need") == 1) & _later()).select(*_places())]
+    h, rounds = 1, 0
+    while not now.isEmpty():
+        for size in range(h + 1, min(2 * h, min_lines + 1)):
+            here = _ahead(now, size - h).filter(F.col("need") == size)
+            groups = _intervals(here, "rank", "next").withColumnsRenamed({"rank": "_x", "next": "_y"})
+            met = here.withColumnsRenamed({"rank": "_x", "next": "_y"}).join(groups, ["_x", "_y"])
+            marks.append(scratch.save(met.filter(_later()).select(*_places()), f"copies{size}"))
+        rounds += 1
+        now = scratch.save(_rank(scratch, _ahead(now, h), "rank", "next", f"round{rounds}"), f"round{rounds}")
+        h *= 2
+        if h <= min_lines:
+            marks.append(now.filter((F.col("need") == h) & _later()).select(*_places()))
+    found = marks[0]
+    for more in marks[1:]:
+        found = found.unionByName(more)
+    return found, rounds
 
-        unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = [x and unpacker.decompress(x) for x in batch.column(1).to_pylist()]
-            marks = [*places_of(batch.column(2))]
-            for a, b in words.groups(texts):
-                lines = [[] if x is None else x.split(b"\n") for x in texts[a:b]]
-                windows = list(_widths(texts[a:b], min_lines, min_words))
-                kept, removed, runs = [], [], []
-                for i, own in enumerate(lines):
-                    (at, lines_less_one), check = np.divmod(marks[a + i] >> 16, min_lines), marks[a + i] & 0xFFFF
-                    cover = np.zeros(len(own) + 1, np.int64)
-                    for width, found, enough in windows:
-                        fits = (lines_less_one == width - 1) & (at < found.per_doc[i])
-                        start, sums = at[fits], check[fits]
-                        if len(start):
-                            which = found.first[i] + start
-                            start = start[enough[which] & (found.hashes(which).view(np.int64) & 0xFFFF == sums)]
-                        np.add.at(cover, start, 1)
-                        np.add.at(cover, start + width, -1)
-                    gone = np.cumsum(cover)[:-1] > 0
-                    removed.append(int(gone.sum()))
-                    runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
-                    kept.append(None if texts[a + i] is None else b"\n".join(x for x, g in zip(own, gone.tolist(), strict=True) if not g) if removed[-1] else texts[a + i])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(x) for x in lines], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), *(batch.column(3 + k).slice(a, b - a) for k in range(len(others)))],
-                    ["id", "text", "n_lines", "n_removed", "n_runs", *others],
-                )
+
+def _delete(joined: DataFrame, min_lines: int, min_words: int | None, others: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts, same in _unpacked(batches):
+            kept, removed, runs = [], [], []
+            for lines, copy, tag, marks, whole in zip(texts, same, batch.column(2).to_pylist(), places_of(batch.column(4)), batch.column(1).is_valid().to_pylist(), strict=True):
+                need = _needs(lines, min_lines, min_words)
+                at = np.flatnonzero(need) if copy else (marks >> 32)[marks & 0xFFFFFFFF == tag]
+                cover = np.zeros(len(lines) + 1, np.int64)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + need[at], -1)
+                gone = np.cumsum(cover)[:-1] > 0
+                removed.append(int(gone.sum()))
+                runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
+                kept.append(b"\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g) if whole else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), *batch.columns[5:]], ["id", "text", "n_lines", "n_removed", "n_runs", *others])
 
     kinds = [f"`{x}` {joined.schema[x].dataType.simpleString()}" for x in others]
-    return joined.select("id", "packed", "found", *others).mapInArrow(run, ", ".join([f"id {joined.schema['id'].dataType.simpleString()}, text string, n_lines long, n_removed long, n_runs long", *kinds]))
+    return joined.select("id", "packed", "tag", "digests", "found", *others).mapInArrow(run, ", ".join([f"id {joined.schema['id'].dataType.simpleString()}, text string, n_lines long, n_removed long, n_runs long", *kinds]))
 
 
 def delete_repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
-    """id, text without later copies, n_lines, n_removed, n_runs and the columns ``keep`` of each row."""
+    """id, text without later copies, n_lines, n_removed, n_runs and the columns ``keep`` of each row.
+
+    Kept columns are named ``_c0``, ``_c1``, ... where their own names would clash with these.
+    """
     keep = keep or []
     others = [f"_c{i}" for i in range(len(keep))]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(x) for c, x in zip(keep, others, strict=True)])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(x) for c, x in zip(keep, others, strict=True)])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                texts = pa.array([None if x is None else packer.compress(x.encode("utf-8", "surrogatepass")) for x in part.column(1).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), texts, *part.columns[2:]], ["id", "packed", *others])
+        for part in slices(batches):
+            texts = [None if x is None else x.encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
+            tags = [int.from_bytes(hashlib.blake2b(x or b"", digest_size=4).digest(), "little") for x in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else packer.compress(x) for x in texts], pa.binary()), pa.array(tags, pa.int64()), *part.columns[2:]], ["id", "packed", "tag", *others])
 
     kinds = [f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in others]
-    packed = rows.mapInArrow(pack, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, packed binary", *kinds]))
-    later = later_places(_suffixes(rows.select("id", "text"), min_lines, min_words))
-    found = _delete(meet_places(packed, later), min_lines, min_words, others)
-    return found.withColumnsRenamed(dict(zip(others, keep, strict=True)))
+    packed = rows.mapInArrow(pack, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, packed binary, tag long", *kinds]))
+    base = packed.join(copies(rows.filter("text is not null")), F.col("id").eqNullSafe(F.col("of")), "left").drop("of")
+    later, _ = later_copies(_lines(base, min_lines, min_words), Scratch(docs.sparkSession, "lines"), min_lines)
+    found = _delete(meet_places(base, later), min_lines, min_words, others)
+    taken = {"id", "text", "n_lines", "n_removed", "n_runs"}
+    return found.withColumnsRenamed({x: c for x, c in zip(others, keep, strict=True) if c not in taken})

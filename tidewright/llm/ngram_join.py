@@ -177,17 +177,18 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, width: int, percent: int
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(id, packed): the texts, each compressed, for shuffles that carry texts."""
+    """(id, packed, tag): the texts, each compressed, for shuffles that carry texts, and 32 bits of their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packer.compress((x or "").encode("utf-8", "surrogatepass")) for x in part.column(1).to_pylist()], pa.binary())], ["id", "packed"])
+        for part in slices(batches):
+            texts = [(x or "").encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
+            tags = [int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") for x in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(packer.compress, texts)), pa.binary()), pa.array(tags, pa.int64())], ["id", "packed", "tag"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, packed binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, packed binary, tag long")
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
