@@ -17,10 +17,10 @@
   where they form clusters, and about half of them where they point evenly in
   all of many directions, as no partition tells such neighbours apart.
 * Only the rows of chosen lists are scored against a query. Lists that are
-  neighbours are stored side by side, on a shelf of about ``BLOCK_ROWS`` rows, so
+  neighbours are stored side by side, on a shelf of about ``BLOCK_BYTES``, so
   that a query hands on k rows a shelf, not k rows a list. Shelves that have grown
-  are dealt into blocks of about ``BLOCK_ROWS`` rows and their queries into blocks
-  of about ``BLOCK_QUERIES``; a task scores a block of rows against a block of
+  are dealt into blocks of about ``BLOCK_BYTES`` and their queries into blocks of
+  about ``BLOCK_QUERIES``; a task scores a block of rows against a block of
   queries. A vector that a third of all rows hold fills many blocks, not one
   task, and a list is never cut.
 * Queries whose lists hold fewer than k other ids read all lists.
@@ -51,15 +51,22 @@ from pyspark.sql import functions as F
 from tidewright.llm.scratch import Scratch
 from tidewright.llm.worker import drop
 
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 20_000
+#: The part of the sample that centroids are fitted on; the ratio is fitted on the rest, which they haven't seen.
+FIT_SHARE = 0.6
 SAMPLE_BYTES = 32 << 20
-LIST_ROWS = 128
+LIST_ROWS = 256
 MOST_LISTS = 4096
-REPLICATE = 0.03
+REPLICATE = 0.005
 MOST_COPIES = 4
 DEGREE = 24
-BLOCK_ROWS = 4096
-BLOCK_QUERIES = 4096
+BLOCK_BYTES = 8 << 20
+BLOCK_QUERIES = 1024
+
+
+def block_rows(dim: int) -> int:
+    """How many vectors of ``dim`` components make a block of ``BLOCK_BYTES``."""
+    return max(256, BLOCK_BYTES // (8 * dim))
 
 
 def usable(vector: str) -> Column:
@@ -92,11 +99,14 @@ def _outward(centres: np.ndarray, top: float) -> np.ndarray:
 class Centroids:
     """Balanced centroids of a sample, with a graph to find the nearest of them."""
 
-    def __init__(self, sample: np.ndarray, lists: int, top: float, recall: float, k: int):
+    def __init__(self, sample: np.ndarray, lists: int, top: float, recall: float, k: int, total: int):
         rng = np.random.default_rng(11)
         self.top = top
         x = self.lift(sample)
-        self.centres = _outward(self._balanced(x, max(1, min(lists, len(x))), rng), top)
+        mixed = rng.permutation(len(x))
+        cut = int(FIT_SHARE * len(x)) if len(x) >= 4 * LIST_ROWS else len(x)
+        fitted, other = x[mixed[:cut]], mixed[cut:] if cut < len(x) else mixed
+        self.centres = _outward(self._balanced(fitted, max(1, min(lists, cut)), rng), top)
         n = len(self.centres)
         near = np.argsort(_squared(self.centres, self.centres), 1)[:, 1 : DEGREE + 1]
         links: list[set] = [set(row.tolist()) for row in near]
@@ -108,9 +118,9 @@ class Centroids:
         width = max(map(len, links))
         self.graph = np.array([sorted(s) + [a] * (width - len(s)) for a, s in enumerate(links)])
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
-        shelves = min(n, max(1, round(n * LIST_ROWS / BLOCK_ROWS)))
+        shelves = min(n, max(1, round(total / block_rows(sample.shape[1]))))
         self.shelf = _squared(self.centres, _means(self.centres, shelves, rng)).argmin(1)
-        self.ratio = self._fit_ratio(sample, x, recall, k, rng)
+        self.ratio = self._fit_ratio(sample[other], recall, max(1, -(-k * len(other) // max(total, len(other)))), rng)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(float)
@@ -206,9 +216,12 @@ class Centroids:
                 return row, ids[row, place]
             beam *= 4
 
-    def _fit_ratio(self, sample: np.ndarray, x: np.ndarray, recall: float, k: int, rng) -> float:
-        """The least ratio that finds ``recall`` of the sample's own neighbours."""
-        probe = rng.choice(len(sample), min(400, len(sample)), replace=False)
+    def _fit_ratio(self, sample: np.ndarray, recall: float, k: int, rng) -> float:
+        """The least ratio that finds ``recall`` of the sample's own neighbours.
+
+        Of the k nearest in the whole table a sample holds its share, so so many are looked for.
+        """
+        probe = rng.choice(len(sample), min(1000, len(sample)), replace=False)
         best = []
         for q in probe.tolist():
             score = sample @ sample[q]
@@ -225,7 +238,7 @@ class Centroids:
         return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1e-9
 
 
-def search(table: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.93) -> DataFrame:
+def search(table: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``queries`` holds."""
     spark = table.sparkSession
     rows = table.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
@@ -308,7 +321,7 @@ def _scores(own: pa.Table, asking: pa.Table, dim: int, k: int) -> pa.Table:
 def _meet(members: DataFrame, asks: DataFrame, sizes: DataFrame, dim: int, k: int) -> DataFrame:
     """(query_id, vec_id, score) of the k best in each shelf; ``sizes`` has one row a shelf, fewer than MOST_LISTS."""
     sizes = sizes.join(asks.groupBy("shelf").agg(F.count(F.lit(1)).alias("q")), "shelf")
-    sizes = F.broadcast(sizes.select("shelf", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb")))
+    sizes = F.broadcast(sizes.select("shelf", F.ceil(F.col("m") / block_rows(dim)).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb")))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     left = members.join(sizes, "shelf").withColumn("mi", F.pmod(F.xxhash64("id", "v"), F.col("mb")).cast("int")).withColumn("qi", F.explode(every("qb"))).select("shelf", "mi", "qi", "id", "list", "v")
     right = asks.join(sizes, "shelf").withColumn("qi", F.pmod(F.xxhash64("id", "v"), F.col("qb")).cast("int")).withColumn("mi", F.explode(every("mb"))).select("shelf", "mi", "qi", "id", "lists", "v")
@@ -327,7 +340,7 @@ def _search(rows: DataFrame, dim: int, total: int, top: float, k: int, recall: f
     scratch = Scratch(spark, "ann")
     sample = _sample(rows, dim, total)
     lists = max(1, min(MOST_LISTS, total // LIST_ROWS, max(1, len(sample) // 16)))
-    index = Centroids(sample, lists, top, recall, k)
+    index = Centroids(sample, lists, top, recall, k, total)
     shared = spark.sparkContext.broadcast(vars(index))
 
     def deal(asking: bool):

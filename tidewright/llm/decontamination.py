@@ -11,21 +11,29 @@ Words are compared in lower case and without punctuation.
 * Bit sampling: each table looks at a few random steps of one walk. The number
   of tables is set so that a pair at the greatest allowed edit distance meets in
   some table with probability ``recall`` (measured on edited copies of items).
-* Windows of an item's size are embedded where they can match at all: within e
-  edits of an item, at least ``m - q + 1 - q * e`` of its q-grams are left, on
-  diagonals at most ``2 * e`` apart. That bound loses nothing; it spares the
-  walk in all text that shares no such number of q-grams with any item.
-* Every pair that meets in a table is verified by the exact edit distance.
-
-Items are a stated query set: they are dealt into blocks of at most
-``BLOCK_BYTES``; each block is broadcast and meets all documents in one scan
-without a shuffle. A benchmark of any size is read block by block.
-
-Defined results: null and empty texts hold nothing; items without words are
-held by nothing; items of fewer than 100 / percent_edits words must be met
-exactly; repeated rows and rows with a null id are judged each; items that
-repeat an id count as one item of several texts, the nearest wins; an empty
-table on either side gives no rows; other columns are ignored.
+* A window of an item's size is embedded where the text shares one run of words
+  with the item, at the start which that run gives it. The run has q <= 3 words,
+  the most of which any text within e edits keeps one: ``m - q + 1 - q * e >= 1``.
+  So no place that holds an item is passed over, and text that has nothing of any
+  item isn't embedded; which windows are candidates, for which items, only the
+  tables decide.
+* Every pair that meets in a table is verified by the exact edit distance, in a
+  band of diagonals that an alignment of at most e edits can reach: rows of
+  ``4 * e + 1`` cells, so an item of 10,000 words takes 10,000 vector operations.
+
+Items are a stated query set: they are dealt by their texts into blocks of at
+most ``BLOCK_BYTES`` (one item at least); each block is broadcast and meets all
+documents in one scan without a shuffle. A benchmark of any size is read block
+by block.
+
+Defined results: null and empty texts hold nothing; texts of any length are
+searched whole; items without words, and those with null id or text, are held by
+nothing; items of fewer than 100 / percent_edits words must be met exactly;
+items that repeat an id count as one item of several texts, the nearest wins
+(ties: the first place); ids of documents and items may be of any type that
+Spark orders; rows that repeat an id are one document in ``find_items`` (null ids
+too) and are judged each in ``drop_holders``; an empty table on either side
+gives no rows, or drops none; other columns are ignored, or passed through.
 """
 
 from __future__ import annotations
@@ -40,9 +48,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewright.llm import words
-from tidewright.llm.worker import kept
+from tidewright.llm.worker import kept, slices
 
 BLOCK_BYTES = 8 << 20
 PERCENT_EDITS = 20
@@ -78,16 +87,34 @@ def embed(flat: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int) -> n
     return out
 
 
-def least_edits(item: list, text: list) -> tuple[int, int]:
-    """Least word edits from ``item`` to any stretch of ``text``, and where the first such stretch starts."""
-    before = [(0, j) for j in range(len(text) + 1)]
-    for i, word in enumerate(item, 1):
-        now = [(i, 0)]
-        for j, other in enumerate(text, 1):
-            a, b, c = before[j - 1], before[j], now[j - 1]
-            now.append(min((a[0] + (word != other), a[1]), (b[0] + 1, b[1]), (c[0] + 1, c[1])))
+def least_edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
+    """Least word edits from ``item`` to any stretch of ``text``, and where the first such stretch starts.
+
+    ``text`` is at most ``2 * most`` words longer than the item; more than ``most`` edits come as ``most + 1``.
+    """
+    # A cell holds edits << 32 | start; row i has the cells of text places i - most ... i + 3 * most.
+    one, never = np.int64(1) << 32, (np.int64(most) + 1) << 32
+    width = 4 * most + 1
+    step = np.arange(width, dtype=np.int64) * one
+    padded = np.concatenate([np.full(most + 1, -1, np.int64), text.view(np.int64), np.full(len(item) + 4 * most + 1, -1, np.int64)])
+    inside = np.arange(len(padded)) - most - 1 < len(text)
+    place = np.arange(-most, 3 * most + 1)
+    before = np.where((place >= 0) & (place <= len(text)), np.maximum(place, 0), never)
+    own = item.view(np.int64)
+    for i in range(1, len(item) + 1):
+        # The cell of text place j compares the text's word j - 1.
+        other, real = padded[i : i + width], inside[i : i + width] & (place + i >= 1)
+        now = np.where(real, before + (other != own[i - 1]) * one, never)
+        now[:-1] = np.minimum(now[:-1], before[1:] + one)
+        if i <= most:
+            now[most - i] = i * one
+        now = np.minimum(np.minimum.accumulate(now - step) + step, never)
+        now[(place + i < 0) | (place + i > len(text))] = never
+        if now.min() >= never:
+            return most + 1, 0
         before = now
-    return min(before)
+    best = int(before.min())
+    return best >> 32, best & 0xFFFFFFFF
 
 
 class Items:
@@ -101,11 +128,8 @@ class Items:
         self.size = counts.astype(np.int64)
         self.edits = self.size * percent // 100
         self.gram = np.zeros(len(block), np.int64)
-        self.need = np.zeros(len(block), np.int64)
         for q in (1, 2, 3):
-            left = self.size - q + 1 - q * self.edits
-            ok = (left >= 1) & (self.size >= q)
-            self.gram[ok], self.need[ok] = q, left[ok]
+            self.gram[(self.size - q + 1 - q * self.edits >= 1) & (self.size >= q)] = q
         self.indexes = []
         for q in sorted(set(self.gram.tolist()) - {0}):
             grams, item, offset = [], [], []
@@ -195,19 +219,7 @@ class Items:
                     continue
                 entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
                 item, offset, place, doc = item_of[entry], offset_of[entry], np.repeat(place, n), np.repeat(doc, n)
-                # A match leaves that many different q-grams of the item.
-                both = doc * len(self.ids) + item
-                pair, grams_met = np.unique(np.unique(both << 32 | offset) >> 32, return_counts=True)
-                enough = (grams_met >= self.need[pair % len(self.ids)])[np.searchsorted(pair, both)]
-                both, diagonal = both[enough], (place - offset)[enough]
-                # Hits on one item in one document, in the order of their diagonals.
-                key = np.sort(both << 32 | (diagonal + (1 << 30)))
-                item = (key >> 32) % len(self.ids)
-                near = 2 * self.edits[item]
-                enough = np.searchsorted(key, key + near, "right") - np.searchsorted(key, key - near, "left") >= self.need[item]
-                key = np.unique(key[enough])
-                doc, item = np.divmod(key >> 32, len(self.ids))
-                start = np.maximum((key & 0xFFFFFFFF) - (1 << 30), first[doc])
+                start = np.maximum(place - offset, first[doc])
                 for m in np.unique(self.size[item]).tolist():
                     windows[m].append((doc[self.size[item] == m], start[self.size[item] == m]))
             for m, parts in windows.items():
@@ -225,7 +237,7 @@ class Items:
                             verified.clear()
                         # Each word of the item that the stretch lacks takes an edit.
                         lacks = int((~np.isin(self.words[k], near)).sum())
-                        verified[key] = least_edits(self.words[k].tolist(), near.tolist()) if lacks <= e else (lacks, 0)
+                        verified[key] = least_edits(self.words[k], near, e) if lacks <= e else (lacks, 0)
                     edits, at = verified[key]
                     at += low
                     if edits <= e:
@@ -237,32 +249,36 @@ class Items:
 def find_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent_edits: int = PERCENT_EDITS, recall: float = RECALL) -> DataFrame:
     """(id, item, n_edits, start_word) for each row of ``docs`` and item that it holds."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = f"id {rows.schema['id'].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, n_edits int, start_word long"
-    found = [_search_block(rows, block, kinds, percent_edits, recall) for block in _blocks(benchmark, item_col, item_text_col)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], kinds)
+    kind = benchmark.schema[item_col].dataType
+    kinds = f"id {rows.schema['id'].dataType.simpleString()}, item {kind.simpleString()}, n_edits int, start_word long"
+    found = [_search_block(rows, block, kinds, to_arrow_type(kind), percent_edits, recall) for block in _blocks(benchmark, item_col, item_text_col)]
+    if not found:
+        return docs.sparkSession.createDataFrame([], kinds)
+    # An item may have texts in several blocks, and a document several rows.
+    nearest = reduce(DataFrame.unionByName, found).groupBy("id", "item").agg(F.min(F.struct("n_edits", "start_word")).alias("m"))
+    return nearest.select("id", "item", "m.n_edits", "m.start_word")
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple]]:
-    """The items, in blocks of about BLOCK_BYTES."""
-    items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    """The items, in blocks of about BLOCK_BYTES, dealt by id and text."""
+    items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(total) // BLOCK_BYTES)
     for number in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number).distinct().collect()
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).collect()
         if part:
             yield sorted((r["item"], r["text"]) for r in part)
 
 
-def _search_block(rows: DataFrame, block: list[tuple], kinds: str, percent: int, recall: float) -> DataFrame:
+def _search_block(rows: DataFrame, block: list[tuple], kinds: str, items_kind: pa.DataType, percent: int, recall: float) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = kept(("decontamination", hash(tuple(shared.value)), percent, recall), lambda: Items(shared.value, percent, recall))
-        for batch in batches:
+        for batch in slices(batches, 2000):
             found = index.search(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([x[1] for x in found], items_kind), pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.int64())], ["id", "item", "n_edits", "start_word"])
 
-    items_kind = pa.string() if "item string" in kinds else pa.int64()
     return rows.mapInArrow(run, kinds)
 
 
@@ -279,7 +295,7 @@ def _without(docs: DataFrame, block: list[tuple], text_col: str, percent: int, r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = kept(("decontamination", hash(tuple(shared.value)), percent, recall), lambda: Items(shared.value, percent, recall))
-        for batch in batches:
+        for batch in slices(batches, 2000):
             stay = np.ones(batch.num_rows, bool)
             stay[[x[0] for x in index.search(batch.column(place).to_pylist())]] = False
             yield batch.filter(pa.array(stay))

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import words
 from tidewright.llm.scratch import Scratch
-from tidewright.llm.substring_dedup import copies, meet_places, places_of
+from tidewright.llm.substring_dedup import meet_places, places_of
 from tidewright.llm.worker import drop, slices
 
 MIN_LINES = 3
@@ -69,32 +69,38 @@ def _needs(lines: list[bytes], min_lines: int, min_words: int | None) -> np.ndar
     return need
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], list[bool]]]:
-    """Rows in pieces, the lines of each, and whether a text is a copy. Columns: id, packed, tag, digests, ..."""
-    import zstandard
+def _utf8(column: pa.Array) -> list[bytes | None]:
+    return [None if x is None else x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
-    unpacker = zstandard.ZstdDecompressor()
-    for batch in slices(batches):
-        texts = [None if x is None else unpacker.decompress(x) for x in batch.column(1).to_pylist()]
-        same = [bool(d) and hashlib.sha256(t or b"").digest()[:16] in d for t, d in zip(texts, batch.column(3).to_pylist(), strict=True)]
-        yield batch, [[] if x is None else x.split(b"\n") for x in texts], same
 
+def _tag(text: bytes | None) -> int:
+    """32 bits that tell the texts of one id apart."""
+    return int.from_bytes(hashlib.blake2b(text or b"", digest_size=4).digest(), "little")
 
-def _lines(base: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
-    """(id, tag, at, need, a, b) for each line; a and b are its name."""
+
+def _lines(rows: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """(id, tag, at, need, a, b) for each line; a and b are its name. Place -1 stands for the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop()
-        for batch, texts, same in _unpacked(batches):
-            texts = [[] if s else x for x, s in zip(texts, same, strict=True)]
-            size = [len(x) for x in texts]
-            names = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for lines in texts for x in lines), "<i8").reshape(-1, 2)
-            row = pa.array(np.repeat(np.arange(len(texts)), size))
-            at = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in size]])
-            need = np.concatenate([np.zeros(0, np.int64), *[_needs(x, min_lines, min_words) for x in texts]])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(at.astype(np.int32)), pa.array(need.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1])], ["id", "tag", "at", "need", "a", "b"])
+        for batch in slices(batches):
+            texts = _utf8(batch.column(1))
+            lines = [[] if x is None else x.split(b"\n") for x in texts]
+            size = [len(x) + 1 for x in lines]
+            names = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for text, own in zip(texts, lines, strict=True) for x in (text or b"", *own)), "<i8").reshape(-1, 2)
+            row = np.repeat(np.arange(len(lines)), size)
+            at = np.concatenate([np.zeros(0, np.int64), *[np.arange(-1, n - 1) for n in size]])
+            need = np.concatenate([np.zeros(0, np.int64), *[x for own in lines for x in ([0], _needs(own, min_lines, min_words))]])
+            tags = np.array([_tag(x) for x in texts], np.int64)[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(tags), pa.array(at.astype(np.int32)), pa.array(need.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1])], ["id", "tag", "at", "need", "a", "b"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tag long, at int, need int, a long, b long")
 
-    return base.select("id", "packed", "tag", "digests").mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, tag long, at int, need int, a long, b long")
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """(id, tag) of texts that a document of smaller id has too."""
+    first = texts.groupBy("a", "b").agg(F.min(F.struct("id")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return texts.join(first, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("least.id"))).select(F.col("id").alias("_id"), F.col("tag").alias("_tag")).distinct()
 
 
 def _intervals(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -126,11 +132,16 @@ def _ahead(rows: DataFrame, step: int) -> DataFrame:
 
 
 def later_copies(lines: DataFrame, scratch: Scratch, min_lines: int) -> tuple[DataFrame, int]:
-    """(id, place) of each place from which a run goes, and the number of doubling rounds."""
-    saved = scratch.save(lines, "lines")
+    """(id, place) of each place from which a run goes, and the number of doubling rounds.
+
+    A place is the line and, in the lower 32 bits, the text's tag; -1 - tag stands for a whole text that is a copy.
+    """
+    every = scratch.save(lines, "lines")
+    copies = scratch.save(_copies(every.filter("at < 0")), "texts")
+    saved = every.filter("at >= 0").join(copies, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left_anti")
     # Rows that repeat an id and a text are one; only lines that occur again are left here.
     now = scratch.save(_rank(scratch, saved, "a", "b", "one").dropDuplicates(["id", "tag", "at"]), "one")
-    marks = [now.filter((F.col("need") == 1) & _later()).select(*_places())]
+    marks = [copies.select(F.col("_id").alias("id"), (-1 - F.col("_tag")).alias("place")), now.filter((F.col("need") == 1) & _later()).select(*_places())]
     h, rounds = 1, 0
     while not now.isEmpty():
         for size in range(h + 1, min(2 * h, min_lines + 1)):
@@ -151,22 +162,28 @@ def later_copies(lines: DataFrame, scratch: Scratch, min_lines: int) -> tuple[Da
 
 def _delete(joined: DataFrame, min_lines: int, min_words: int | None, others: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, same in _unpacked(batches):
-            kept, removed, runs = [], [], []
-            for lines, copy, tag, marks, whole in zip(texts, same, batch.column(2).to_pylist(), places_of(batch.column(4)), batch.column(1).is_valid().to_pylist(), strict=True):
-                need = _needs(lines, min_lines, min_words)
-                at = np.flatnonzero(need) if copy else (marks >> 32)[marks & 0xFFFFFFFF == tag]
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in slices(batches):
+            texts = [None if x is None else unpacker.decompress(x) for x in batch.column(1).to_pylist()]
+            kept, removed, runs, size = [], [], [], []
+            for text, marks in zip(texts, places_of(batch.column(2)), strict=True):
+                lines = [] if text is None else text.split(b"\n")
+                need, tag = _needs(lines, min_lines, min_words), _tag(text)
+                at = np.flatnonzero(need) if (marks == -1 - tag).any() else (marks >> 32)[(marks >= 0) & (marks & 0xFFFFFFFF == tag)]
                 cover = np.zeros(len(lines) + 1, np.int64)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + need[at], -1)
                 gone = np.cumsum(cover)[:-1] > 0
+                size.append(len(lines))
                 removed.append(int(gone.sum()))
                 runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
-                kept.append(b"\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g) if whole else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), *batch.columns[5:]], ["id", "text", "n_lines", "n_removed", "n_runs", *others])
+                kept.append(text if not removed[-1] else b"\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), *batch.columns[3:]], ["id", "text", "n_lines", "n_removed", "n_runs", *others])
 
     kinds = [f"`{x}` {joined.schema[x].dataType.simpleString()}" for x in others]
-    return joined.select("id", "packed", "tag", "digests", "found", *others).mapInArrow(run, ", ".join([f"id {joined.schema['id'].dataType.simpleString()}, text string, n_lines long, n_removed long, n_runs long", *kinds]))
+    return joined.select("id", "packed", "found", *others).mapInArrow(run, ", ".join([f"id {joined.schema['id'].dataType.simpleString()}, text string, n_lines long, n_removed long, n_runs long", *kinds]))
 
 
 def delete_repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
@@ -183,14 +200,12 @@ def delete_repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
         packer = zstandard.ZstdCompressor(level=3)
         for part in slices(batches):
-            texts = [None if x is None else x.encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
-            tags = [int.from_bytes(hashlib.blake2b(x or b"", digest_size=4).digest(), "little") for x in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else packer.compress(x) for x in texts], pa.binary()), pa.array(tags, pa.int64()), *part.columns[2:]], ["id", "packed", "tag", *others])
+            texts = pa.array([None if x is None else packer.compress(x) for x in _utf8(part.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), texts, *part.columns[2:]], ["id", "packed", *others])
 
     kinds = [f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in others]
-    packed = rows.mapInArrow(pack, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, packed binary, tag long", *kinds]))
-    base = packed.join(copies(rows.filter("text is not null")), F.col("id").eqNullSafe(F.col("of")), "left").drop("of")
-    later, _ = later_copies(_lines(base, min_lines, min_words), Scratch(docs.sparkSession, "lines"), min_lines)
-    found = _delete(meet_places(base, later), min_lines, min_words, others)
+    packed = rows.mapInArrow(pack, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, packed binary", *kinds]))
+    later, _ = later_copies(_lines(rows.select("id", "text"), min_lines, min_words), Scratch(docs.sparkSession, "lines"), min_lines)
+    found = _delete(meet_places(packed, later), min_lines, min_words, others)
     taken = {"id", "text", "n_lines", "n_removed", "n_runs"}
     return found.withColumnsRenamed({x: c for x, c in zip(others, keep, strict=True) if c not in taken})

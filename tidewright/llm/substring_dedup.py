@@ -10,7 +10,7 @@ A window is ``width`` consecutive words of one document. Spark rounds:
 2. Documents meet the codes of their repeated symbols. A window can only be
    repeated if all symbols it is known by are; only those windows get a row
    (digest, document, start). In text without repeats that is none. Symbols only
-   choose windows; the digest is 128 bits of BLAKE2b over the window's own words.
+   choose windows; the digest is 96 bits of BLAKE2b over the window's own words.
 3. Window rows are dealt and sorted by digest, document and start; all but the
    first of a digest are repeats. Each task hands them on grouped by document.
 4. Documents meet the starts of their repeated windows and lose the words below.
@@ -61,11 +61,12 @@ def _utf8(column: pa.Array) -> list[bytes]:
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """(of, digests): the digests of texts of an id that an earlier id has too."""
+    """(of, digests, mixed): ids with texts that an earlier id has too, as digests, and ids of several texts."""
     own = rows.select("id", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("digest"))
     first = own.groupBy("digest").agg(F.min(F.struct("id")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = own.join(first, "digest").filter(~F.col("id").eqNullSafe(F.col("least.id")))
-    return later.groupBy(F.col("id").alias("of")).agg(F.collect_set("digest").alias("digests"))
+    later = own.join(first, "digest").filter(~F.col("id").eqNullSafe(F.col("least.id"))).select("id", "digest", F.lit(False).alias("mixed"))
+    mixed = own.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("id", F.lit(None).cast("binary").alias("digest"), F.lit(True).alias("mixed"))
+    return later.unionByName(mixed).groupBy(F.col("id").alias("of")).agg(F.collect_set("digest").alias("digests"), F.max("mixed").alias("mixed"))
 
 
 def _told_apart(keys: np.ndarray, order: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,18 +190,18 @@ def _windows(joined: DataFrame, width: int) -> DataFrame:
                 if not len(which):
                     continue
                 doc = np.searchsorted(found.windows.first, which, "right") - 1
-                digest = np.frombuffer(words.digests(found.data, *found.spans(which)), "<i8").reshape(-1, 2)
+                digest = np.frombuffer(words.digests(found.data, *found.spans(which)), "<i8").reshape(-1, 2).copy()
+                digest[:, 1] &= 0xFFFFFFFF
                 start = which - found.windows.first[doc]
                 # Rows come in the order of the texts; where ids don't ascend, the least place isn't the first row.
                 own = ids.slice(a, b - a)
-                rank = np.argsort(np.argsort(_ordered(own), kind="stable"), kind="stable")[doc]
+                rank = _ordered(own)[doc]
                 order = np.lexsort((start, rank, digest[:, 1], digest[:, 0]))
                 first, elsewhere = _told_apart(digest, order, start + (tags[a:b][doc] << 20))
                 # Another row that repeats the first place isn't later than it: leave that to the sorted rows.
                 head = order[np.maximum.accumulate(np.where(first[order], np.arange(len(order)), 0))]
                 tied = np.zeros(len(order), bool)
-                tied[order] = _ordered(own)[doc][order] == _ordered(own)[doc][head]
-                tied[order] &= start[order] == start[head]
+                tied[order] = (rank[order] == rank[head]) & (start[order] == start[head])
                 flag = np.where(first | tied, OPEN, APART)
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(flag == APART, elsewhere, digest[:, 0])), pa.array(digest[:, 1]), own.take(pa.array(doc)), pa.array((start << 32 | tags[a:b][doc]) << 1 | (flag == APART))], ["name", "more", "id", "place"])
 
@@ -210,6 +211,8 @@ def _windows(joined: DataFrame, width: int) -> DataFrame:
 
 def _ordered(ids: pa.Array) -> np.ndarray:
     """Numbers that order ids as Spark does: null first, equal ids equal."""
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        return np.asarray(ids)
     values = ids.to_pylist()
     some = sorted({x for x in values if x is not None}, key=(lambda x: x.encode("utf-8", "surrogatepass")) if pa.types.is_string(ids.type) else None)
     number = {x: i + 1 for i, x in enumerate(some)}
@@ -296,7 +299,7 @@ def meet_places(packed: DataFrame, found: DataFrame) -> DataFrame:
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
     """(id, n_words, n_removed, kept) for each row; ``kept`` is UTF-8, words joined by one space."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = packed_texts(rows).join(copies(rows), F.col("id").eqNullSafe(F.col("of")), "left").drop("of")
+    base = packed_texts(rows).join(copies(rows), F.col("id").eqNullSafe(F.col("of")), "left").withColumn("tag", F.when(F.col("mixed"), F.col("tag")).otherwise(0)).drop("of", "mixed")
     places = _met_twice(_symbols(base, width))
     later = later_places(_windows(meet_places(base, places), width))
     return _cut(meet_places(base, later), width)

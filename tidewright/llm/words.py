@@ -6,7 +6,7 @@ only: the same on every executor and in every run. A word of up to eight bytes
 is its own name, scrambled, so no two of one length share one; up to sixteen
 bytes, both halves are scrambled one after the other; longer words and lines go
 by BLAKE2b. Names choose candidates; what deletes text compares ``digests`` of
-128 bits of the words themselves.
+the words themselves.
 """
 
 from __future__ import annotations
