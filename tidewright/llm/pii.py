@@ -9,30 +9,32 @@ The field labels *chunks*: runs of digits and number punctuation, and words with
 an ``@`` or a digit. Its potentials are
 
 * a chunk's shape (number of digits, separators, check digit, letters, ...);
-* neighbouring chunks;
-* skip edges: chunks of a document that are alike (same digits, same mailbox
-  name), however far apart, prefer the same label.
+* neighbouring chunks, label by label;
+* skip edges, label by label: chunks of a document that are alike (same digits,
+  same mailbox name), however far apart.
 
 A chunk that the base found has its label given. Loopy sum-product message
 passing carries labels along the edges, so that ``555-0142 (988)`` becomes a
 phone number where the document has ``+1 (988) 555 0142``. Chunks that end up
 with a label of probability over one half and touch no base span are added.
 Chunks alike are linked in a row and to the first of them: a number of edges
-that is linear in the document.
+that is linear in the document. Every document with a chunk is decoded; the
+graphs of a slice of documents are passed over together.
 
-Weights are fitted on at most ``SAMPLES`` documents with digits or an ``@`` (the
-one of smallest hash in each of as many buckets, of at most ``SAMPLE_CHARS``
-characters), with the base's labels: shapes by regularised logistic regression,
-edges by how much more often linked chunks agree than chunks at large.
-
-The patterns have turned down every chunk whose label isn't given, so shape alone
-must not overrule them: a shape's potential for a label is at most ``DOUBT``
-below that for none, and only messages from chunks alike lift it. A document
-without base spans has nothing to pass on and isn't decoded.
+All weights are fitted together, by pseudo-likelihood with a normal prior, on at
+most ``SAMPLES`` documents with digits or an ``@`` (the one of smallest hash in
+each of as many buckets, of at most ``SAMPLE_CHARS`` characters), with the base's
+labels. As a shape mostly tells its label by itself, each chunk is also taken
+with its shape blurred to the number of digits: what its neighbours and those
+alike tell is then learned too. The prior has chunks alike agree by ``ALIKE``;
+chunks alike one that the base found, but passed over by it, are no examples.
 
 Defined results: a null text is empty; no digit and no ``@`` means no spans; a
-null id is kept; repeated rows are searched each; an empty table gives no rows;
-without a sample the field adds nothing; other columns are ignored.
+null id is kept; repeated rows are searched each; texts of any length are
+searched whole, in time linear in text, chunks and spans; chunks whose labels tie
+take the first of none, email, ip, card, phone; an empty table gives no rows;
+without a sample the field adds nothing; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -45,11 +47,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.worker import drop, slices
+
 SAMPLES = 1024
 SAMPLE_CHARS = 20_000
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 12
-DOUBT = 0.5
+#: Before any example, how much likelier it is (in logarithms) that chunks alike have one label.
+ALIKE = 6.0
+STEPS = 300
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -115,17 +121,20 @@ def chunks(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def features(chunk: str) -> np.ndarray:
-    """The shape of a chunk as zeros and ones."""
+#: The features that a blurred shape keeps: the first, and the numbers of digits.
+_BLURRED = np.array([i == 0 or 10 <= i <= 15 for i in range(18)] + [True])
+
+
+def features(chunk: str) -> list[float]:
+    """The shape of a chunk as zeros and ones; the last is one for blurred shapes."""
     digits = _NOT_DIGIT.sub("", chunk)
     n = len(digits)
-    letters = any(c.isalpha() for c in chunk)
-    tests = (
-        True, "@" in chunk, chunk.count("@") == 1 and "." in chunk.rpartition("@")[2], letters, chunk[:1] == "+", "(" in chunk,
+    letters = any(map(str.isalpha, chunk))
+    return [
+        1.0, "@" in chunk, chunk.count("@") == 1 and "." in chunk.rpartition("@")[2], letters, chunk[:1] == "+", "(" in chunk,
         chunk.count(".") == 3 and not letters, "." in chunk, "-" in chunk, " " in chunk,
-        n == 0, 1 <= n <= 4, 5 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n > 19, 13 <= n <= 19 and luhn(digits), chunk[:1] == "+" and 9 <= n <= 15,
-    )
-    return np.array(tests, float)
+        n == 0, 1 <= n <= 4, 5 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n > 19, 13 <= n <= 19 and luhn(digits), chunk[:1] == "+" and 9 <= n <= 15, 0.0,
+    ]
 
 
 def likeness(chunk: str) -> str | None:
@@ -157,93 +166,133 @@ def skip_edges(keys: list[str | None]) -> list[tuple[int, int]]:
 
 
 def labels_of(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
-    """1 + kind of the base span that covers most of each chunk, or 0."""
-    found = []
-    ordered = sorted(base, key=lambda x: x[1])
-    j = 0
-    for a, b in spans:
-        while j < len(ordered) and ordered[j][2] <= a:
-            j += 1
-        best = (0, 0)
-        for kind, s, e in ordered[j : j + 8]:
-            if s >= b:
-                break
-            best = max(best, (min(b, e) - max(a, s), kind + 1))
-        found.append(best[1] if 2 * best[0] >= b - a else 0)
-    return found
+    """1 + kind of the base span that covers most of each chunk, if half of it at least, or 0."""
+    best = [(0, 0)] * len(spans)
+    for kind in range(len(KINDS)):
+        own = sorted((s, e) for k, s, e in base if k == kind)  # they don't overlap
+        j = 0
+        for i, (a, b) in enumerate(spans):
+            while j < len(own) and own[j][1] <= a:
+                j += 1
+            k = j
+            while k < len(own) and own[k][0] < b:
+                best[i] = max(best[i], (min(b, own[k][1]) - max(a, own[k][0]), kind + 1))
+                k += 1
+            j = max(j, k - 1)
+    return [label if 2 * size >= b - a else 0 for (a, b), (size, label) in zip(spans, best, strict=True)]
+
+
+class Graph:
+    """The chunks of some texts, their shapes and edges, and the labels that the base gives."""
+
+    def __init__(self, texts: list[str], bases: list[list[tuple[int, int, int]]]):
+        shape, self.given, near, skip, self.spans, self.first = [], [], [], [], [], [0]
+        for text, base in zip(texts, bases, strict=True):
+            own = chunks(text)
+            at = len(self.given)
+            shape += [features(text[a:b]) for a, b in own]
+            self.given += labels_of(own, base)
+            near += [(at + i, at + i + 1) for i in range(len(own) - 1)]
+            skip += [(at + a, at + b) for a, b in skip_edges([likeness(text[a:b]) for a, b in own])]
+            self.spans.append(own)
+            self.first.append(len(self.given))
+        self.shape = np.array(shape, float).reshape(-1, len(_BLURRED))
+        self.given = np.array(self.given, np.int64)
+        self.near, self.skip = (np.array(e, np.int64).reshape(-1, 2) for e in (near, skip))
+
+    def around(self, edges: np.ndarray, labels: int) -> np.ndarray:
+        """How many chunks of each label are linked to each chunk."""
+        found = np.zeros((len(self.given), labels))
+        for a, b in ((0, 1), (1, 0)):
+            np.add.at(found, (edges[:, a], self.given[edges[:, b]]), 1.0)
+        return found
 
 
 class Field:
-    """The weights: shapes x labels, and one potential for each kind of edge."""
+    """The weights: shapes x labels, and labels x labels for neighbours and for chunks alike."""
 
-    def __init__(self, shape: np.ndarray, near: float, skip: float):
+    def __init__(self, shape: np.ndarray, near: np.ndarray, skip: np.ndarray):
         self.shape, self.near, self.skip = shape, near, skip
 
     @classmethod
     def fit(cls, texts: list[str]) -> "Field | None":
-        rows, labels, agree, pairs = [], [], 0, 0
-        for text in texts:
-            spans = chunks(text)
-            own = labels_of(spans, base_spans(text))
-            for a, b in skip_edges([likeness(text[a:b]) for a, b in spans]):
-                if own[a] or own[b]:
-                    pairs += 1
-                    agree += own[a] == own[b]
-            rows += [features(text[a:b]) for a, b in spans]
-            labels += own
-        if not rows:
+        """Maximum pseudo-likelihood under the prior, by accelerated gradient steps."""
+        graph, k = Graph(texts, [base_spans(text) for text in texts]), len(KINDS) + 1
+        if not len(graph.given):
             return None
-        x, y = np.array(rows), np.eye(len(KINDS) + 1)[labels]
-        w = np.zeros((x.shape[1], y.shape[1]))
-        for _ in range(400):
-            p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
+        blurred = graph.shape * _BLURRED
+        blurred[:, -1] = 1.0
+        around = np.concatenate([graph.around(graph.near, k), graph.around(graph.skip, k)], 1)
+        # That the patterns pass over a chunk alike one that they found says nothing about its label.
+        told = np.flatnonzero((graph.given > 0) | (around[:, k + 1 :].sum(1) == 0))
+        x = np.concatenate([np.concatenate([s[told], around[told]], 1) for s in (graph.shape, blurred)])
+        y = np.eye(k)[np.tile(graph.given[told], 2)]
+        f = graph.shape.shape[1]
+        prior = np.zeros((x.shape[1], k))
+        prior[f + k :] = ALIKE * np.eye(k)
+        # An example weighs no more for having many chunks around it.
+        step = 4.0 / max(1.0, float((x**2).sum(1).mean()))
+        w, ahead = prior.copy(), prior.copy()
+        for i in range(STEPS):
+            z = x @ ahead
+            p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            w += 2.0 * (x.T @ (y - p) / len(x) - 1e-3 * w)
-        # Linked chunks agree this much more than they differ (at most e**4), smoothed.
-        skip = float(np.clip(np.log((agree + 4.0) / (pairs - agree + 1.0)), 0.5, 4.0))
-        return cls(w, 0.1, skip)
-
-    def decode(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans to add to the base's."""
-        spans = chunks(text) if base else []
-        if not spans:
-            return []
-        given = labels_of(spans, base)
-        unary = np.array([features(text[a:b]) for a, b in spans]) @ self.shape
-        unary[:, 1:] = np.minimum(unary[:, 1:], unary[:, :1] - DOUBT)
-        n, k = unary.shape
-        for i, label in enumerate(given):
-            if label:
-                unary[i] = -12.0
-                unary[i, label] = 12.0
-        edges = [(i, i + 1, self.near) for i in range(n - 1)] + [(a, b, self.skip) for a, b in skip_edges([likeness(text[a:b]) for a, b in spans])]
-        if not edges:
-            belief = unary
-        else:
-            e = np.array([(a, b) for a, b, _ in edges] + [(b, a) for a, b, _ in edges])
-            weight = np.exp(np.array([w for *_, w in edges] * 2))[:, None]
-            back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-            message = np.zeros((len(e), k))
-            for _ in range(ROUNDS):
+            new = ahead + step * (x.T @ (y - p) / len(x) - 1e-4 * (ahead - prior))
+            for a in (f, f + k):
+                new[a : a + k] = (new[a : a + k] + new[a : a + k].T) / 2
+            ahead = new + i / (i + 3) * (new - w)
+            w = new
+        return cls(w[:f], w[f : f + k], w[f + k :])
+
+    def beliefs(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
+        """Probabilities of the labels of all chunks, by loopy message passing."""
+        unary = graph.shape @ self.shape
+        known = np.flatnonzero(graph.given)
+        unary[known] = -30.0
+        unary[known, graph.given[known]] = 30.0
+        belief = unary
+        edges = np.concatenate([graph.near, graph.skip])
+        if len(edges):
+            e = np.concatenate([edges, edges[:, ::-1]])
+            skip = np.tile(np.arange(len(edges)) >= len(graph.near), 2)
+            back = (np.arange(len(e)) + len(edges)) % len(e)
+            near, alike = np.exp(self.near), np.exp(self.skip)
+            message = np.zeros((len(e), unary.shape[1]))
+            for _ in range(rounds):
                 belief = unary.copy()
                 np.add.at(belief, e[:, 1], message)
                 out = belief[e[:, 0]] - message[back]
                 out = np.exp(out - out.max(1, keepdims=True))
-                # Potts potentials: a label gets the other side's mass for it weighted, and all other mass.
-                new = np.log(out.sum(1, keepdims=True) + (weight - 1) * out)
+                new = np.log(np.maximum(np.where(skip[:, None], out @ alike, out @ near), 1e-300))
                 new -= new.max(1, keepdims=True)
                 message = 0.5 * message + 0.5 * new
             belief = unary.copy()
             np.add.at(belief, e[:, 1], message)
         p = np.exp(belief - belief.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        added = []
-        taken = sorted((s, e) for _, s, e in base)
-        for i, (a, b) in enumerate(spans):
-            label = int(p[i].argmax())
-            if label and not given[i] and p[i, label] > 0.5 and not any(s < b and a < t for s, t in taken):
-                added.append((label - 1, a, b))
-        return added
+        return p / p.sum(1, keepdims=True)
+
+    def decode_all(self, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+        """Spans to add to the base's, text by text."""
+        graph = Graph(texts, bases)
+        p = self.beliefs(graph)
+        label = p.argmax(1) if len(p) else np.zeros(0, np.int64)
+        add = (label > 0) & (graph.given == 0) & (p.max(1, initial=0) > 0.5)
+        found = []
+        for i, base in enumerate(bases):
+            own, at = [], graph.first[i]
+            taken, j = sorted((s, e) for _, s, e in base), 0
+            ends = np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
+            for k in np.flatnonzero(add[at : graph.first[i + 1]]).tolist():
+                a, b = graph.spans[i][k]
+                while j < len(taken) and taken[j][0] < b:  # spans that start before the chunk ends
+                    j += 1
+                if not (j and ends[j - 1] > a):
+                    own.append((int(label[at + k]) - 1, a, b))
+            found.append(own)
+        return found
+
+    def decode(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        return self.decode_all([text], [base])[0]
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
@@ -252,8 +301,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> F
     hashed = usable.select(F.xxhash64(F.lit("pii"), id_col).alias("h"), F.col(id_col).alias("id"))
     picked = hashed.groupBy(F.pmod("h", F.lit(SAMPLES))).agg(F.min(F.struct("h", "id")).alias("m")).select("m.id").collect()
     ids = [r["id"] for r in picked if r["id"] is not None]
-    rows = usable.filter(F.col(id_col).isin(ids)).select(id_col, text_col).dropDuplicates([id_col]).orderBy(id_col).limit(SAMPLES).collect() if ids else []
-    return Field.fit([r[1] for r in rows])
+    rows = usable.filter(F.col(id_col).isin(ids)).groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text")).collect() if ids else []
+    return Field.fit([r["text"] for r in sorted(rows, key=lambda r: r["id"])])
 
 
 def find_spans(docs: DataFrame, field: Field | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,16 +317,11 @@ def find_spans(docs: DataFrame, field: Field | None, *, id_col: str = "doc_id",
         return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], ["kind", "start", "end"])).cast(span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base, added = [], []
-            for text in batch.column(1).to_pylist():
-                if not text or not _MARK.search(text):
-                    base.append([])
-                    added.append([])
-                    continue
-                own = base_spans(text)
-                base.append(own)
-                added.append(field.decode(text, own) if field else [])
+        drop()
+        for batch in slices(batches):
+            texts = [text if text and _MARK.search(text) else "" for text in batch.column(1).to_pylist()]
+            base = [base_spans(text) for text in texts]
+            added = field.decode_all(texts, base) if field else [[]] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pack(base), pack(added)], ["id", "base", "added"])
 
     kind = "array<struct<kind: int, start: int, end: int>>"
