@@ -18,8 +18,11 @@ lower-casing and one pattern, take a short path; all others go through the
 library's own normaliser and pretokeniser.
 
 Defined results: a null or empty text encodes to no ids and decodes to the
-empty string; repeated rows are encoded each; an empty table gives no rows;
-other columns are passed through by ``encode``/``round_trip`` only where named.
+empty string; texts and words of any length are encoded whole, in time linear in
+the text (a word costs a few steps a symbol); there are no ties, as an encoding
+is unique; repeated rows and rows with a null id are encoded each; an empty table
+gives no rows; other columns are passed through by ``encode``/``round_trip`` only
+where named, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,9 +50,22 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _NOT_SHORT = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
 # The pretokenizer pattern of the file whose texts take the short path.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The normaliser and pretokeniser that amount to lower-casing and that pattern on such texts.
+_LOWER = [("NFC", None), ("Replace", r"\s+", " "), ("Lowercase", None)]
+_SPLIT = [("Split", _WORD_PATTERN, "Removed", True), ("ByteLevel", False, False)]
 _SHORT = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{_LETTERS}]+")
 
 
+def _shape(steps: dict | None) -> list[tuple]:
+    """What a normaliser or pretokeniser of a tokenizer file does, step by step."""
+    found = []
+    for step in (steps or {}).get("normalizers") or (steps or {}).get("pretokenizers") or [steps or {}]:
+        kind, pattern = step.get("type"), (step.get("pattern") or {}).get("Regex")
+        more = {"Replace": (step.get("content"),), "Split": (step.get("behavior"), step.get("invert")), "ByteLevel": (step.get("use_regex"),)}
+        found.append((kind, step.get("add_prefix_space") if kind == "ByteLevel" else pattern, *more.get(kind, ())))
+    return found
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -157,7 +173,7 @@ class Codec:
             raise ValueError("added tokens must be matched in the text as it is")
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.text_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.short = any(p.get("pattern", {}).get("Regex") == _WORD_PATTERN for p in spec["pre_tokenizer"].get("pretokenizers", []))
+        self.short = _shape(spec.get("normalizer")) == _LOWER and _shape(spec.get("pre_tokenizer")) == _SPLIT
 
         # Inner names: base symbols first, then one for each merge, in the order of the merges.
         alphabet = byte_alphabet()
