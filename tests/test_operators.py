@@ -1,14 +1,17 @@
+import hashlib
+import json
 import random
 import re
 import unicodedata
+import uuid
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import SF
-from tidewright.operators import filters, graph, joins, ledger, selection
-from tidewright.plans import registry, scalars
+from tidewright.operators import aggregates, classification, filters, graph, joins, ledger, selection
+from tidewright.plans import registry
 from tidewright.streaming import dedupe
 
 
@@ -75,8 +78,13 @@ def test_receipts_over_micro_batches(spark, tmp_path):
     path = str(tmp_path / "receipts")
     one = spark.createDataFrame([(1, "a"), (2, "b")], "job int, body string")
     two = spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], "job int, body string")
-    assert {r.outcome for r in dedupe.import_batch(one, path, "job", "body").collect()} == {"NEW"}
-    assert {r.job: r.outcome for r in dedupe.import_batch(two, path, "job", "body").collect()} == {1: "ALREADY_IMPORTED", 2: "CONFLICT", 3: "NEW"}
+    for _ in range(2):  # a batch that is run again gives the same outcomes
+        assert {r.outcome for r in dedupe.import_batch(one, path, "job", "body", 0).collect()} == {"NEW"}
+    for _ in range(2):
+        assert {r.job: r.outcome for r in dedupe.import_batch(two, path, "job", "body", 1).collect()} == {1: "ALREADY_IMPORTED", 2: "CONFLICT", 3: "NEW"}
+    three = spark.createDataFrame([(7, "x"), (7, "y"), (7, "y")], "job int, body string")
+    assert sorted(r.outcome for r in dedupe.import_batch(three, path, "job", "body", 2).collect()) == ["CONFLICT", "NEW"]
+    assert spark.read.parquet(path).count() == 4
 
 
 def test_streamed_fold(spark, tmp_path):
@@ -101,21 +109,130 @@ def test_scalar_queries_read_whole_texts_in_every_language(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = lambda name, column: {r.doc_id: r[column] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
     plain = lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()
-    assert found("x2_squeezed_whole", "s") == {i: " ".join(s.replace("_", " ").lower().split()) for i, s in texts.items()}
-    assert found("x3_ascii_folded_whole", "s") == {i: " ".join(re.findall("[a-z0-9]+", plain(s))) for i, s in texts.items()}
-    assert found("x42_search_words_whole", "words") == {i: sorted({w for w in re.findall(r"[\w-]+", s.lower()) if len(w) >= 3}) for i, s in texts.items()}
-    links = found("x10_wiki_links", "links")
-    assert all(links[i][-1] == "Les" for i in range(6))
-    best = {}
-    for i, s in texts.items():
-        title, body = (set(re.findall("[a-z]+", x.lower())) for x in (s[:60], s[60:]))
-        for branch, concept, terms in scalars._CONCEPTS:
-            a, b = len(title & {*terms}), len(body & {*terms})
-            if a + b:
-                score = min(95, 18 * a + 7 * min(5, b) + (7 if a and b else 0))
-                best[i, branch] = max(best.get((i, branch), (0, "")), (score, concept))
-    rows = registry.QUERIES["x24_classify_whole"](spark, str(tmp_path)).collect()
-    assert {(r.doc_id, r.branch): (r.score, r.concept) for r in rows} == best
+    assert found("x2_squeezed", "s") == {i: " ".join(s.replace("_", " ").lower().split()) for i, s in texts.items()}
+    assert found("x3_ascii_folded", "s") == {i: " ".join(re.findall("[a-z0-9]+", plain(s))) for i, s in texts.items()}
+    assert found("x42_search_words", "words") == {i: sorted({w for w in re.findall(r"[\w-]+", s.lower()) if len(w) >= 3}) for i, s in texts.items()}
+    name = lambda x: " ".join(re.split(r"[|#]", x)[0].replace("_", " ").split())
+    links = {i: {n[0].upper() + n[1:] for n in ["first one", *map(name, s.split(" "))] if n} for i, s in texts.items()}
+    assert {i: set(x) for i, x in found("x10_wiki_links", "links").items()} == links
+
+
+def test_leads_and_passages(spark, tmp_path):
+    spark.createDataFrame([(1, "the cat <b>sat</b> ''there'' le chat " + "z " * 200 + "the end"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in registry.QUERIES["x11_x12_lead_and_passages"](spark, str(tmp_path)).collect()}
+    lead = "the cat sat there le chat " + "z " * 200 + "the end"
+    assert rows[1].n == len(lead) and rows[2].n == 0 and not rows[2].passages
+    assert rows[1].passages == [" ".join(lead[:123].split()), " ".join(lead[lead.rindex("the") - 120 :].split())]
+
+
+def test_uuids_and_keys(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    found = {r.page_id: r.uuid for r in registry.QUERIES["x41_deterministic_uuid"](spark, SF).collect()}
+    assert found == {r.page_id: str(uuid.uuid5(uuid.NAMESPACE_URL, r.url)) for r in pages}
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    keys = {(r.conv_id, r.turn): r.fact_key for r in registry.QUERIES["x20_canonical_keys"](spark, SF).collect()}
+    assert keys == {(r.conv_id, r.turn): "PROP2_" + hashlib.sha256(json.dumps({"page_id": r.conv_id, "statement": r.text}, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest()[:40] for r in turns}
+
+
+def test_fingerprints_follow_every_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    first = aggregates.fingerprint(docs, ["doc_id", "text"]).collect()
+    assert first == aggregates.fingerprint(docs.repartition(7), ["doc_id", "text"]).collect()
+    other = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.lit("x")).otherwise(F.col("text")))
+    assert first != aggregates.fingerprint(other, ["doc_id", "text"]).collect()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packers_equal_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"k{rng.randrange(3)}", i, rng.randrange(1, 60), rng.randrange(1, 9), rng.random() < 0.3) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, i int, n int, w int, e boolean")
+    by_key = {k: sorted(r for r in rows if r[0] == k) for k in {r[0] for r in rows}}
+    wanted = set()
+    for own in by_key.values():
+        taken, n, w = [], 0, 0
+        for r in own:
+            if len(taken) < 12 and r[2] <= 200 and (not taken or (n + r[2] <= 200 and w + r[3] <= 30)):
+                taken.append(r)
+                n, w = n + r[2], w + r[3]
+        wanted |= set(taken)
+    assert {tuple(r) for r in selection.budget_skipping(df, "k", ["i"], {"n": 200, "w": 30}, 12, firm="n").collect()} == wanted
+    wanted = set()
+    for own in by_key.values():
+        queues, left, taken, explored = [[r for r in own if not r[4]], [r for r in own if r[4]]], 150.0, 0, 0
+        while any(queues):
+            for q in (0, 1) if explored >= 0.25 * (taken + 1) else (1, 0):
+                if queues[q] and queues[q][0][2] <= left:
+                    r = queues[q].pop(0)
+                    left, taken, explored = left - r[2], taken + 1, explored + q
+                    wanted.add(r)
+                    break
+            else:
+                break
+    assert {tuple(r) for r in selection.two_queues(df, "k", ["i"], "n", "e", 150.0).collect()} == wanted
+    wanted = {}
+    for own in by_key.values():
+        for b in range(0, len(own), 20):
+            bins = []
+            for r in own[b : b + 20]:
+                k = next((k for k, g in enumerate(bins) if sum(x[2] for x in g) + r[2] <= 80 and len(g) < 4), len(bins))
+                bins[k : k + 1] = [[*(bins[k] if k < len(bins) else []), r]]
+                wanted[r[1]] = k + b
+    assert {r.i: r.bin for r in selection.first_fit_jobs(df, "k", ["i"], "n", 80, 4, block=20).collect()} == wanted
+
+
+def test_crawl_equals_a_plain_loop(spark):
+    rng = random.Random(8)
+    edges = [(g, a, rng.randrange(60), float(rng.randrange(30))) for g in range(3) for a in range(60) for _ in range(rng.randrange(6))]
+    edges = list({(g, a, b): (g, a, b, x) for g, a, b, x in edges}.values())
+    seeds = [(g, 7 * g + s, 1000.0) for g in range(3) for s in range(3)]
+    wanted = set()
+    for g in range(3):
+        score = {n: v for h, n, v in seeds if h == g}
+        level, done = dict.fromkeys(score, 0), []
+        pushed = [(-v, n) for n, v in score.items()]
+        while pushed and len(done) < 15:
+            pushed.sort()
+            _, a = pushed.pop(0)
+            if a in done:
+                continue
+            done.append(a)
+            for _, _, b, gain in sorted(e for e in edges if e[:2] == (g, a))[:4] if level[a] < 2 else []:
+                new = round(70 - 22 * (level[a] + 1) + gain, 3)
+                if b not in score or (new > score[b] and level[b]):
+                    score[b], level[b] = new, min(level.get(b, level[a] + 1), level[a] + 1)
+                    pushed.append((-new, b))
+        wanted |= {(g, n, level[n], score[n], n in done) for n in score}
+    found = graph.best_first("g", spark.createDataFrame(edges, "g int, source int, target int, gain double"), spark.createDataFrame(seeds, "g int, node int, score double"), pages=15, links=4, depth=2)
+    assert {tuple(r) for r in found.collect()} == wanted
+
+
+def test_intervals_of_every_length(spark):
+    rng = random.Random(2)
+    spans = [(i, a := rng.randrange(-500, 2000), a + rng.choice([0, 1, 7, 60, 900, 100_000])) for i in range(120)] + [(999, 5, 4)]
+    points = [(rng.randrange(-600, 3000),) for _ in range(300)]
+    found = joins.interval_join(spark.createDataFrame(points, "x long"), spark.createDataFrame(spans, "i int, a long, b long"), "x", "a", "b")
+    assert sorted((r.x, r.i) for r in found.collect()) == sorted((x, i) for (x,) in points for i, a, b in spans if a <= x <= b)
+
+
+def test_lifecycle_has_retries(spark):
+    events = [(1, i, e) for i, e in enumerate(["queue", "hold", "retry", "queue", "select", "queue", "partial", "retry"])] + [(2, 0, "retry")]
+    found = {r.k: (r.state, r.applied, r.refused) for r in ledger.folded_state(spark.createDataFrame(events, "k int, o int, e string"), "k", "o", "e").collect()}
+    assert found == {1: ("SELECTED", 8, 0), 2: ("PENDING", 0, 1)}
+
+
+def test_append_only_refuses_changes(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    assert [r.k for r in ledger.append_only(stored, spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string"), "k").collect()] == [3]
+    with pytest.raises(ValueError, match="append only"):
+        ledger.append_only(stored, spark.createDataFrame([(2, "x")], "k int, v string"), "k")
+
+
+def test_profiles_without_signs_cant_be_classified_again(spark):
+    profiles = spark.createDataFrame([(1, "t", None, ["a"], "Q1", "old")], "i int, title string, categories array<string>, links array<string>, qid string, signature string")
+    terms = spark.createDataFrame([("b", "c", "t")], "branch string, concept string, term string")
+    with pytest.raises(ValueError):
+        classification.reclassified(profiles, profiles, terms, "new", item="i", kinds={"PLACE": ("x",)})
 
 
 def test_crawl_reaches_every_customer(spark):

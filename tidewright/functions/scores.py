@@ -1,4 +1,8 @@
-"""Scores and tiers as column expressions. Weights are parameters with the catalogue's values."""
+"""Scores and tiers as column expressions.
+
+Fixed values: the weights, caps and thresholds of each formula, and the names of signals,
+reasons and tiers below are the catalogue's own.
+"""
 
 from __future__ import annotations
 

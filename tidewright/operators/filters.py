@@ -108,3 +108,17 @@ def masked(df: DataFrame, mode: str, blank: Mapping[str, Iterable[str]]) -> Data
     """Rows that aren't hidden, with the columns that each mode blanks set to null."""
     columns = {c for cs in blank.values() for c in cs}
     return df.filter(F.col(mode) != "HIDE").withColumns({c: F.when(F.col(mode).isin([m for m, cs in blank.items() if c in cs]), None).otherwise(F.col(c)) for c in columns})
+
+
+def searched(df: DataFrame, wanted: dict[str, list], bridges: list[tuple[DataFrame, str, str]], allowed: Column | None = None) -> DataFrame:
+    """Rows with one of the wanted values in each column (an empty list wants all), allowed ones, that every bridge knows.
+
+    A bridge is (table, own key, its key); they are semi joins, so a row comes once however many rows match.
+    """
+    out = df if allowed is None else df.filter(allowed)
+    for column, values in wanted.items():
+        if values:
+            out = out.filter(F.col(column).isin(*values))
+    for i, (table, own, key) in enumerate(bridges):
+        out = out.join(table.select(F.col(key).alias(f"_b{i}")), F.col(own) == F.col(f"_b{i}"), "left_semi")
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,26 +19,35 @@ def token_index(df: DataFrame, item: str, text: str, stop: tuple[str, ...] = ())
     return df.select(item, F.posexplode(words).alias("position", "token"))
 
 
+def _found(index: DataFrame, item: str, phrases: dict[str, list[str]]) -> DataFrame:
+    """(item, terms): the names of the phrases that each item has.
+
+    Only the phrases' own words leave the index, and items are grouped once, whatever the number of phrases.
+    """
+    words = sorted({w for ws in phrases.values() for w in ws[:5]})
+    own = index.filter(F.col("token").isin(words)).groupBy(item, "token").agg(F.sort_array(F.collect_set("position")).alias("at"))
+    places = own.groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("token", "at"))).alias("m"))
+
+    def test(ws: list[str]) -> Column:
+        every = reduce(lambda a, b: a & b, [F.map_contains_key("m", w) for w in sorted(set(ws[:4]))])
+        follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(F.col("m")[w], p + i) for i, w in enumerate(ws[:5])])
+        phrase = F.exists(F.coalesce(F.col("m")[ws[0]], F.array().cast("array<int>")), lambda p: F.coalesce(follows(p), F.lit(False)))
+        return every | phrase
+
+    hits = F.array_compact(F.array(*[F.when(test(ws), F.lit(name)) for name, ws in phrases.items() if ws]))
+    return places.select(item, hits.alias("terms")).filter(F.size("terms") > 0)
+
+
 def title_search(index: DataFrame, item: str, words: list[str]) -> DataFrame:
     """Items with the first five words as a phrase, or the first four all there."""
-    if not words:
-        return index.select(item).limit(0)
-    every = index.filter(F.col("token").isin(words[:4])).groupBy(item).agg(F.countDistinct("token").alias("n")).filter(F.col("n") == len(set(words[:4]))).select(item)
-    places = None
-    for i, word in enumerate(words[:5]):
-        own = index.filter(F.col("token") == word).select(item, (F.col("position") - i).alias("begin")).distinct()
-        places = own if places is None else places.join(own, [item, "begin"], "left_semi")
-    return every.unionByName(places.select(item)).distinct()
+    return _found(index, item, {"": words}).select(item) if words else index.select(item).limit(0)
 
 
 def category_probe(index: DataFrame, item: str, phrases: dict[str, list[str]], explicit: DataFrame | None = None) -> DataFrame:
     """(item, terms): items of any phrase, with the phrases that found them; explicit ones come along."""
-    parts = [title_search(index, item, words).withColumn("term", F.lit(name)) for name, words in phrases.items()]
+    found = _found(index, item, phrases).select(item, F.explode("terms").alias("term"))
     if explicit is not None:
-        parts.append(explicit.select(item).withColumn("term", F.lit("EXPLICIT")))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        found = found.unionByName(explicit.select(item, F.lit("EXPLICIT").alias("term")))
     return found.groupBy(item).agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
@@ -62,8 +72,13 @@ def breadth_first(roots: DataFrame, edges: DataFrame, node: str, parent: str, ch
     return seen
 
 
-def seed_expansion(seeds: DataFrame, links: DataFrame, categories: DataFrame, seed: str) -> DataFrame:
-    """(seed, page, kind): pages linked from a seed, and pages that share a category, without known pairs."""
+def seed_expansion(seeds: DataFrame, links: DataFrame, categories: DataFrame, seed: str, most_members: int = 5_000) -> DataFrame:
+    """(seed, page, kind): pages linked from a seed, and pages that share a category, without known pairs.
+
+    Categories of more than ``most_members`` pages tell nothing and are left out whole, before any join.
+    """
+    small = categories.select("category", "page").distinct().groupBy("category").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most_members).select("category")
+    categories = categories.join(small, "category", "left_semi")
     s = seeds.select(F.col(seed).alias("seed")).distinct()
     linked = s.join(links.select(F.col("source").alias("seed"), F.col("page")), "seed").select("seed", "page", F.lit("WIKILINK").alias("kind"))
     own = s.join(categories.select(F.col("page").alias("seed"), "category"), "seed")
@@ -89,9 +104,11 @@ def best_first(group: str, edges: DataFrame, seeds: DataFrame, *, pages: int, li
     """(group, node, depth, score, expanded): a best-first crawl for each group of seeds.
 
     Edges are (group, source, target, gain), seeds (group, node, score). Every node taken from the
-    heap uses up the page budget, also at the greatest depth. A crawl looks at pages x links edges
-    at most, and each group is one task.
+    heap uses up the page budget, also at the greatest depth. Only the first ``links`` targets of a source
+    and the best ``pages`` seeds of a group can count: the others go before the groups are formed.
     """
+    edges = first_per_key(edges.select(group, "source", "target", "gain"), [group, "source"], [F.asc("target"), F.desc("gain")], links)
+    seeds = first_per_key(seeds.select(group, "node", "score"), [group], [F.desc("score"), F.asc("node")], pages)
 
     def run(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         out = {a: list(zip(g["target"], g["gain"], strict=True))[:links] for a, g in e.sort_values(["source", "target"]).groupby("source")}

@@ -45,11 +45,20 @@ def prefix_join(aliases: DataFrame, titles: DataFrame, alias: str, title: str, *
     return found if most is None else found.orderBy(alias, title).limit(most)
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, *, width: int, keys: list[str] | None = None) -> DataFrame:
-    """Points in closed intervals: intervals are dealt to the cells of ``width`` that they touch, points to theirs."""
+def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, *, keys: list[str] | None = None) -> DataFrame:
+    """Points in closed intervals, by an equi join on cells.
+
+    An interval is dealt to cells of the least power of two that isn't shorter than it: two cells at most,
+    however long it is. A point is dealt to one cell of each length that some interval has (64 at most).
+    """
     keys = keys or []
-    cells = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return points.withColumn("_cell", F.floor(F.col(point) / width)).join(cells, [*keys, "_cell"]).filter(F.col(point).between(F.col(start), F.col(end))).drop("_cell")
+    level = F.ceil(F.log2(F.greatest(F.lit(1), F.col(end) - F.col(start) + 1).cast("double"))).cast("int")
+    sized = intervals.filter(F.col(start) <= F.col(end)).withColumn("_level", level)
+    levels = sorted(r[0] for r in sized.select("_level").distinct().collect())
+    width = F.pow(F.lit(2.0), F.col("_level"))
+    cells = sized.withColumn("_cell", F.explode(F.array_distinct(F.array(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))))
+    dealt = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_cell", F.floor(F.col(point) / width))
+    return dealt.join(cells, [*keys, "_level", "_cell"]).filter(F.col(point).between(F.col(start), F.col(end))).drop("_cell", "_level")
 
 
 def unified_links(legacy: DataFrame, by_id: DataFrame, targets: DataFrame) -> DataFrame:
@@ -125,3 +134,46 @@ def usable_flags(dossier: DataFrame, extracted: DataFrame, key: str, columns: li
     other = extracted.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.col(redirect).alias("_redirect"), F.lit(True).alias("_there"))
     equal = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns], F.coalesce("_there", F.lit(False)))
     return dossier.join(other, key, "left").withColumn("usable", equal & (F.coalesce("_redirect", F.lit(0)) == 0)).drop("_there", "_redirect", *[f"_{c}" for c in columns])
+
+
+def looked_up(df: DataFrame, steps: list[tuple[DataFrame, str, str, list[str], str]]) -> DataFrame:
+    """``df`` with columns of other tables, one lookup after another.
+
+    A step is (table, key in what is there so far, key in the table, columns to take, ``inner`` or ``left``).
+    Tables are cut to their key and those columns before the join, and the table's key doesn't stay.
+    """
+    out = df
+    for i, (table, own, key, columns, how) in enumerate(steps):
+        other = table.select(F.col(key).alias(f"_key{i}"), *columns)
+        out = out.join(other, F.col(own) == F.col(f"_key{i}"), how).drop(f"_key{i}")
+    return out
+
+
+def semi_chain(df: DataFrame, own: str, steps: list[tuple[DataFrame, str, str | None]]) -> DataFrame:
+    """Rows that a chain of semi joins leaves; steps are (table, its key towards ``df``, its key to the next step)."""
+    wanted = None
+    for table, key, onward in reversed(steps):
+        rows = table if wanted is None else table.join(wanted.withColumnRenamed("_k", "_w"), F.col(onward) == F.col("_w"), "left_semi")
+        wanted = rows.select(F.col(key).alias("_k"))
+    return df.join(wanted, F.col(own) == F.col("_k"), "left_semi")
+
+
+def fan_out(df: DataFrame, children: DataFrame, key: str, child: str, status: str, counted: dict[str, str]) -> DataFrame:
+    """(key, children, rows, and how many rows have each status): what hangs on each key, over all children."""
+    rows = df.select(key).join(children, key)
+    tallies = [F.sum(F.when(F.col(status) == value, 1).otherwise(0)).alias(name) for name, value in counted.items()]
+    return rows.groupBy(key).agg(F.countDistinct(child).alias("children"), F.count(F.lit(1)).alias("rows"), *tallies)
+
+
+def keyset_batch(df: DataFrame, key: str, after: object, n: int, item: str, name: str) -> DataFrame:
+    """The next n keys after a cursor, each with its items as a sorted array."""
+    keys = df.filter(F.col(key) > F.lit(after)).select(key).distinct().orderBy(key).limit(n)
+    return df.join(keys, key, "left_semi").groupBy(key).agg(F.sort_array(F.collect_list(item)).alias(name))
+
+
+def described(df: DataFrame, entities: DataFrame, number: str, text_id: str, entity_text_id: str, columns: list[str]) -> DataFrame:
+    """Rows with columns of the entity of their number, and ``error`` where the entity's text id is another."""
+    other = entities.select(F.col(number).alias("_number"), F.col(entity_text_id).alias("_text_id"), *columns)
+    out = df.join(other, F.col(number) == F.col("_number"), "left")
+    error = F.when(F.col("_number").isNull(), "unknown entity").when(~F.col(text_id).eqNullSafe(F.col("_text_id")), "another id")
+    return out.withColumns({"error": error, **{c: F.when(error.isNull(), F.col(c)) for c in columns}}).drop("_number", "_text_id")

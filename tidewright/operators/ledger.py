@@ -17,7 +17,18 @@ TRANSITIONS = {
     ("SELECTED", "queue"): "QUEUED_ENRICHMENT",
     ("QUEUED_ENRICHMENT", "enrich"): "ENRICHED",
     ("QUEUED_ENRICHMENT", "partial"): "PARTIAL",
+    ("QUEUED_ENRICHMENT", "no_facts"): "NO_FACTS_REVIEW",
+    ("QUEUED_ENRICHMENT", "no_claim"): "NO_RELEVANT_CLAIM",
     ("QUEUED_ENRICHMENT", "cancel"): "SELECTED",
+    ("SELECTED", "block"): "SOURCE_BLOCKED",
+    ("SELECTED", "oversize"): "OVERSIZE",
+    ("HOLD", "retry"): "PENDING",
+    ("REJECTED", "retry"): "PENDING",
+    ("SOURCE_BLOCKED", "retry"): "SELECTED",
+    ("OVERSIZE", "retry"): "SELECTED",
+    ("PARTIAL", "retry"): "SELECTED",
+    ("NO_FACTS_REVIEW", "retry"): "SELECTED",
+    ("NO_RELEVANT_CLAIM", "retry"): "SELECTED",
 }
 
 
@@ -166,3 +177,73 @@ def resynced_seeds(seeds: DataFrame, source: DataFrame, key: str, revision: str)
     both = seeds.join(s, F.col(key) == F.col("_k"), "full")
     action = F.when(F.col(key).isNull(), "NEW").when(F.col("_k").isNull(), "GONE").when(F.col(revision).eqNullSafe(F.col("_r")), "KEPT").otherwise("RESET")
     return both.select(F.coalesce(key, "_k").alias(key), F.coalesce("_r", revision).alias(revision), action.alias("action"))
+
+
+def append_only(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """Rows to append: new keys only; a stored key with other values is an error, one with equal values is left out."""
+    others = [c for c in stored.columns if c != key]
+    both = incoming.join(stored.select(key, F.struct(*others).alias("_old")), key, "left")
+    changed = both.filter(F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.struct(*others))).select(key).limit(5).collect()
+    if changed:
+        raise ValueError(f"append only: {[r[0] for r in changed]} would change")
+    return both.filter("_old is null").select(stored.columns).dropDuplicates([key])
+
+
+def touched(stored: DataFrame, incoming: DataFrame, key: str, now: str, updated: str = "updated_at") -> DataFrame:
+    """Rows after an update: changed and new ones carry ``now`` as their time, others keep theirs."""
+    values = [c for c in stored.columns if c not in (key, updated)]
+    old = stored.select(key, F.struct(*values).alias("_old"), F.col(updated).alias("_at"))
+    new = incoming.select(key, F.struct(*values).alias("_new"))
+    both = old.join(new, key, "full")
+    take = F.coalesce("_new", "_old")
+    same = F.col("_new").isNull() | F.col("_new").eqNullSafe(F.col("_old"))
+    return both.select(key, *[take[c].alias(c) for c in values], F.when(same, F.col("_at")).otherwise(F.lit(now).cast(stored.schema[updated].dataType)).alias(updated))
+
+
+# What a review's decisions make of a proposal.
+DECISIONS = {"INCLUDE": "active", "HOLD": "proposed", "EXCLUDE": None}
+
+
+def converted_decisions(decisions: DataFrame, proposals: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """(key, status, error): included proposals become active, held ones proposed, excluded ones have no status.
+
+    A decision must name a proposal and repeat its identity columns; otherwise it has an error.
+    """
+    known = proposals.select(key, F.struct(*identity).alias("_is"))
+    both = decisions.join(known, key, "left")
+    status = F.coalesce(*[F.when(F.col("decision") == d, F.lit(s).cast("string")) for d, s in DECISIONS.items()])
+    error = F.when(F.col("_is").isNull(), "unknown proposal").when(~F.col("_is").eqNullSafe(F.struct(*identity)), "another identity").when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "unknown decision")
+    return both.select(key, F.when(error.isNull(), status).alias("status"), error.alias("error"))
+
+
+def handed_off(incoming: DataFrame, stored: DataFrame, contents: DataFrame, receipt: str, payload: str) -> DataFrame:
+    """(receipt, digest, outcome, content): NEW hand-offs, a REPLAY (the same result again) or a CONFLICT.
+
+    ``stored`` is (receipt, digest); ``contents`` (digest, content) are known contents. Equal contents are
+    stored once: the content of a new digest is the least receipt that brings it.
+    """
+    rows = incoming.select(receipt, F.sha2(F.col(payload).cast("binary"), 256).alias("digest")).distinct()
+    # Several payloads under one receipt: the least digest counts, the others are conflicts.
+    first = rows.groupBy(receipt).agg(F.min("digest").alias("_first"))
+    known = stored.select(receipt, F.col("digest").alias("_stored"))
+    both = rows.join(first, receipt).join(known, receipt, "left").withColumn("_mine", F.coalesce("_stored", "_first"))
+    outcome = F.when(F.col("digest") != F.col("_mine"), "CONFLICT").when(F.col("_stored").isNotNull(), "REPLAY").otherwise("NEW")
+    judged = both.select(receipt, "digest", outcome.alias("outcome"))
+    fresh = judged.filter("outcome = 'NEW'").groupBy("digest").agg(F.min(F.col(receipt).cast("string")).alias("_new"))
+    out = judged.join(contents.select("digest", F.col("content").cast("string").alias("_known")), "digest", "left").join(fresh, "digest", "left")
+    return out.select(receipt, "digest", "outcome", F.when(F.col("outcome") != "CONFLICT", F.coalesce("_known", "_new")).alias("content"))
+
+
+def recovered_packs(found: DataFrame, registered: DataFrame, members: DataFrame, queue: DataFrame, source: str) -> DataFrame:
+    """(pack_id, action, reason) for verified packs that no register knows: REGISTER, or REFUSE with the reason.
+
+    Found: pack_id, source; members: pack_id, page_id; queue: page_id, state, pack_id. A pack is
+    refused if it is of another source, or holds a page that the queue lacks, has in another state
+    than PENDING or PACKED, or has in another pack.
+    """
+    lost = found.join(registered.select("pack_id"), "pack_id", "left_anti")
+    held = members.join(lost.select("pack_id"), "pack_id", "left_semi").join(queue.select("page_id", "state", F.col("pack_id").alias("_in")), "page_id", "left")
+    fits = F.coalesce((F.col("state") == "PENDING") | (F.col("state") == "PACKED") & (F.col("_in") == F.col("pack_id")), F.lit(False))
+    bad = held.groupBy("pack_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(~fits, F.col("page_id"))).alias("_page"))
+    reason = F.when(F.col("source") != source, "another source").when(F.col("_n").isNull(), "no members").when(F.col("_page").isNotNull(), F.concat(F.lit("page "), F.col("_page"), F.lit(" doesn't fit the queue")))
+    return lost.join(bad, "pack_id", "left").select("pack_id", F.when(reason.isNull(), "REGISTER").otherwise("REFUSE").alias("action"), reason.alias("reason"))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.ranking import ranked
 
+#: How many rows a sequential packer looks at for one pack.
+SCAN = 5_000
+
 
 def concept_turns(df: DataFrame, concept: str, priority: str, item: str, n: int, pool: int = 10) -> DataFrame:
     """n rows that take turns among concepts, from the top pool x n by priority."""
@@ -71,93 +75,115 @@ def after_cursor(df: DataFrame, order: list[tuple[str, bool]], cursor: tuple | N
 
 
 def budget_until(df: DataFrame, order: list[Column], costs: dict[str, float], n: int, keys: list[str] | None = None) -> DataFrame:
-    """Rows in order up to the first that breaks a budget or the count; per key where keys are given."""
+    """Rows in order up to the first that breaks a budget or the count; per key where keys are given.
+
+    Only the first n rows of a key can be taken: the others go before the running sums, in the tasks that
+    hold them, so that a key's window is n rows.
+    """
+    first = top_k(df, keys, order, n).drop("rank") if keys else df.orderBy(*order).limit(n)
     w = Window.partitionBy(*(keys or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    breaks = F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(*order)) > n
+    breaks = F.lit(False)
     for c, most in costs.items():
         breaks = breaks | (F.sum(c).over(w) > most)
-    return df.withColumn("_b", breaks.cast("int")).withColumn("_broken", F.max("_b").over(w)).filter("_broken = 0").drop("_b", "_broken")
+    return first.withColumn("_b", breaks.cast("int")).withColumn("_broken", F.max("_b").over(w)).filter("_broken = 0").drop("_b", "_broken")
 
 
 def complexity_pack(df: DataFrame, order: list[Column], evidence: Column, budget: int, least: int, most: int, keys: list[str]) -> DataFrame:
-    """Rows in order while a cost of 1 to 4 each fits the budget; ``least`` rows are taken anyhow."""
+    """Rows in order while a cost of 1 to 4 each fits the budget; ``least`` rows are taken anyhow, ``most`` at most.
+
+    As in ``budget_until``, a key's window is ``most`` rows.
+    """
     cost = 1 + F.least(F.lit(3), F.floor(evidence / 8))
     w = Window.partitionBy(*keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("cost", cost.cast("int")).withColumn("_n", F.row_number().over(w)).withColumn("running_cost", F.sum("cost").over(upto))
-    breaks = ((F.col("_n") > least) & (F.col("running_cost") > budget)) | (F.col("_n") > most)
+    rows = top_k(df.withColumn("cost", cost.cast("int")), keys, order, most).withColumnRenamed("rank", "_n").withColumn("running_cost", F.sum("cost").over(upto))
+    breaks = (F.col("_n") > least) & (F.col("running_cost") > budget)
     return rows.withColumn("_x", F.max(breaks.cast("int")).over(upto)).filter("_x = 0").drop("_n", "_x")
 
 
-def budget_skipping(df: DataFrame, key: str, order: list[str], costs: dict[str, float], n: int, firm: str | None = None) -> DataFrame:
+def _columns(df: DataFrame, more: str = "") -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + more
+
+
+def budget_skipping(df: DataFrame, key: str, order: list[str], costs: dict[str, float], n: int, firm: str | None = None, scan: int = SCAN) -> DataFrame:
     """Per key, rows in order that fit the budgets; those that don't are skipped and the search goes on.
 
-    A first row may go over all budgets but ``firm``. Each key is one bounded, ordered run.
+    A first row may go over all budgets but ``firm``. A pack looks at the first ``scan`` rows of its key,
+    which is what a task holds.
     """
     names = list(costs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = dict(costs)
-        taken = []
-        for i, row in pdf.sort_values(order, kind="stable").iterrows():
-            if len(taken) >= n:
+        pdf = pdf.sort_values(order, kind="stable")
+        cost = pdf[names].to_numpy(float)
+        left = np.array([costs[c] for c in names], float)
+        barred = cost[:, names.index(firm)] > costs[firm] if firm is not None else np.zeros(len(cost), bool)
+        taken: list[int] = []
+        for i in np.flatnonzero(~barred).tolist():
+            if len(taken) == n:
                 break
-            if firm is not None and row[firm] > costs[firm]:
-                continue
-            if taken and any(row[c] > left[c] for c in names):
-                continue
-            for c in names:
-                left[c] -= row[c]
-            taken.append(i)
-        return pdf.loc[taken]
+            if not taken or (cost[i] <= left).all():
+                left = left - cost[i]
+                taken.append(i)
+        return pdf.iloc[taken]
 
-    return df.groupBy(key).applyInPandas(run, df.schema)
+    first = top_k(df, [key], [F.asc(c) for c in order], scan).drop("rank")
+    return first.groupBy(key).applyInPandas(run, df.schema)
 
 
-def first_fit_jobs(df: DataFrame, key: str, order: list[str], size: str, most_rows: int, most_jobs: int) -> DataFrame:
-    """Per key, jobs in order dealt to groups by first fit; column ``bin``."""
+def first_fit_jobs(df: DataFrame, key: str, order: list[str], size: str, most_rows: int, most_jobs: int, block: int = SCAN) -> DataFrame:
+    """Per key, jobs in order dealt to groups by first fit; column ``bin``.
+
+    A key's jobs are dealt in blocks of ``block`` in their order, each with groups of its own, numbered on
+    from block to block. So a task holds a block, and no job is left out.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins: list[list[int]] = []
-        place = []
         pdf = pdf.sort_values(order, kind="stable")
-        for value in pdf[size]:
-            k = next((k for k, (rows, jobs) in enumerate(bins) if rows + value <= most_rows and jobs < most_jobs), None)
-            if k is None:
-                bins.append([0, 0])
-                k = len(bins) - 1
-            bins[k][0] += value
-            bins[k][1] += 1
+        rows, jobs, place = np.zeros(len(pdf)), np.zeros(len(pdf), int), []
+        for value in pdf[size].to_numpy(float):
+            # A group that is there and has room, or else the first empty one, whatever the job's size.
+            fits = (jobs == 0) | (rows + value <= most_rows) & (jobs < most_jobs)
+            k = int(fits.argmax())
+            rows[k] += value
+            jobs[k] += 1
             place.append(k)
-        return pdf.assign(bin=pd.Series(place, index=pdf.index, dtype="int32"))
+        return pdf.assign(bin=np.array(place, np.int32) + pdf["_block"].to_numpy(np.int32) * np.int32(block)).drop(columns="_block")
 
-    return df.groupBy(key).applyInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, bin int")
+    placed = ranked(df, [F.asc(key), *[F.asc(c) for c in order]], "_k")
+    first = placed.groupBy(key).agg(F.min("_k").alias("_k0"))
+    blocks = placed.join(first, key).withColumn("_block", F.floor((F.col("_k") - F.col("_k0")) / block).cast("int")).drop("_k", "_k0")
+    return blocks.groupBy(key, "_block").applyInPandas(run, _columns(df, ", bin int"))
 
 
-def two_queues(df: DataFrame, key: str, order: list[str], cost: str, exploring: str, budget: float, share: float = 0.25) -> DataFrame:
+def two_queues(df: DataFrame, key: str, order: list[str], cost: str, exploring: str, budget: float, share: float = 0.25, scan: int = SCAN) -> DataFrame:
     """Per key, rows from a priority and an exploration queue by turns of the share, while the budget lasts.
 
-    A row that doesn't fit lets the other queue have its turn; when neither fits, the pack is done.
+    A row that doesn't fit lets the other queue have its turn; when neither fits, the pack is done. A
+    queue is the first ``scan`` rows of its kind, which is what a task holds.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        queues = [list(pdf.index[~pdf[exploring]]), list(pdf.index[pdf[exploring]])]
-        left, taken, explored = budget, [], 0
-        while queues[0] or queues[1]:
+        price, kind = pdf[cost].to_numpy(float), pdf[exploring].to_numpy(bool)
+        queues = [np.flatnonzero(~kind).tolist(), np.flatnonzero(kind).tolist()]
+        at, left, taken, explored = [0, 0], budget, [], 0
+        while at[0] < len(queues[0]) or at[1] < len(queues[1]):
             turn = int(explored < share * (len(taken) + 1))
             for q in (turn, 1 - turn):
-                if queues[q] and pdf.at[queues[q][0], cost] <= left:
-                    i = queues[q].pop(0)
-                    left -= pdf.at[i, cost]
+                if at[q] < len(queues[q]) and price[queues[q][at[q]]] <= left:
+                    i = queues[q][at[q]]
+                    at[q] += 1
+                    left -= price[i]
                     explored += q
                     taken.append(i)
                     break
             else:
                 break
-        return pdf.loc[taken]
+        return pdf.iloc[taken]
 
-    return df.groupBy(key).applyInPandas(run, df.schema)
+    first = top_k(df, [key, exploring], [F.asc(c) for c in order], scan).drop("rank")
+    return first.groupBy(key).applyInPandas(run, df.schema)
 
 
 def exploration_order(df: DataFrame, order: list[Column], item: str, share: float = 0.25) -> DataFrame:

@@ -56,15 +56,14 @@ def j5_prefix_range_join(t: Tables) -> DataFrame:
 SELECT o_orderkey, o_custkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 300
 """)
 def j6_category_members(t: Tables) -> DataFrame:
-    first = t.orders.filter("o_orderkey > 100").orderBy("o_orderkey").limit(300)
-    c = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").alias("n_nationkey"))
-    return first.join(c, "o_custkey", "left").join(t.nation.select("n_nationkey", "n_name"), "n_nationkey", "left").select("o_orderkey", "o_custkey", "c_name", "n_name")
+    """A page of 300 by key, with what is known of its members; the page is the operator's limit."""
+    first = t.orders.select("o_orderkey", "o_custkey").filter("o_orderkey > 100").orderBy("o_orderkey").limit(300)
+    return joins.looked_up(first, [(t.customer, "o_custkey", "c_custkey", ["c_name", "c_nationkey"], "left"), (t.nation, "c_nationkey", "n_nationkey", ["n_name"], "left")]).drop("c_nationkey")
 
 
-@query("SELECT o_custkey, p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size = 14")
+@query("SELECT o_custkey, p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey")
 def j7_category_labels(t: Tables) -> DataFrame:
-    parts = t.part.filter("p_size = 14").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return t.lineitem.join(parts, "l_partkey").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "p_brand")
+    return joins.looked_up(t.lineitem.select("l_orderkey", "l_partkey"), [(t.part, "l_partkey", "p_partkey", ["p_brand"], "inner"), (t.orders, "l_orderkey", "o_orderkey", ["o_custkey"], "inner")]).select("o_custkey", "p_brand")
 
 
 @query("""
@@ -77,15 +76,9 @@ def j8_resolved_links(t: Tables) -> DataFrame:
     return joins.resolved_links(links, targets, pages)
 
 
-@query("SELECT l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey BETWEEN 10 AND 60")
-def j9_link_profile(t: Tables) -> DataFrame:
-    return t.lineitem.filter(F.col("l_orderkey").between(10, 60)).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name")
-
-
 @query("SELECT l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")
-def j9_link_profile_whole(t: Tables) -> DataFrame:
-    """Over the range of all orders."""
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name")
+def j9_link_profile(t: Tables) -> DataFrame:
+    return joins.looked_up(t.lineitem.select("l_orderkey", "l_partkey"), [(t.part, "l_partkey", "p_partkey", ["p_name"], "inner")]).select("l_orderkey", "p_name")
 
 
 @query("""
@@ -118,20 +111,19 @@ def j13_semi_join(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size < 10")
+@query("SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 0")
 def j15_semi_chain(t: Tables) -> DataFrame:
-    parts = t.part.filter("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
-    lines = t.lineitem.join(parts, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("o_orderkey"))
-    return t.orders.join(lines, "o_orderkey", "left_semi").select("o_custkey").distinct()
+    steps = [(t.lineitem, "l_orderkey", "l_suppkey"), (t.supplier.filter("s_acctbal < 0"), "s_suppkey", None)]
+    return joins.semi_chain(t.orders, "o_orderkey", steps).select("o_custkey").distinct()
 
 
 @query("""
-WITH p AS (SELECT p_partkey, l_suppkey FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 49) ON p_partkey = l_partkey),
+WITH p AS (SELECT p_partkey, l_suppkey FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON p_partkey = l_partkey),
 b AS (SELECT l_suppkey, count(*) AS n FROM p WHERE l_suppkey IS NOT NULL GROUP BY 1), g AS (SELECT p_partkey, count(p.l_suppkey) AS n_right, coalesce(max(n), 0) AS n_left_of_right FROM p LEFT JOIN b ON p.l_suppkey = b.l_suppkey GROUP BY 1)
 SELECT *, CASE WHEN n_right = 0 THEN 'NO' WHEN n_right > 1 OR n_left_of_right > 1 THEN 'AMBIGUOUS' ELSE 'SINGLE' END AS class FROM g
 """)
 def j16_cardinality_classes(t: Tables) -> DataFrame:
-    links = t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
+    links = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
     return joins.cardinality_classes(t.part.select("p_partkey").join(links, "p_partkey", "left"), "p_partkey", "l_suppkey")
 
 
@@ -169,18 +161,19 @@ def j20_identity_check(t: Tables) -> DataFrame:
     return joins.identity_check(left, right, "p_partkey", ["p_name", "p_size"])
 
 
-@query("SELECT l_orderkey, p_brand, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49")
+@query("SELECT l_orderkey, p_brand, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
 def j21_link_inventory(t: Tables) -> DataFrame:
-    return t.lineitem.filter("l_quantity >= 49").join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "p_brand", "s_name")
+    steps = [(t.part, "l_partkey", "p_partkey", ["p_brand"], "inner"), (t.supplier, "l_suppkey", "s_suppkey", ["s_name"], "inner")]
+    return joins.looked_up(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"), steps).select("l_orderkey", "p_brand", "s_name")
 
 
 @query("""
-SELECT s_suppkey, count(DISTINCT l_orderkey) AS snapshots, count(*) AS representations, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS finished
+SELECT s_suppkey, count(DISTINCT l_orderkey) AS children, count(*) AS rows, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS finished, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS open
 FROM supplier JOIN lineitem ON s_suppkey = l_suppkey LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
 """)
 def j22_fan_out_inventory(t: Tables) -> DataFrame:
-    rows = t.supplier.join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return rows.groupBy("s_suppkey").agg(F.countDistinct("l_orderkey").alias("snapshots"), F.count(F.lit(1)).alias("representations"), F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("finished"))
+    lines = joins.looked_up(t.lineitem.select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey"), [(t.orders, "l_orderkey", "o_orderkey", ["o_orderstatus"], "left")])
+    return joins.fan_out(t.supplier, lines, "s_suppkey", "l_orderkey", "o_orderstatus", {"finished": "F", "open": "O"})
 
 
 @query("SELECT a.conv_id, a.turn, a.role, length(b.text) AS reply_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
@@ -194,7 +187,7 @@ WITH m AS (SELECT p_partkey AS member, p_partkey * 40 AS a, p_partkey * 40 + p_s
 """)
 def j24_interval_join(t: Tables) -> DataFrame:
     m = t.part.select(F.col("p_partkey").alias("member"), (F.col("p_partkey") * 40).alias("a"), (F.col("p_partkey") * 40 + F.col("p_size")).alias("b"))
-    return joins.interval_join(t.events.select("event_id"), m, "event_id", "a", "b", width=64).select("event_id", "member")
+    return joins.interval_join(t.events.select("event_id"), m, "event_id", "a", "b").select("event_id", "member")
 
 
 @query("""
@@ -230,10 +223,15 @@ def j29_adaptive_columns(t: Tables) -> DataFrame:
     return joins.first_per_key(pages.join(ids, "page_id"), ["page_id"], [F.asc("entity")], 5)
 
 
-@query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE 'Q' || p_partkey = 'Q' || l_partkey AND p_size = 3")
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN p_name END AS p_name, CASE WHEN p_partkey % 5 = 0 OR p_partkey IS NULL THEN 'unknown entity' WHEN l_partkey % 7 = 0 THEN 'another id' END AS error FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
+""")
 def j30_description_lookup(t: Tables) -> DataFrame:
-    both = t.lineitem.join(t.part.filter("p_size = 3"), F.col("l_partkey") == F.col("p_partkey"))
-    return both.filter(F.concat(F.lit("Q"), "p_partkey") == F.concat(F.lit("Q"), "l_partkey")).select("l_orderkey", "l_linenumber", "p_name")
+    """Lookup by number, checked by the text id: some lines carry another one, some parts aren't there."""
+    text_id = F.concat(F.when(F.col("l_partkey") % 7 == 0, "P").otherwise("Q"), "l_partkey")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("number"), text_id.alias("qid"))
+    parts = t.part.filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("number"), F.concat(F.lit("Q"), "p_partkey").alias("own"), "p_name")
+    return joins.described(lines, parts, "number", "qid", "own", ["p_name"]).drop("number", "qid")
 
 
 @query("""
@@ -266,11 +264,11 @@ def g2_category_expansion(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT s_suppkey AS seed FROM supplier), l AS (SELECT o_custkey AS source, o_orderkey AS page FROM orders WHERE o_totalprice > 350000), c AS (SELECT DISTINCT p_partkey AS page, p_brand || p_size AS category FROM part)
+WITH s AS (SELECT s_suppkey AS seed FROM supplier), l AS (SELECT o_custkey AS source, o_orderkey AS page FROM orders), c AS (SELECT DISTINCT p_partkey AS page, p_brand || p_size AS category FROM part)
 SELECT DISTINCT * FROM (SELECT seed, page, 'WIKILINK' AS kind FROM s JOIN l ON seed = source UNION ALL SELECT seed, b.page, 'SHARED_CATEGORY' FROM s JOIN c a ON a.page = seed JOIN c b ON a.category = b.category) WHERE seed <> page
 """)
 def g3_seed_expansion(t: Tables) -> DataFrame:
-    links = t.orders.filter("o_totalprice > 350000").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("page"))
+    links = t.orders.select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("page"))
     cats = t.part.select(F.col("p_partkey").alias("page"), F.concat("p_brand", "p_size").alias("category")).distinct()
     return graph.seed_expansion(t.supplier, links, cats, "s_suppkey")
 

@@ -9,27 +9,41 @@ from tidewright.operators import ledger
 from tidewright.plans.base import Tables, query
 
 
+EVENTS = ("queue", "select", "queue", "partial", "retry", "hold", "reject", "cancel", "enrich")
+
+
 def _events(t: Tables) -> DataFrame:
-    name = F.element_at(F.array(*map(F.lit, ("queue", "select", "queue", "enrich", "cancel"))), (F.col("event_id") % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, EVENTS)), (F.col("event_id") % len(EVENTS) + 1).cast("int"))
     return t.events.select("user_id", "event_id", name.alias("event"))
 
 
-@query()
+def _lifecycle() -> str:
+    """The fold as a recursive query: one event of every key a step."""
+    moves = " ".join(f"WHEN state = '{a}' AND event = '{e}' THEN '{b}'" for (a, e), b in ledger.TRANSITIONS.items())
+    return f"""
+    WITH RECURSIVE e AS (SELECT user_id, {list(EVENTS)}[event_id % {len(EVENTS)} + 1] AS event, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), n AS (SELECT user_id, max(k) AS n FROM e GROUP BY 1),
+    f AS (SELECT user_id, CAST(0 AS BIGINT) AS k, 'PENDING' AS state, 0 AS applied, 0 AS refused FROM n UNION ALL
+     SELECT f.user_id, e.k, coalesce(CASE {moves} END, state), applied + CASE WHEN CASE {moves} END IS NULL THEN 0 ELSE 1 END, refused + CASE WHEN CASE {moves} END IS NULL THEN 1 ELSE 0 END FROM f JOIN e ON f.user_id = e.user_id AND e.k = f.k + 1)
+    SELECT f.user_id, state, applied, refused FROM f JOIN n ON f.user_id = n.user_id AND f.k = n.n
+    """
+
+
+@query(_lifecycle())
 def t1_candidate_lifecycle(t: Tables) -> DataFrame:
     return ledger.folded_state(_events(t), "user_id", "event_id", "event")
 
 
 @query("""
-WITH old AS (SELECT conv_id, sha256(text) AS digest FROM conversations WHERE turn = 0 AND conv_id % 2 = 0),
-new AS (SELECT conv_id, sha256(CASE WHEN conv_id % 3 = 0 THEN text || '!' ELSE text END) AS digest FROM conversations WHERE turn = 0)
-SELECT new.conv_id, new.digest, CASE WHEN old.conv_id IS NULL THEN 'NEW' WHEN old.digest = new.digest THEN 'ALREADY_IMPORTED' ELSE 'CONFLICT' END AS outcome
-FROM new LEFT JOIN old USING (conv_id)
+WITH c AS (SELECT conv_id || '-' || turn AS job, conv_id, text FROM conversations), old AS (SELECT job, sha256(text) AS digest FROM c WHERE conv_id % 2 = 0),
+new AS (SELECT job, sha256(CASE WHEN conv_id % 3 = 0 THEN text || '!' ELSE text END) AS digest FROM c)
+SELECT new.job, new.digest, CASE WHEN old.job IS NULL THEN 'NEW' WHEN old.digest = new.digest THEN 'ALREADY_IMPORTED' ELSE 'CONFLICT' END AS outcome
+FROM new LEFT JOIN old USING (job)
 """)
 def t2_receipts(t: Tables) -> DataFrame:
-    first = t.conversations.filter("turn = 0").select("conv_id", "text")
-    old = first.filter("conv_id % 2 = 0").select("conv_id", F.sha2("text", 256).alias("digest"))
-    new = first.withColumn("text", F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return ledger.receipts(new, old, "conv_id", "text").drop("text")
+    replies = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("job"), "conv_id", "text")
+    old = replies.filter("conv_id % 2 = 0").select("job", F.sha2("text", 256).alias("digest"))
+    new = replies.select("job", F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return ledger.receipts(new, old, "job", "text").drop("text")
 
 
 @query("""
@@ -152,24 +166,6 @@ def t16_reviewed_definitions(t: Tables) -> DataFrame:
     return ledger.definitions(stored, t.part.select("p_partkey", content.alias("content")), "p_partkey", "content")
 
 
-@query("""
-SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'active' WHEN toxic = 0 THEN 'proposed' END AS status FROM labels JOIN documents USING (doc_id)
-""")
-def t17_decision_conversion(t: Tables) -> DataFrame:
-    status = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "active").when(F.col("toxic") == 0, "proposed")
-    return t.labels.join(t.documents.select("doc_id"), "doc_id").select("doc_id", status.alias("status"))
-
-
-@query("""
-WITH i AS (SELECT doc_id, sha256(text) AS digest FROM documents), s AS (SELECT DISTINCT digest FROM i WHERE doc_id % 2 = 0)
-SELECT digest, min(doc_id) AS doc_id FROM i WHERE digest NOT IN (SELECT digest FROM s) GROUP BY 1
-""")
-def t18_handoff_content_dedupe(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
-    stored = rows.filter("doc_id % 2 = 0").select("digest").distinct()
-    return rows.join(stored, "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-
-
 @query("""
 WITH q AS (SELECT c_custkey AS k, c_acctbal AS score, CASE WHEN c_custkey % 2 = 0 THEN 'Q' || c_custkey END AS qid FROM customer WHERE c_custkey % 3 <> 0),
 n AS (SELECT o_custkey AS k, max(o_totalprice) AS s, max('O' || o_orderkey) AS o FROM orders GROUP BY 1)
@@ -216,9 +212,10 @@ def u3_insert_or_ignore(t: Tables) -> DataFrame:
     return ledger.accumulated(stored, t.customer.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k")), "k")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def u4_j14_difference(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    done = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.join(done, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

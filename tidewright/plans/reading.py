@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
-from tidewright.operators import filters
+from tidewright.operators import filters, joins
 from tidewright.plans.base import Tables, query
 from tidewright.sources import dumps, html, packs
 
@@ -27,12 +27,13 @@ def s5_last_row_wins(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT DISTINCT doc_id FROM labels UNION SELECT -1), f AS (SELECT doc_id, left(text, 100) AS text, sha256(text) AS text_sha256 FROM documents)
-SELECT w.doc_id, text, text_sha256, CASE WHEN text_sha256 IS NULL THEN 'NOT_FOUND' END AS reason FROM w LEFT JOIN f ON w.doc_id = f.doc_id
+WITH w AS (SELECT DISTINCT doc_id FROM labels UNION SELECT -1), f AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN left(text, 100) END AS text, CASE WHEN doc_id % 9 <> 0 THEN sha256(text) END AS text_sha256, 1 AS there FROM documents)
+SELECT w.doc_id, text, text_sha256, CASE WHEN there IS NULL THEN 'NOT_FOUND' WHEN text_sha256 IS NULL THEN 'NO_TEXT' END AS reason FROM w LEFT JOIN f ON w.doc_id = f.doc_id
 """)
 def s8_s9_s10_wanted_pages(t: Tables) -> DataFrame:
     wanted = t.labels.select("doc_id").union(t.spark.createDataFrame([(-1,)], "doc_id long"))
-    return dumps.wanted_pages(t.documents.select("doc_id", "text"), wanted, "doc_id", 100)
+    pages = t.documents.select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
+    return dumps.wanted_pages(pages, wanted, "doc_id", 100)
 
 
 @query("""
@@ -78,10 +79,16 @@ def s22_branch_import(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, count(*) AS links FROM x GROUP BY 1
+WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+y AS (SELECT page_id, CASE WHEN regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:|//)') THEN 'body' ELSE 'internal' END AS context FROM x
+ UNION ALL SELECT page_id, 'citation' FROM pages UNION ALL SELECT page_id, 'internal' FROM pages UNION ALL SELECT page_id, 'navigation' FROM pages)
+SELECT page_id, context, count(*) AS links FROM y GROUP BY 1, 2
 """)
 def s24_html_links(t: Tables) -> DataFrame:
-    return html.page_links(t.pages, "page_id", "html").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    """Every page with a citation's list item and a navigation box after it, which hold links of each kind."""
+    more = '<ol><li id="cite_note-1"><a href="https://c.org/x">c</a><a href="/own">o</a></li></ol><div class="x navbox"><a href="https://n.org/y">n</a></div>'
+    found = html.page_links(t.pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit(more))), "page_id", "html")
+    return found.groupBy("page_id", "context").agg(F.count(F.lit(1)).alias("links"))
 
 
 @query("""
@@ -108,8 +115,7 @@ def k3_k11_nested_export(t: Tables) -> DataFrame:
 
 @query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS assignments FROM orders WHERE o_custkey IN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey > 20 ORDER BY 1 LIMIT 40) GROUP BY 1")
 def k5_keyset_batch(t: Tables) -> DataFrame:
-    keys = t.orders.filter("o_custkey > 20").select("o_custkey").distinct().orderBy("o_custkey").limit(40)
-    return t.orders.join(keys, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("assignments"))
+    return joins.keyset_batch(t.orders, "o_custkey", 20, 40, "o_orderkey", "assignments")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '''=' || p_name WHEN 1 THEN ''' -x' ELSE p_name END AS cell FROM part")
@@ -126,14 +132,3 @@ def k10_publishable_rows(t: Tables) -> DataFrame:
 @query("SELECT 'nation' AS source, NULL AS error, CAST(n_nationkey AS BIGINT) AS id FROM nation UNION ALL SELECT 'lost', 'no such island', NULL")
 def k12_federated_view(t: Tables) -> DataFrame:
     return packs.fallible_union({"nation": t.nation, "lost": ValueError("no such island")}, "cast(n_nationkey as long) as id").select("source", "error", "id")
-
-
-@query("SELECT conv_id, turn FROM conversations WHERE turn = 0 AND NOT contains(text, left(text, 20))")
-def k13_excerpt_check(t: Tables) -> DataFrame:
-    return t.conversations.filter("turn = 0").filter(~F.contains("text", F.substring("text", 1, 20))).select("conv_id", "turn")
-
-
-@query("SELECT p.page_id, CASE WHEN octet_length(encode(html)) > 6000 THEN NULL ELSE html END AS text, CASE WHEN octet_length(encode(html)) > 6000 THEN 'TOO_LARGE' END AS reason FROM pages p")
-def k14_pack_reasons(t: Tables) -> DataFrame:
-    large = F.octet_length("html") > 6000
-    return t.pages.select("page_id", F.when(~large, F.col("html")).alias("text"), F.when(large, "TOO_LARGE").alias("reason"))

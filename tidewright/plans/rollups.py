@@ -70,49 +70,45 @@ def a10_incremental_merge(t: Tables) -> DataFrame:
 
 
 _BITS = "CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 2 WHEN 'src2' THEN 4 ELSE 0 END"
+_FORMS = "f AS (SELECT lang, source, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS form FROM documents)"
+
+
+def _forms(t: Tables) -> DataFrame:
+    """The word forms of each whole text: (lang, k, source, b, form), k in lower case."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))
+    bit = aggregates.family_bits(F.col("source"), {"src0": 1, "src1": 2, "src2": 4})
+    return t.documents.select("lang", "source", bit.alias("b"), F.explode(words).alias("form")).withColumn("k", F.lower("form"))
 
 
 @query(f"""
-WITH s AS (SELECT lang, lower(left(text, 3)) AS k, source, count(*) AS n, bit_or({_BITS}) AS m FROM documents GROUP BY 1, 2, 3),
+WITH {_FORMS}, s AS (SELECT lang, lower(form) AS k, source, count(*) AS n, bit_or({_BITS}) AS m FROM f GROUP BY 1, 2, 3),
 g AS (SELECT lang, k, sum(n) AS n, count(*) AS sources, max(n) AS most, bit_or(m) AS m FROM s GROUP BY 1, 2)
 SELECT lang, CAST(sum(n) AS BIGINT) AS observation_rows, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS repeated_keys, CAST(sum(n - 1) AS BIGINT) AS extra_rows, count(*) FILTER (most > 1) AS repeated_inside_one_source,
  count(*) FILTER (sources > 1) AS shared_across_sources, count(*) FILTER (bit_count(m) > 1) AS shared_across_families, count(*) FILTER (m & 3 = 3) AS families_1_2, count(*) FILTER (m & 5 = 5) AS families_1_4, count(*) FILTER (m & 6 = 6) AS families_2_4 FROM g GROUP BY 1
 """)
 def a11_overlap_audit(t: Tables) -> DataFrame:
-    bit = aggregates.family_bits(F.col("source"), {"src0": 1, "src1": 2, "src2": 4})
-    return aggregates.overlap_audit(t.documents.select("lang", F.lower(F.substring("text", 1, 3)).alias("k"), "source", bit.alias("b")), "lang", "k", "source", "b")
+    return aggregates.overlap_audit(_forms(t).select("lang", "k", "source", "b"), "lang", "k", "source", "b")
 
 
 @query(f"""
-SELECT lang, lower(left(text, 3)) AS k, count(*) AS observations, bit_or({_BITS}) AS mask, count(DISTINCT source) AS sources, list_slice(list_sort(list(DISTINCT left(text, 6))), 1, 6) AS spellings
-FROM documents GROUP BY 1, 2 HAVING bit_count(bit_or({_BITS})) >= 2
+WITH {_FORMS} SELECT lang, lower(form) AS k, count(*) AS observations, bit_or({_BITS}) AS mask, count(DISTINCT source) AS sources, list_slice(list_sort(list(DISTINCT form)), 1, 6) AS spellings
+FROM f GROUP BY 1, 2 HAVING bit_count(bit_or({_BITS})) >= 2
 """)
 def a12_reconciliation(t: Tables) -> DataFrame:
-    bit = aggregates.family_bits(F.col("source"), {"src0": 1, "src1": 2, "src2": 4})
-    rows = t.documents.select("lang", F.lower(F.substring("text", 1, 3)).alias("k"), "source", bit.alias("b"), F.substring("text", 1, 6).alias("form"))
-    return aggregates.reconciled(rows, ["lang", "k"], "source", "b", {"spellings": ("form", 6)})
-
-
-@query("SELECT o_orderkey, list(l_linenumber || ':' || CAST(l_quantity AS INT) ORDER BY l_linenumber, l_quantity) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 200 GROUP BY 1")
-def a13_nested_collection(t: Tables) -> DataFrame:
-    return _nested_lines(t.orders.filter("o_orderkey < 200"), t.lineitem)
+    return aggregates.reconciled(_forms(t), ["lang", "k"], "source", "b", {"spellings": ("form", 6)})
 
 
 @query("SELECT o_orderkey, list(l_linenumber || ':' || CAST(l_quantity AS INT) ORDER BY l_linenumber, l_quantity) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
-def a13_nested_collection_whole(t: Tables) -> DataFrame:
-    return _nested_lines(t.orders, t.lineitem)
-
-
-def _nested_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    rows = orders.join(lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+def a13_nested_collection(t: Tables) -> DataFrame:
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     lines = F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))))
     return rows.groupBy("o_orderkey").agg(F.transform(lines, lambda x: F.concat_ws(":", x["n"], x["q"])).alias("lines"))
 
 
-@query("SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS returned, count(*) AS rows FROM lineitem WHERE l_linestatus = 'F'")
+@query("SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS returned, count(*) AS rows, l_linestatus FROM lineitem GROUP BY l_linestatus")
 def a14_scoped_distinct_counts(t: Tables) -> DataFrame:
     d = F.countDistinct
-    return t.lineitem.filter("l_linestatus = 'F'").agg(d("l_orderkey").alias("orders"), d("l_partkey").alias("parts"), d("l_suppkey").alias("suppliers"), d(F.when(F.col("l_returnflag") == "R", F.col("l_orderkey"))).alias("returned"), F.count(F.lit(1)).alias("rows"))
+    return t.lineitem.groupBy("l_linestatus").agg(d("l_orderkey").alias("orders"), d("l_partkey").alias("parts"), d("l_suppkey").alias("suppliers"), d(F.when(F.col("l_returnflag") == "R", F.col("l_orderkey"))).alias("returned"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import scores
@@ -16,26 +16,13 @@ def x1_normalized_lemma(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.normalized_lemma("p_name").alias("l")).select("p_partkey", "l.*")
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(replace(left(text, 200), '_', ' ')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS s FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, trim(regexp_replace(lower(replace(text, '_', ' ')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS s FROM documents")
 def x2_squeezed(t: Tables) -> DataFrame:
-    return t.documents.filter("lang = 'en'").select("doc_id", T.squeezed(F.substring("text", 1, 200)).alias("s"))
-
-
-@query()
-def x2_squeezed_whole(t: Tables) -> DataFrame:
-    """Whole texts in every language, beyond what the SQL of ``x2_squeezed`` follows."""
     return t.documents.select("doc_id", T.squeezed("text").alias("s"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(left(text, 300)), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents WHERE lang = 'en' AND NOT regexp_matches(left(text, 300), '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents")
 def x3_ascii_folded(t: Tables) -> DataFrame:
-    head = F.substring("text", 1, 300)
-    return t.documents.filter((F.col("lang") == "en") & ~head.rlike(r"[^\x00-\x7F]")).select("doc_id", T.ascii_folded(head).alias("s"))
-
-
-@query()
-def x3_ascii_folded_whole(t: Tables) -> DataFrame:
-    """Whole texts in every language, with accents, beyond what the SQL of ``x3_ascii_folded`` follows."""
     return t.documents.select("doc_id", T.ascii_folded("text").alias("s"))
 
 
@@ -43,9 +30,9 @@ _STEM = """CASE WHEN w LIKE 'educat%' THEN 'educat' WHEN w LIKE 'universit%' THE
  WHEN w LIKE '%s' AND length(w) > 5 AND NOT regexp_matches(w, '(ss|us|is)$') THEN regexp_replace(w, 's$', '') ELSE w END"""
 
 
-@query(f"SELECT w, {_STEM} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en')")
+@query(f"SELECT w, {_STEM} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)")
 def x4_stem(t: Tables) -> DataFrame:
-    words = t.documents.filter("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w")).distinct()
+    words = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w")).distinct()
     return words.select("w", T.stem("w").alias("stem"))
 
 
@@ -57,12 +44,16 @@ def x5_tokens(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a FROM documents), b AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS b FROM benchmark WHERE item_id = 3)
-SELECT doc_id, CAST(len(list_intersect(a, b)) AS INT) AS shared FROM d, b
+WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS b FROM benchmark), n AS (SELECT max(item_id) + 1 AS n FROM benchmark),
+d AS (SELECT doc_id, doc_id % n AS item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a FROM documents, n)
+SELECT doc_id, CAST(len(list_intersect(a, b)) AS INT) AS shared FROM d JOIN b ON d.item_id = b.item_id
 """)
 def x6_shared_words(t: Tables) -> DataFrame:
-    own = t.benchmark.filter("item_id = 3").select(T.tokens("text", pattern="[a-z]+").alias("b")).first()["b"]
-    return t.documents.select("doc_id", T.shared_words(T.tokens("text", pattern="[a-z]+"), F.array(*map(F.lit, own))).alias("shared"))
+    """Each document against one benchmark item."""
+    n = t.benchmark.agg(F.max("item_id") + 1).first()[0]
+    items = t.benchmark.select("item_id", T.tokens("text", pattern="[a-z]+").alias("b"))
+    docs = t.documents.select("doc_id", (F.col("doc_id") % n).alias("item_id"), T.tokens("text", pattern="[a-z]+").alias("a"))
+    return docs.join(items, "item_id").select("doc_id", T.shared_words(F.col("a"), F.col("b")).alias("shared"))
 
 
 @query("""
@@ -94,7 +85,7 @@ def x10_wiki_links(t: Tables) -> DataFrame:
     from tidewright.sources import html
 
     text = F.concat(F.lit("[[first_one|label]] and "), F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("[["), w, F.lit("]]"))), " "))
-    return t.documents.select("doc_id", html.wiki_links(text, 12).alias("links"))
+    return t.documents.select("doc_id", F.array_sort(html.wiki_links(text, 1 << 20)).alias("links"))
 
 
 @query()
@@ -135,7 +126,7 @@ def x17_candidate_ids(t: Tables) -> DataFrame:
 
 
 @query()
-def x18_x20_canonical_keys(t: Tables) -> DataFrame:
+def x20_canonical_keys(t: Tables) -> DataFrame:
     from pyspark.sql.types import StringType
 
     from tidewright.sources import packs
@@ -176,39 +167,6 @@ def x23_blended_score(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", scores.blended(F.col("p_size"), profile, F.col("p_partkey") % 5 == 0, F.col("p_partkey") % 3 == 0).alias("score"))
 
 
-_CONCEPTS = [("b1", "c1", ["the", "that"]), ("b1", "c2", ["with"]), ("b2", "c3", ["der", "und"]), ("b3", "c4", ["les", "des", "que"])]
-
-
-@query("""
-WITH k(branch, concept, terms) AS (VALUES ('b1', 'c1', ['the', 'that']), ('b1', 'c2', ['with']), ('b2', 'c3', ['der', 'und']), ('b3', 'c4', ['les', 'des', 'que'])), c AS (SELECT branch, concept, unnest(terms) AS term FROM k),
-d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 60)), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 61, 200)), '[a-z]+')) AS b FROM documents),
-m AS (SELECT doc_id, branch, concept, count(*) FILTER (list_contains(a, term)) AS tm, count(*) FILTER (list_contains(b, term)) AS cm FROM d, c GROUP BY 1, 2, 3),
-s AS (SELECT *, least(95, 18 * tm + 7 * least(5, cm) + CASE WHEN tm > 0 AND cm > 0 THEN 7 ELSE 0 END) AS score FROM m WHERE tm + cm > 0)
-SELECT doc_id, branch, concept, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, branch ORDER BY score DESC, concept DESC) AS r FROM s) WHERE r = 1
-""")
-def x24_classify(t: Tables) -> DataFrame:
-    return _classified(t, F.substring("text", 1, 60), F.substring("text", 61, 200))
-
-
-@query()
-def x24_classify_whole(t: Tables) -> DataFrame:
-    """The first 60 characters as title and all the rest as body."""
-    return _classified(t, F.substring("text", 1, 60), F.expr("substring(text, 61)"))
-
-
-def _classified(t: Tables, title: Column, body: Column) -> DataFrame:
-    """Best concept of each branch; words meet concepts by an equi join, ties go to the greater concept id."""
-    from pyspark.sql import Window
-
-    terms = t.spark.createDataFrame([(b, c, w) for b, c, ws in _CONCEPTS for w in ws], "branch string, concept string, term string")
-    part = lambda text, first: t.documents.select("doc_id", F.explode(T.tokens(text, pattern="[a-z]+")).alias("term"), F.lit(first).alias("title"))
-    words = part(title, True).unionByName(part(body, False))
-    met = words.join(F.broadcast(terms), "term").groupBy("doc_id", "branch", "concept").agg(F.sum(F.col("title").cast("int")).alias("tm"), F.sum((~F.col("title")).cast("int")).alias("cm"))
-    score = F.least(F.lit(95), 18 * F.col("tm") + 7 * F.least(F.lit(5), F.col("cm")) + F.when((F.col("tm") > 0) & (F.col("cm") > 0), 7).otherwise(0))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "branch").orderBy(F.desc("score"), F.desc("concept")))
-    return met.withColumn("score", score).withColumn("r", rank).filter("r = 1").select("doc_id", "branch", "concept", "score")
-
-
 @query("""
 WITH x AS (SELECT p_partkey, lower(p_type) AS n, lower(CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN split_part(p_type, ' ', 1) WHEN 2 THEN left(p_type, 4) WHEN 3 THEN split_part(p_type, ' ', 2) || ' ' || split_part(p_type, ' ', 1) ELSE 'zz ' || split_part(p_type, ' ', 1) END) AS l FROM part),
 y AS (SELECT *, list_distinct(list_filter(regexp_extract_all(l, '[a-z0-9]+'), lambda w: length(w) >= 2)) AS ws, list_distinct(list_filter(regexp_extract_all(n, '[a-z0-9]+'), lambda w: length(w) >= 2)) AS cs FROM x), z AS (SELECT *, len(list_intersect(ws, cs)) AS m FROM y)
@@ -273,14 +231,6 @@ def x34_iso_time(t: Tables) -> DataFrame:
     return t.events.select("event_id", T.iso_utc("ts").alias("iso"))
 
 
-@query("""
-SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'unknown page' WHEN value IS NULL OR NOT value >= 5 THEN 'value' WHEN NOT contains(props, 'a') THEN 'quote' END AS error FROM events
-""")
-def x35_x36_fact_validation(t: Tables) -> DataFrame:
-    error = scores.first_error(("unknown page", F.col("user_id") % 5 != 0), ("value", F.col("value") >= 5), ("quote", F.contains("props", F.lit("a"))))
-    return t.events.select("event_id", error.alias("error"))
-
-
 @query("""
 SELECT lang AS s, list_sort(list(DISTINCT source)) AS labels FROM documents GROUP BY 1
 """)
@@ -320,12 +270,6 @@ def x41_deterministic_uuid(t: Tables) -> DataFrame:
     return t.pages.select("page_id", uuid5("url").alias("uuid"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(left(text, 400)), '[^\\p{L}\\p{N}_-]+', ' ', 'g')), ' '), lambda w: length(w) >= 3))) AS words FROM documents WHERE lang <> 'de'")
+@query("SELECT doc_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_-]+', ' ', 'g')), ' '), lambda w: length(w) >= 3))) AS words FROM documents")
 def x42_search_words(t: Tables) -> DataFrame:
-    return t.documents.filter("lang <> 'de'").select("doc_id", F.sort_array(T.search_words(F.substring("text", 1, 400), 3)).alias("words"))
-
-
-@query()
-def x42_search_words_whole(t: Tables) -> DataFrame:
-    """Whole texts in every language, beyond what the SQL of ``x42_search_words`` follows."""
     return t.documents.select("doc_id", F.sort_array(T.search_words("text", 3)).alias("words"))

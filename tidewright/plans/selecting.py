@@ -223,10 +223,8 @@ SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND EXISTS (SELE
  AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment IN ('BUILDING', 'MACHINERY'))
 """)
 def f4_media_search(t: Tables) -> DataFrame:
-    found = t.orders.filter(F.col("o_orderstatus").isin("F", "O"))
-    found = found.join(t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
-    wanted = t.customer.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("o_custkey"))
-    return found.join(wanted, "o_custkey", "left_semi").select("o_orderkey")
+    bridges = [(t.lineitem.filter("l_returnflag = 'R'"), "o_orderkey", "l_orderkey"), (t.customer.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), "o_custkey", "c_custkey")]
+    return filters.searched(t.orders, {"o_orderstatus": ["F", "O"], "o_orderpriority": []}, bridges).select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE nullif(o_orderpriority, '1-URGENT') IS NULL OR nullif(o_orderpriority, '1-URGENT') NOT IN ('2-HIGH', '5-LOW')")
@@ -255,9 +253,9 @@ def f8_scope_with_bridges(t: Tables) -> DataFrame:
     return filters.in_scope(t.customer, "c_custkey", F.col("c_mktsegment") == "BUILDING", bridges).select("c_custkey")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name >= 'Part' AND p_name < 'Part' || chr(65535) AND p_name > 'Part#00000050'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name >= 're' AND p_name < 're' || chr(65535) AND p_name > 'red bolt'")
 def f9_prefix_probe(t: Tables) -> DataFrame:
-    return t.part.filter(filters.prefix_range("p_name", "Part", "Part#00000050")).select("p_partkey", "p_name")
+    return t.part.filter(filters.prefix_range("p_name", "re", "red bolt")).select("p_partkey", "p_name")
 
 
 @query("""

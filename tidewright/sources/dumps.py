@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 
@@ -16,6 +17,9 @@ MYSQL_ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x
 _FIELD = re.compile(r"'((?:[^'\\]|\\.)*)'|([^,()'\s;][^,()']*)", re.DOTALL)
 _INSERT = re.compile(r"^INSERT\s+INTO\s+`?(\w+)`?\s*(?:\(([^)]*)\))?\s*VALUES\s*", re.IGNORECASE)
 _TUPLE = re.compile(r"\(((?:'(?:[^'\\]|\\.)*'|[^'()])*)\)", re.DOTALL)
+#: A tuple that isn't whole after so many characters is refused.
+MOST_TUPLE = 16 << 20
+_END = re.compile(r"'(?:[^'\\]|\\.)*'|('.*)|(;)[ \t]*\r?\n", re.DOTALL)
 
 
 def unescape(value: str) -> str:
@@ -38,30 +42,72 @@ def parse_tuples(values: str) -> Iterator[list[str | None]]:
         raise ValueError(f"a truncated tuple: {values[at : at + 40]!r}")
 
 
+def statements(pieces: Iterator[str]) -> Iterator[str]:
+    """Statements of a dump that comes in pieces: they end at a ``;`` and a line's end outside quotes.
+
+    An INSERT is handed on in parts of whole tuples, each with the statement's head, so that what is
+    kept of an incomplete tail is bounded.
+    """
+    head, rest = "", ""
+    for piece in pieces:
+        rest += piece
+        at = 0
+        for m in _END.finditer(rest):
+            if m[2]:  # m[1]: a quote that the next piece closes
+                yield head + rest[at : m.start(2)]
+                head, at = "", m.end()
+        rest = rest[at:]
+        own = "" if head else next(iter([x[0] for x in [_INSERT.match(rest.lstrip())] if x]), "")
+        if head or own:
+            body = rest if head else rest.lstrip()[len(own) :]
+            last = 0
+            for m in _TUPLE.finditer(body):
+                last = m.end()
+            if last:
+                yield (head or own) + body[:last]
+                head, rest = head or own, body[last:].lstrip(", \r\n\t")
+        if len(rest) > MOST_TUPLE:
+            raise ValueError(f"no whole tuple or statement in {MOST_TUPLE} characters")
+    if rest.strip(" \t\r\n,;"):
+        raise ValueError(f"the dump is cut off in {rest[:40]!r}")
+
+
 def read_sql_dump(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
-    """Rows of a mysqldump file's INSERT statements of one table, all columns as text.
+    """Rows of the INSERT statements of one table in mysqldump files (plain, .gz or .bz2), all columns as text.
 
-    Statements are records (separated by ``;`` and a line end), so a file is split among tasks.
+    A task reads one file in pieces, as only the quotes before a place tell what a ``;`` there means; large
+    dumps come in many files. Raw line ends in values are kept. A cut-off file or row is an error.
     """
-    records = spark.read.option("lineSep", ";\n").text(path)
     names = [f"`{c}` string" for c in columns]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def pieces(at: str) -> Iterator[str]:
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri("file://" + at.removeprefix("file:") if at.startswith("file:/") and not at.startswith("file://") else at)
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        with store.open_input_stream(name, compression="detect") as stream:
+            while data := stream.read(1 << 20):
+                yield decoder.decode(data)
+            yield decoder.decode(b"", True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for record in batch["value"]:
-                m = _INSERT.match(record.lstrip())
-                if not m or m[1] != table:
-                    continue
-                own = [c.strip(" `") for c in m[2].split(",")] if m[2] else columns
-                for row in parse_tuples(record.lstrip()[m.end() :]):
-                    if len(row) != len(own):
-                        raise ValueError(f"{len(row)} fields for {len(own)} columns")
-                    found = dict(zip(own, row, strict=True))
-                    rows.append([found.get(c) for c in columns])
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
-
-    return records.filter(F.lower("value").contains("insert")).mapInPandas(run, ", ".join(names))
+            for at in batch["path"]:
+                for statement in statements(pieces(at)):
+                    m = _INSERT.match(statement.lstrip())
+                    if not m or m[1] != table:
+                        continue
+                    own = [c.strip(" `") for c in m[2].split(",")] if m[2] else columns
+                    rows = []
+                    for row in parse_tuples(statement.lstrip()[m.end() :]):
+                        if len(row) != len(own):
+                            raise ValueError(f"{len(row)} fields for {len(own)} columns")
+                        found = dict(zip(own, row, strict=True))
+                        rows.append([found.get(c) for c in columns])
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return files.mapInPandas(run, ", ".join(names))
 
 
 def convert(stage: str, df: DataFrame) -> DataFrame:
@@ -100,11 +146,13 @@ def read_pages_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wanted_pages(pages: DataFrame, wanted: DataFrame, key: str, chars: int | None = None) -> DataFrame:
-    """Pages of a wanted set, with first characters and hash of the whole text; missing ones have a reason."""
+    """Pages of a wanted set, with first characters and hash of the whole text; those without have a reason:
+    NOT_FOUND, or NO_TEXT for a page that is there."""
     found = pages.join(wanted.select(key), key, "left_semi")
     text = F.substring("text", 1, chars) if chars else F.col("text")
-    out = found.select(key, text.alias("text"), F.sha2("text", 256).alias("text_sha256"))
-    return wanted.select(key).distinct().join(out, key, "left").withColumn("reason", F.when(F.col("text_sha256").isNull(), "NOT_FOUND"))
+    out = found.select(key, text.alias("text"), F.sha2("text", 256).alias("text_sha256"), F.lit(True).alias("_there"))
+    reason = F.when(F.col("_there").isNull(), "NOT_FOUND").when(F.col("text_sha256").isNull(), "NO_TEXT")
+    return wanted.select(key).distinct().join(out, key, "left").withColumn("reason", reason).drop("_there")
 
 
 def observations(df: DataFrame, kind: str, line: str = "value", language: str = "und", aliases: dict[str, str] | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewright.operators.ledger import TRANSITIONS, receipts
+from tidewright.stored import Scratch
 
 
 def new_replies(stream: DataFrame, job: str, payload: str, time: str, late: str = "1 hour") -> DataFrame:
@@ -23,19 +24,24 @@ def new_replies(stream: DataFrame, job: str, payload: str, time: str, late: str
     return stream.withWatermark(time, late).withColumn("digest", digest).dropDuplicatesWithinWatermark([job, "digest"])
 
 
-def import_batch(batch: DataFrame, stored_path: str, job: str, payload: str) -> DataFrame:
-    """One micro-batch against the receipts at a path: new ones are appended, all come back with outcomes."""
+def import_batch(batch: DataFrame, stored_path: str, job: str, payload: str, batch_id: int) -> DataFrame:
+    """One micro-batch against the receipts at a path: new ones are stored, all come back with outcomes.
+
+    Of several payloads for one new job the one of least digest is NEW, the others are a CONFLICT.
+    Receipts are stored by batch: a batch that is run again after a failure overwrites its own and is judged
+    against those of the other batches, so it gives the same outcomes.
+    """
     spark = batch.sparkSession
     kind = batch.schema[job].dataType.simpleString()
-    try:
-        stored = spark.read.parquet(stored_path)
-        stored.schema  # noqa: B018 - fails here where the path has no table yet
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER" not in str(missing):
-            raise
-        stored = spark.createDataFrame([], f"{job} {kind}, digest string")
-    out = receipts(batch.dropDuplicates([job, payload]), stored, job, payload)
-    out.filter("outcome = 'NEW'").dropDuplicates([job]).select(job, "digest").write.mode("append").parquet(stored_path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stored_path)
+    schema = f"{job} {kind}, digest string, batch long"
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    stored = spark.read.schema(schema).parquet(stored_path) if there else spark.createDataFrame([], schema)
+    out = receipts(batch.dropDuplicates([job, payload]), stored.filter(F.col("batch") != batch_id).select(job, "digest"), job, payload)
+    least = out.filter("outcome = 'NEW'").groupBy(job).agg(F.min("digest").alias("_least"))
+    out = out.join(least, job, "left").withColumn("outcome", F.when((F.col("outcome") == "NEW") & (F.col("digest") != F.col("_least")), "CONFLICT").otherwise(F.col("outcome"))).drop("_least")
+    out = Scratch(spark, "replies").save(out, "judged")
+    out.filter("outcome = 'NEW'").select(job, "digest").write.mode("overwrite").parquet(f"{stored_path}/batch={batch_id}")
     return out
 
 
