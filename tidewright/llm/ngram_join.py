@@ -113,7 +113,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         each = SKETCH // SLICES
-        parts = [table[i * each : (i + 1) * each].astype("<i8").tobytes() for i in range(SLICES)] if table.any() else []
+        parts = [_counts(table[i * each : (i + 1) * each]) for i in range(SLICES)] if table.any() else []
         if parts:
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, batch.column(0).type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
@@ -121,6 +121,11 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, key binary, slice int, counts binary")
 
 
+def _counts(table: np.ndarray) -> bytes:
+    """Counters as 32 bits each; greater ones stay at the greatest, which is as common as a shingle can be told to be."""
+    return np.minimum(table, np.iinfo(np.uint32).max).astype("<u4").tobytes()
+
+
 def _frequencies(summaries: DataFrame) -> np.ndarray:
     """Sums of the counters of all tasks: one row a slice and group of tasks, then one a slice."""
 
@@ -128,15 +133,15 @@ def _frequencies(summaries: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.frombuffer(data, "<i8")
+                found = np.frombuffer(data, "<u4").astype(np.int64)
                 sums[number] = sums[number] + found if number in sums else found
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([*map(_counts, sums.values())], pa.binary())], ["slice", "counts"])
 
     rows = summaries.filter("slice is not null").select("slice", "counts")
     total = np.zeros((SLICES, SKETCH // SLICES), np.int64)
     for row in rows.mapInArrow(add, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
-        total[row["slice"]] += np.frombuffer(row["counts"], "<i8")
+        total[row["slice"]] += np.frombuffer(row["counts"], "<u4")
     return np.minimum(total.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
