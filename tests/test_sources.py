@@ -1,10 +1,13 @@
+import hashlib
 import json
 import lzma
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.operators import aggregates
 from tidewright.sources import dumps, exports, html, loading, packs
 
 
@@ -279,3 +282,24 @@ def test_parts_of_packs_are_bounded(spark):
     assert packs.verified_packs(made, ["pack", "part"]).count() == 0
     bad = made.withColumn("zip", F.concat("zip", F.lit(b"x")).substr(5, 100000))
     assert packs.verified_packs(bad, ["pack", "part"]).count() == made.count()
+
+
+def test_guides_hold_verbatim_excerpts():
+    text = "{{box}}\nThe lead has a line of prose with enough words in it.\n== Early life ==\n* list\nThis section tells of many things in some more words here.\n== References ==\nnot to be read at all by anyone who is in a hurry\n=== History of it ===\nHistory is told here in a line with enough words too.\n== Short ==\nfew words"
+    found = html.guide(text, "history", "references?", words=5, most=1)
+    assert found["samples"] == [{"section": "", "excerpt": "The lead has a line of prose with enough words in it."}, {"section": "History of it", "excerpt": "History is told here in"}]
+    assert [(s["heading"], s["reference"], s["hint"]) for s in found["sections"]] == [("", False, False), ("Early life", False, False), ("References", True, False), ("History of it", False, True), ("Short", False, False)]
+    assert sum(s["words"] for s in found["sections"]) == len(re.sub(r"(?m)^=.*=$", "", text).split())
+    assert html.guide("{{x}}\ntwo words", "a", "b")["samples"] == [{"section": "", "excerpt": "two words"}] and html.guide("", "a", "b")["samples"] == []
+
+
+def test_ordered_digests_follow_rows_and_order(spark):
+    rows = spark.createDataFrame([(i, f"t{i * 7 % 5}") for i in range(2500)], "k int, v string")
+    digest = lambda df, order: aggregates.ordered_digest(df, order, ["k", "v"], block=10).first()
+    one = digest(rows, ["k"])
+    assert one.n == 2500 and one == digest(rows.repartition(7), ["k"]) and one != digest(rows, ["v", "k"])
+    assert one != digest(rows.withColumn("v", F.when(F.col("k") == 99, "x").otherwise(F.col("v"))), ["k"])
+    level = [hashlib.sha256(json.dumps({"k": i, "v": f"t{i * 7 % 5}"}, separators=(",", ":")).encode()).hexdigest() for i in range(2500)]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i : i + 10]).encode()).hexdigest() for i in range(0, len(level), 10)]
+    assert one.sha256 == level[0] and digest(rows.limit(0), ["k"]).n == 0

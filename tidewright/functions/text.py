@@ -152,11 +152,28 @@ def word_count(c: Column | str) -> Column:
     return F.size(F.regexp_extract_all(_col(c), F.lit(r"(\S+)"), 1))
 
 
+def ascii_host(host: str | None) -> str | None:
+    """A host (with or without port) as IDNA writes it; one that IDNA refuses stays as it is."""
+    try:
+        return host and host.encode("idna").decode("ascii")
+    except UnicodeError:
+        return host
+
+
+@F.pandas_udf(StringType())
+def _idna(s: pd.Series) -> pd.Series:
+    return s.map(ascii_host)
+
+
 def url_parts(c: Column | str) -> Column:
-    """A URL with scheme and host in lower case, without default port and fragment."""
+    """A URL with scheme and host in lower case, without default port and fragment; hosts in ASCII (IDNA).
+
+    Only hosts with other characters go to Python.
+    """
     x = F.trim(_col(c))
     scheme = F.lower(F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(x, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    host = F.when(host.rlike(r"[^\x00-\x7f]"), _idna(host)).otherwise(host)
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     rest = F.regexp_replace(F.regexp_replace(x, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "#.*$", "")
     return F.when(scheme == "", None).otherwise(F.concat(scheme, F.lit("://"), host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))

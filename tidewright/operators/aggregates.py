@@ -121,3 +121,25 @@ def search_documents(base: DataFrame, key: str, own: list[str], children: dict[s
 def latest(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """The value of the last row of each key."""
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value), F.count(F.lit(1)).alias("n"))
+
+
+def ordered_digest(df: DataFrame, order: list[str], columns: list[str], block: int = 1_000) -> DataFrame:
+    """One row (n, sha256): a digest that follows every row and their order, whatever the partitions.
+
+    Rows are ranked and taken in blocks of ``block``; a block's digest is that of its rows' digests in order.
+    Blocks of digests are taken together in the same way until one is left, so that no task sees more than a
+    block. Rows are written as JSON with their columns in the given order.
+    """
+    from tidewright.operators.ranking import ranked
+
+    line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    rows = ranked(df, [F.asc(c) for c in order], "_k").select((F.col("_k") - 1).alias("k"), F.sha2(line, 256).alias("h"))
+    n = df.count()
+    level = n
+    while True:
+        numbered = rows.groupBy(F.floor(F.col("k") / block).alias("b")).agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("x"))
+        rows = numbered.select(F.col("b").alias("k"), F.sha2(F.array_join(F.transform("x", lambda s: s["h"]), ""), 256).alias("h"))
+        level = -(-level // block)
+        if level <= 1:
+            break
+    return rows.agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.min("h"), F.sha2(F.lit(""), 256)).alias("sha256"))

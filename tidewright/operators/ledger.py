@@ -247,3 +247,24 @@ def recovered_packs(found: DataFrame, registered: DataFrame, members: DataFrame,
     bad = held.groupBy("pack_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(~fits, F.col("page_id"))).alias("_page"))
     reason = F.when(F.col("source") != source, "another source").when(F.col("_n").isNull(), "no members").when(F.col("_page").isNotNull(), F.concat(F.lit("page "), F.col("_page"), F.lit(" doesn't fit the queue")))
     return lost.join(bad, "pack_id", "left").select("pack_id", F.when(reason.isNull(), "REGISTER").otherwise("REFUSE").alias("action"), reason.alias("reason"))
+
+
+def reviewed_import(incoming: DataFrame, files: DataFrame, stored: DataFrame, key: str, definition: str, file: str, cost: str, budget: int) -> DataFrame:
+    """(key, file, outcome) of definitions from reviewed files: ALREADY_IMPORTED where the file's hash is known,
+    SAME or CONFLICT against the stored definition, OVER_BUDGET where the new ones of a file cost more than the
+    budget together, and NEW otherwise. Several definitions of one new key are a CONFLICT but the least.
+    """
+    known = files.select(F.col(file)).distinct().withColumn("_seen", F.lit(True))
+    old = stored.select(key, F.col(definition).alias("_old"))
+    least = incoming.groupBy(key).agg(F.min(definition).alias("_least"))
+    rows = incoming.join(known, file, "left").join(old, key, "left").join(least, key)
+    outcome = (
+        F.when(F.col("_seen"), "ALREADY_IMPORTED")
+        .when(F.col("_old").isNotNull(), F.when(F.col("_old") == F.col(definition), "SAME").otherwise("CONFLICT"))
+        .when(F.col(definition) != F.col("_least"), "CONFLICT")
+        .otherwise("NEW")
+    )
+    judged = rows.select(key, file, cost, outcome.alias("outcome"))
+    spent = judged.filter("outcome = 'NEW'").groupBy(file).agg(F.sum(cost).alias("_spent"))
+    out = judged.join(spent, file, "left")
+    return out.select(key, file, F.when((F.col("outcome") == "NEW") & (F.col("_spent") > budget), "OVER_BUDGET").otherwise(F.col("outcome")).alias("outcome"))

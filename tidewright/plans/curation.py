@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tidewright.operators import classification, ledger, validation
+from tidewright.functions import text as T
+from tidewright.operators import aggregates, classification, ledger, validation
 from tidewright.plans.base import Tables, query
-from tidewright.sources import loading, packs
+from tidewright.sources import html, loading, packs
 
 
 @query("""
@@ -259,3 +260,47 @@ def t11_source_epoch(t: Tables) -> DataFrame:
     if same or not changed:
         raise ValueError("a fingerprint that depends on the order, or not on sizes")
     return files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("""
+WITH r AS (SELECT sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars})) AS h, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS b, doc_id FROM documents),
+b AS (SELECT b, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM r GROUP BY 1), c AS (SELECT b // 1000 AS c, sha256(string_agg(h, '' ORDER BY b)) AS h FROM b GROUP BY 1)
+SELECT (SELECT count(*) FROM documents) AS n, CASE WHEN (SELECT count(*) FROM b) = 1 THEN (SELECT h FROM b) ELSE (SELECT min(h) FROM c) END AS sha256
+""")
+def a25_corpus_hash(t: Tables) -> DataFrame:
+    return aggregates.ordered_digest(t.documents, ["doc_id"], ["doc_id", "lang", "n_chars"])
+
+
+@query("""
+WITH i AS (SELECT o_orderkey AS k, o_custkey % 40 AS file, o_orderstatus || CASE WHEN o_orderkey % 9 = 0 THEN '!' ELSE '' END AS def, CAST(o_orderkey % 50 AS INT) AS cost FROM orders),
+s AS (SELECT o_orderkey AS k, o_orderstatus AS old FROM orders WHERE o_orderkey % 3 = 0),
+j AS (SELECT i.k, file, cost, CASE WHEN file < 5 THEN 'ALREADY_IMPORTED' WHEN old = def THEN 'SAME' WHEN old IS NOT NULL THEN 'CONFLICT' ELSE 'NEW' END AS o FROM i LEFT JOIN s ON i.k = s.k),
+b AS (SELECT file, sum(cost) AS spent FROM j WHERE o = 'NEW' GROUP BY 1)
+SELECT k, j.file, CASE WHEN o = 'NEW' AND spent > 6000 THEN 'OVER_BUDGET' ELSE o END AS outcome FROM j LEFT JOIN b ON j.file = b.file
+""")
+def t16_reviewed_import(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    incoming = t.orders.select(k.alias("k"), (F.col("o_custkey") % 40).alias("file"), F.concat("o_orderstatus", F.when(k % 9 == 0, "!").otherwise("")).alias("def"), (k % 50).cast("int").alias("cost"))
+    files = incoming.filter("file < 5").select("file")
+    stored = t.orders.filter(k % 3 == 0).select(k.alias("k"), F.col("o_orderstatus").alias("def"))
+    return ledger.reviewed_import(incoming, files, stored, "k", "def", "file", "cost", 6000)
+
+
+@query()
+def x13_reading_guide(t: Tables) -> DataFrame:
+    text = F.concat("text", F.lit("\n== History ==\n* list\n"), "text", F.lit("\n== References ==\n"), "text")
+    return t.documents.select("doc_id", html.reading_guide(text, "history", "references?").alias("g")).select("doc_id", F.transform("g.samples", lambda s: s["section"]).alias("samples"), F.transform("g.sections", lambda s: s["words"]).alias("words"))
+
+
+@query("SELECT source, CAST(count(*) AS BIGINT) AS articles FROM documents GROUP BY 1")
+def k2_article_packs(t: Tables) -> DataFrame:
+    """Packs of all documents, verified, and the articles of each source counted in the manifests' files."""
+    rows = t.documents.select("source", F.col("doc_id").alias("page_id"), F.lit("1").alias("revision_id"), F.concat(F.lit("T"), "doc_id").alias("title"), "text")
+    made = packs.article_packs(rows, "source", "history", "references?")
+    good = made.join(packs.verified_packs(made, ["source", "part"]), ["source", "part"], "left_anti")
+    return good.groupBy("source").agg(F.sum("articles").alias("articles"))
+
+
+@query("SELECT page_id, 'http://xn--bcher-kva.example/' || page_id AS url FROM pages")
+def x14_idna_hosts(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.url_parts(F.concat(F.lit("HTTP://Bücher.example:80/"), "page_id", F.lit("#x"))).alias("url"))

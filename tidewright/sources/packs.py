@@ -151,6 +151,30 @@ def packed(df: DataFrame, pack: str, name: str, content: str, most_files: int =
     return planned.groupBy(pack, "part").applyInPandas(run, f"{pack} {kind}, part int, members int, bytes long, zip binary")
 
 
+def article_packs(df: DataFrame, pack: str, priority: str, reference: str, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(pack, part, articles, zip): packs of page_id, revision_id, title and text, with all that an answer needs.
+
+    A pack holds the whole texts, a reading guide (a line an article), an empty delta that names the pack, and
+    the manifest of all their digests.
+    """
+    from tidewright.sources.html import guide
+
+    kind = df.schema[pack].dataType.simpleString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("page_id")
+        name = f"{key[0]}-{key[1]:06d}"
+        texts = {f"{r.page_id}.txt": (r.text or "").encode() for r in pdf.itertuples()}
+        lines = [{"page_id": int(r.page_id), "revision_id": str(r.revision_id), "title": r.title, "text_sha256": hashlib.sha256((r.text or "").encode()).hexdigest(), **guide(r.text or "", priority, reference)} for r in pdf.itertuples()]
+        delta = {"pack_id": name, "claims": [], "coverage_note": "", "canonical_admissions": 0, "publication_authorized": False}
+        data = zip_pack(texts | {"guide.jsonl": "".join(json.dumps(x, ensure_ascii=False, sort_keys=True) + "\n" for x in lines).encode(), "delta.json": json.dumps(delta, sort_keys=True).encode()})
+        return pd.DataFrame({pack: [key[0]], "part": [key[1]], "articles": [len(pdf)], "zip": [data]})
+
+    rows = df.select(pack, "page_id", "revision_id", "title", "text").withColumn("_name", F.lpad(F.col("page_id").cast("string"), 20, "0"))
+    planned = planned_packs(rows.withColumn("_text", F.coalesce("text", F.lit(""))), pack, "_name", "_text", most_files, most_bytes).drop("_name", "_text")
+    return planned.groupBy(pack, "part").applyInPandas(run, f"{pack} {kind}, part int, articles int, zip binary")
+
+
 def verified_packs(df: DataFrame, pack: list[str], data: str = "zip") -> DataFrame:
     """(pack, problem): what is wrong with each pack; none for good ones."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in pack)
