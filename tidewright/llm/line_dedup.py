@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import words
 from tidewright.llm.scratch import Scratch
+from tidewright.llm.skew import join_groups
 from tidewright.llm.substring_dedup import meet_places, places_of
 from tidewright.llm.worker import drop, slices
 
@@ -100,7 +101,7 @@ def _lines(rows: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
 def _copies(texts: DataFrame) -> DataFrame:
     """(id, tag) of texts that a document of smaller id has too."""
     first = texts.groupBy("a", "b").agg(F.min(F.struct("id")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return texts.join(first, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("least.id"))).select(F.col("id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    return join_groups(texts, first, ["a", "b"], ["id", "tag"]).filter(~F.col("id").eqNullSafe(F.col("least.id"))).select(F.col("id").alias("_id"), F.col("tag").alias("_tag")).distinct()
 
 
 def _intervals(rows: DataFrame, x: str, y: str) -> DataFrame:

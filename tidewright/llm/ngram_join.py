@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 from tidewright.llm import words
 from tidewright.llm.components import components
 from tidewright.llm.scratch import Scratch
+from tidewright.llm.skew import join_groups
 from tidewright.llm.worker import drop, slices
 
 #: Counters of the frequency table (a power of two): 4 MB, whatever the input.
@@ -246,8 +247,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     summaries = scratch.save(_summaries(rows, width), "summaries")
     frequencies = _frequencies(summaries)
     per_id = summaries.filter("slice is null").groupBy("id").agg(F.min(F.struct("n", "key")).alias("s")).select("id", "s.n", "s.key")
-    classes = per_id.filter("n > 0").groupBy("key").agg(F.min("id").alias("class"))
-    members = scratch.save(per_id.join(classes, "key", "left").select("id", "n", F.coalesce("class", "id").alias("class")), "members")
+    # Only sets that several documents have need a class; any other is its own.
+    classes = per_id.filter("n > 0").groupBy("key").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    members = scratch.save(join_groups(per_id, classes, ["key"], ["id"], "left").select("id", "n", F.coalesce("class", "id").alias("class")), "members")
     heads = members.filter("n > 0 and id = class").select("id")
 
     prefixes = scratch.save(_prefixes(rows, frequencies, width, percent).join(heads, "id", "left_semi").dropDuplicates(["id"]), "prefixes")

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from tidewright.llm import words
 from tidewright.llm.ngram_join import packed_texts
 from tidewright.llm.recompression import Windows
+from tidewright.llm.skew import join_groups
 from tidewright.llm.worker import drop, slices
 
 #: What a row's place says: nothing; repeated for certain, and to be counted with others; the same, and not to be counted.
@@ -64,7 +65,7 @@ def copies(rows: DataFrame) -> DataFrame:
     """(of, digests, mixed): ids with texts that an earlier id has too, as digests, and ids of several texts."""
     own = rows.select("id", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("digest"))
     first = own.groupBy("digest").agg(F.min(F.struct("id")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = own.join(first, "digest").filter(~F.col("id").eqNullSafe(F.col("least.id"))).select("id", "digest", F.lit(False).alias("mixed"))
+    later = join_groups(own, first, ["digest"], ["id"]).filter(~F.col("id").eqNullSafe(F.col("least.id"))).select("id", "digest", F.lit(False).alias("mixed"))
     mixed = own.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("id", F.lit(None).cast("binary").alias("digest"), F.lit(True).alias("mixed"))
     return later.unionByName(mixed).groupBy(F.col("id").alias("of")).agg(F.collect_set("digest").alias("digests"), F.max("mixed").alias("mixed"))
 
