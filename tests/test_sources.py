@@ -1,4 +1,5 @@
 import hashlib
+import io
 import json
 import lzma
 import re
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import aggregates
-from tidewright.sources import dumps, exports, html, loading, packs
+from tidewright.sources import dumps, exports, html, loading, packs, sheets
 
 
 def test_tuples_with_escapes_nulls_and_several_rows():
@@ -303,3 +304,16 @@ def test_ordered_digests_follow_rows_and_order(spark):
     while len(level) > 1:
         level = [hashlib.sha256("".join(level[i : i + 10]).encode()).hexdigest() for i in range(0, len(level), 10)]
     assert one.sha256 == level[0] and digest(rows.limit(0), ["k"]).n == 0
+
+
+def test_sheets_keep_text_numbers_and_gaps():
+    rows = [(1, "a <&> \"b\"\n c", None), (2.5, None, "x" * 40_000), (None, "=1+1", "é\x01")]
+    data = sheets.write_workbook(["n", "t", "long"], rows, ("n",))
+    assert list(sheets.read_workbook(data)) == [["n", "t", "long"], ["1", "a <&> \"b\"\n c", None], ["2.5", None, "x" * 40_000], [None, "=1+1", "é"]]
+    assert [sheets.column_number(sheets.column_name(i)) for i in range(2000)] == list(range(2000)) and sheets.column_name(701) == "ZZ"
+    shared = io.BytesIO()
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(shared, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>k</t></si><si><r><t>two </t></r><r><t>runs</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="B1" t="s"><v>0</v></c></row><row r="2"><c r="B2" t="s"><v>1</v></c><c r="C2"><f>1+1</f><v>2</v></c></row></sheetData></worksheet>')
+    assert list(sheets.read_workbook(shared.getvalue())) == [[None, "k"], [None, "two runs", "2"]]

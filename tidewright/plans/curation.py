@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from tidewright.functions import text as T
-from tidewright.operators import aggregates, classification, ledger, validation
+from tidewright.operators import aggregates, classification, joins, ledger, validation
 from tidewright.plans.base import Tables, query
-from tidewright.sources import html, loading, packs
+from tidewright.sources import html, loading, packs, sheets
 
 
 @query("""
@@ -304,3 +304,16 @@ def k2_article_packs(t: Tables) -> DataFrame:
 @query("SELECT page_id, 'http://xn--bcher-kva.example/' || page_id AS url FROM pages")
 def x14_idna_hosts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.url_parts(F.concat(F.lit("HTTP://Bücher.example:80/"), "page_id", F.lit("#x"))).alias("url"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey AS k, p_name, p_size FROM part), i AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN p_name || ' <&>' ELSE p_name END AS p_name, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 3 <> 0)
+SELECT s.k, CASE WHEN i.k IS NULL THEN 'MISSING' WHEN i.p_name <> s.p_name OR i.p_size <> s.p_size THEN 'UPDATE' ELSE 'IGNORE' END AS action, CASE WHEN i.p_size <> s.p_size THEN ['p_size'] ELSE [] END AS protected_changed FROM s LEFT JOIN i ON s.k = i.k
+""")
+def s26_sheets(t: Tables) -> DataFrame:
+    """Edited workbooks, one a brand, read back and held against the table; sizes are protected."""
+    base = t.part.select(F.col("p_partkey").alias("k"), "p_name", "p_size", "p_brand")
+    edited = base.filter("k % 3 <> 0").withColumns({"p_name": F.concat("p_name", F.when(F.col("k") % 5 == 0, " <&>").otherwise("")), "p_size": F.col("p_size") + F.when(F.col("k") % 7 == 0, 1).otherwise(0)})
+    books = sheets.workbooks(edited, "p_brand", ["k", "p_name", "p_size"], ("k", "p_size"))
+    rows = sheets.sheet_rows(books, "p_brand", "workbook", ["k", "p_name", "p_size"]).select(F.col("k").cast("long").alias("k"), "p_name", F.col("p_size").cast("int").alias("p_size"))
+    return joins.row_actions(rows, base.select("k", "p_name", "p_size"), "k", ["p_name", "p_size"], ["p_size"]).drop("changed")
