@@ -100,10 +100,13 @@ def s28_linked_data_rewrite(t: Tables) -> DataFrame:
     return dumps.rewritten(triples, "http://new.org/c").select("s", "p", "o")
 
 
-@query()
-def k1_k2_packs(t: Tables) -> DataFrame:
+@query("SELECT source, CAST(count(*) AS BIGINT) AS members, true AS whole FROM documents GROUP BY 1")
+def k1_packs(t: Tables) -> DataFrame:
+    """All documents in bounded ZIPs, and whether every ZIP is what its manifest says."""
     rows = t.documents.select("source", F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("name"), "text")
-    return packs.packed(rows, "source", "name", "text").drop("zip")
+    made = packs.packed(rows, "source", "name", "text")
+    bad = packs.verified_packs(made, ["source", "part"]).select("source", "part", F.lit(True).alias("bad")).distinct()
+    return made.join(bad, ["source", "part"], "left").groupBy("source").agg(F.sum("members").alias("members"), (F.count("bad") == 0).alias("whole"))
 
 
 @query("SELECT c_custkey, CAST(count(o_orderkey) AS INT) AS n_orders, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")

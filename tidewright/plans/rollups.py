@@ -167,9 +167,13 @@ def a23_rejection_rate(t: Tables) -> DataFrame:
     return g.filter(F.col("rejected") >= 0.05 * (F.col("rejected") + F.col("accepted")))
 
 
-@query()
-def a24_a25_fingerprint(t: Tables) -> DataFrame:
-    return aggregates.fingerprint(t.documents, ["doc_id", "text"])
+@query("""
+WITH r AS (SELECT sha256(to_json({'doc_id': doc_id, 'text': text})) AS h, (row_number() OVER (ORDER BY doc_id, text) - 1) // 1000 AS b, doc_id, text FROM documents),
+b AS (SELECT b, sha256(string_agg(h, '' ORDER BY doc_id, text)) AS h FROM r GROUP BY 1), c AS (SELECT b // 1000 AS c, sha256(string_agg(h, '' ORDER BY b)) AS h FROM b GROUP BY 1)
+SELECT (SELECT count(*) FROM documents) AS n, CASE WHEN (SELECT count(*) FROM b) = 1 THEN (SELECT h FROM b) ELSE (SELECT min(h) FROM c) END AS sha256
+""")
+def a24_catalogue_fingerprint(t: Tables) -> DataFrame:
+    return aggregates.ordered_digest(t.documents, ["doc_id", "text"], ["doc_id", "text"])
 
 
 @query("SELECT g AS grp, count(*) AS concepts FROM (SELECT unnest([p_brand, p_type]) AS g FROM part) GROUP BY 1")

@@ -80,7 +80,10 @@ def x9_language_code(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.language_code(tag, {"eng": "en"}).alias("code"))
 
 
-@query()
+@query("""
+WITH w AS (SELECT doc_id, unnest(list_concat(['first one'], list_transform(string_split(text, ' '), lambda x: trim(regexp_replace(replace(regexp_extract(x, '^[^\\[\\]|#]*'), '_', ' '), '\\s+', ' ', 'g'))))) AS x FROM documents)
+SELECT doc_id, list_sort(list(DISTINCT CASE left(x, 1) WHEN 'ß' THEN 'SS' ELSE upper(left(x, 1)) END || substr(x, 2))) AS links FROM w WHERE length(x) BETWEEN 1 AND 240 AND NOT contains(x, ':') AND NOT starts_with(x, '/') GROUP BY 1
+""")
 def x10_wiki_links(t: Tables) -> DataFrame:
     from tidewright.sources import html
 
@@ -125,7 +128,7 @@ def x17_candidate_ids(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", a.alias("a"), T.candidate_key("lang", "source", "doc_id", prefix="V28_", joint="/", length=24).alias("b"))
 
 
-@query()
+@query("""SELECT conv_id, turn, 'PROP2_' || left(sha256('{"page_id":' || conv_id || ',"statement":' || to_json(text) || '}'), 40) AS fact_key FROM conversations""")
 def x20_canonical_keys(t: Tables) -> DataFrame:
     from pyspark.sql.types import StringType
 
@@ -257,7 +260,10 @@ def x40_serialized_size(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.length(F.to_json(F.struct("item_id", "text"))).cast("long").alias("chars"))
 
 
-@query()
+@query("""
+WITH h AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)
+SELECT page_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h
+""")
 def x41_deterministic_uuid(t: Tables) -> DataFrame:
     import uuid
 
