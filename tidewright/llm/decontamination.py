@@ -8,18 +8,23 @@ Words are compared in lower case and without punctuation.
   stays, step by step, as a random bit of (step, word) says, and writes down the
   word it points at. Sequences at a small edit distance give strings at a small
   Hamming distance, as walks that have gone apart meet again.
-* Bit sampling: each table looks at a few random steps of one walk. The number
-  of tables is set so that a pair at the greatest allowed edit distance meets in
-  some table with probability ``recall`` (measured on edited copies of items).
+* Bit sampling: each table looks at a few random steps of one walk. For items of
+  about the same number of allowed edits, tables are added until ``recall`` of
+  edited copies at the greatest distance meet their item in one of them. The
+  embedding stretches k edits to as many as k * k, so with very many edits no
+  reasonable number of tables does: where ``MOST_TABLES`` don't reach the recall,
+  every window that shares a run of words with the item is verified, which loses
+  nothing.
 * A window of an item's size is embedded where the text shares one run of words
   with the item, at the start which that run gives it. The run has q <= 3 words,
   the most of which any text within e edits keeps one: ``m - q + 1 - q * e >= 1``.
   So no place that holds an item is passed over, and text that has nothing of any
   item isn't embedded; which windows are candidates, for which items, only the
   tables decide.
-* Every pair that meets in a table is verified by the exact edit distance, in a
-  band of diagonals that an alignment of at most e edits can reach: rows of
-  ``4 * e + 1`` cells, so an item of 10,000 words takes 10,000 vector operations.
+* Pairs that meet in a table are verified by the exact edit distance. Windows of
+  one document and item that lie within e words of each other are verified
+  together, in a band of diagonals that an alignment of at most e edits can reach:
+  an item of 10,000 words takes 10,000 vector operations, once.
 
 Items are a stated query set: they are dealt by their texts into blocks of at
 most ``BLOCK_BYTES`` (one item at least); each block is broadcast and meets all
@@ -58,7 +63,9 @@ PERCENT_EDITS = 20
 RECALL = 0.99
 WALKS = 8
 STEPS_IN_TABLE = 2
-CALIBRATION_ITEMS = 64
+CALIBRATION_ITEMS = 16
+CALIBRATION_COPIES = 24
+MOST_TABLES = 96
 _WIDE_PUNCTUATION = re.compile("[ «»‐-‧‰-⁞、。]")
 _PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -74,15 +81,18 @@ def normal_words(texts: list[str | None]) -> list[bytes]:
     return found
 
 
-def embed(flat: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int) -> np.ndarray:
-    """The strings (walks x sequences x ``steps`` words) of all walks over each ``flat[start:end]``; 0 past the end."""
+def embed(flat: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The words (walks x sequences x ``wanted`` steps, sorted) of all walks over each ``flat[start:end]``; 0 past the end."""
     at = np.repeat(start.astype(np.int64)[None], WALKS, 0)
-    out = np.zeros((WALKS, len(start), steps), np.uint64)
+    out = np.zeros((WALKS, len(start), len(wanted)), np.uint64)
     flat = flat if len(flat) else np.zeros(1, np.uint64)
     walk = (np.arange(WALKS, dtype=np.uint64) << np.uint64(32))[:, None]
-    for j in range(steps):
+    k = 0
+    for j in range(int(wanted[-1]) + 1 if len(wanted) else 0):
         word = np.where(at < end, flat[np.minimum(at, len(flat) - 1)], np.uint64(0))
-        out[:, :, j] = word
+        if wanted[k] == j:
+            out[:, :, k] = word
+            k += 1
         at += (words.mix(word ^ (walk | np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)).astype(np.int64)
     return out
 
@@ -90,15 +100,17 @@ def embed(flat: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int) -> n
 def least_edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
     """Least word edits from ``item`` to any stretch of ``text``, and where the first such stretch starts.
 
-    ``text`` is at most ``2 * most`` words longer than the item; more than ``most`` edits come as ``most + 1``.
+    More than ``most`` edits come as ``most + 1``.
     """
-    # A cell holds edits << 32 | start; row i has the cells of text places i - most ... i + 3 * most.
+    # A cell holds edits << 32 | start; row i has the cells of text places i - most ... i + wide + most,
+    # where ``wide`` is how much longer the text is: no alignment of at most ``most`` edits leaves them.
     one, never = np.int64(1) << 32, (np.int64(most) + 1) << 32
-    width = 4 * most + 1
+    wide = max(0, len(text) - len(item))
+    width = wide + 2 * most + 1
     step = np.arange(width, dtype=np.int64) * one
-    padded = np.concatenate([np.full(most + 1, -1, np.int64), text.view(np.int64), np.full(len(item) + 4 * most + 1, -1, np.int64)])
+    padded = np.concatenate([np.full(most + 1, -1, np.int64), text.view(np.int64), np.full(len(item) + wide + 2 * most + 1, -1, np.int64)])
     inside = np.arange(len(padded)) - most - 1 < len(text)
-    place = np.arange(-most, 3 * most + 1)
+    place = np.arange(-most, wide + most + 1)
     before = np.where((place >= 0) & (place <= len(text)), np.maximum(place, 0), never)
     own = item.view(np.int64)
     for i in range(1, len(item) + 1):
@@ -126,7 +138,7 @@ class Items:
         ends = np.cumsum(counts)
         self.words = [hashes[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
         self.size = counts.astype(np.int64)
-        self.edits = self.size * percent // 100
+        self.edits, self.percent = self.size * percent // 100, percent
         self.gram = np.zeros(len(block), np.int64)
         for q in (1, 2, 3):
             self.gram[(self.size - q + 1 - q * self.edits >= 1) & (self.size >= q)] = q
@@ -143,57 +155,66 @@ class Items:
             seen = np.zeros(1 << 20, bool)
             seen[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.indexes.append((q, seen, grams[order], item[order], offset[order]))
-        rng = np.random.default_rng(7)
-        self.tables = self._plan(rng, recall)
+        self._plan(np.random.default_rng(7), recall)
         self.keys: dict[int, list] = {}
 
-    def _plan(self, rng, recall: float) -> list[tuple[int, np.ndarray]]:
-        """Tables as (walk, fractions of the walk to look at)."""
-        agree = []
-        some = [k for k in range(len(self.ids)) if self.edits[k]]
-        for k in (some if len(some) <= CALIBRATION_ITEMS else rng.choice(some, CALIBRATION_ITEMS, replace=False)):
-            own, edited = self.words[k], list(self.words[k])
+    def _plan(self, rng, recall: float) -> None:
+        """The tables (a walk, and fractions of 3 m steps to look at), and how many of them items of some edits need."""
+        # A walk over m words is inside them for m steps at least, and for about 2 m; the first tables look at the former.
+        self.tables = [(t % WALKS, np.sort(rng.random(STEPS_IN_TABLE)) / 3 * (1 if t < WALKS else 2)) for t in range(MOST_TABLES)]
+        #: By the bits of the number of edits; None: the tables don't reach the recall.
+        self.enough: dict[int, int | None] = {0: WALKS}
+        for bits in sorted({int(e).bit_length() for e in self.edits.tolist()} - {0}):
+            alike = [k for k, e in enumerate(self.edits.tolist()) if e.bit_length() == bits]
+            some = alike if len(alike) <= CALIBRATION_ITEMS else rng.choice(alike, CALIBRATION_ITEMS, replace=False).tolist()
+            met = np.concatenate([self._copies_met(rng, k) for k in some])
+            share = np.logical_or.accumulate(met, 1).mean(0)
+            self.enough[bits] = int((share >= recall).argmax()) + 1 if (share >= recall).any() else None
+
+    def _copies_met(self, rng, k: int) -> np.ndarray:
+        """(copies x tables): in which tables copies with the most edits meet item k."""
+        own, copies = self.words[k], []
+        for _ in range(CALIBRATION_COPIES):
+            edited = own.tolist()
             for _ in range(int(self.edits[k])):
-                place, kind = int(rng.integers(len(edited))), rng.integers(3)
-                new = np.uint64(rng.integers(1 << 62))
-                edited[place : place + (kind != 1)] = [new] if kind != 2 else []
-                edited = edited or [new]
-            both = np.concatenate([own, np.array(edited, np.uint64)])
-            steps = 3 * len(own)
-            a, b = np.array([0, len(own)]), np.array([len(own), len(both)])
-            agree += [float((x == y).mean()) for x, y in embed(both, a, b, steps)]
-        p = max(0.05, float(np.quantile(agree, 0.1))) if agree else 1.0
-        meets = min(p**STEPS_IN_TABLE, 1 - 1e-9)
-        number = max(WALKS, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
-        return [(t % WALKS, rng.random(STEPS_IN_TABLE)) for t in range(number)]
-
-    def _table_keys(self, walks: np.ndarray, steps: int) -> Iterator[np.ndarray]:
-        for walk, places in self.tables:
-            seen = walks[walk][:, np.minimum((places * steps).astype(int), steps - 1)]
-            yield words.join_hashes(seen[:, 0], seen[:, 1])
-
-    def _meet(self, m: int, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                place, kind = int(rng.integers(max(1, len(edited)))), rng.integers(3)
+                edited[place : place + (kind != 1)] = [int(rng.integers(1 << 62))] if kind != 2 else []
+            copies.append(np.array((edited + [0] * len(own))[: len(own)], np.uint64))
+        laid = np.concatenate([own, *copies])
+        at = np.arange(len(copies) + 1) * len(own)
+        met = np.zeros((len(copies), len(self.tables)), bool)
+        for t, (inside, key) in enumerate(self._table_keys(len(own), laid, at, at + len(own), len(self.tables))):
+            if len(inside) and inside[0] == 0:
+                met[inside[1:] - 1, t] = key[1:] == key[0]
+        return met
+
+    def _table_keys(self, m: int, flat: np.ndarray, start: np.ndarray, end: np.ndarray, tables: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each table the sequences that are inside at its steps, and their keys; past its end a walk meets nothing."""
+        steps = [(walk, np.minimum((places * 3 * m).astype(int), 3 * m - 1)) for walk, places in self.tables[:tables]]
+        wanted = np.unique(np.concatenate([at for _, at in steps]))
+        walks = embed(flat, start, end, wanted)
+        for walk, at in steps:
+            seen = walks[walk][:, np.searchsorted(wanted, at)]
+            inside = np.flatnonzero((seen != 0).all(1))
+            yield inside, words.join_hashes(seen[inside, 0], seen[inside, 1])
+
+    def _meet(self, m: int, tables: int, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of those that meet in some table, for windows and items of m words."""
-        steps = 3 * m
         if m not in self.keys:
             own = np.flatnonzero(self.size == m)
-            laid = np.concatenate([self.words[k] for k in own])
             at = np.arange(len(own)) * m
-            tables = []
-            for key in self._table_keys(embed(laid, at, at + m, steps), steps):
+            self.keys[m] = []
+            for inside, key in self._table_keys(m, np.concatenate([self.words[k] for k in own]), at, at + m, tables):
                 order = np.argsort(key, kind="stable")
-                tables.append((key[order], own[order]))
-            self.keys[m] = tables
-        found = set()
-        walks = embed(flat, start, end, steps)
-        for key, (sorted_, own) in zip(self._table_keys(walks, steps), self.keys[m], strict=True):
+                self.keys[m].append((key[order], own[inside[order]]))
+        found = [np.zeros(0, np.int64)]
+        for (inside, key), (sorted_, own) in zip(self._table_keys(m, flat, start, end, tables), self.keys[m], strict=True):
             a, b = np.searchsorted(sorted_, key, "left"), np.searchsorted(sorted_, key, "right")
             hit = np.flatnonzero(b > a)
             n = (b - a)[hit]
-            window = np.repeat(hit, n)
             item = own[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[hit], n)]
-            found.update((window << 32 | item).tolist())
-        both = np.array(sorted(found), np.int64)
+            found.append(np.repeat(inside[hit], n) << 32 | item)
+        both = np.unique(np.concatenate(found))
         return both >> 32, both & 0xFFFFFFFF
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
@@ -221,15 +242,26 @@ class Items:
                 item, offset, place, doc = item_of[entry], offset_of[entry], np.repeat(place, n), np.repeat(doc, n)
                 start = np.maximum(place - offset, first[doc])
                 for m in np.unique(self.size[item]).tolist():
-                    windows[m].append((doc[self.size[item] == m], start[self.size[item] == m]))
+                    own = self.size[item] == m
+                    windows[m].append((doc[own], start[own], item[own]))
             for m, parts in windows.items():
-                doc, start = np.concatenate([d for d, _ in parts]), np.concatenate([s for _, s in parts])
-                _, once = np.unique(doc << 32 | start, return_index=True)
-                doc, start = doc[once], start[once]
-                window, item = self._meet(m, flat, start, np.minimum(start + m, last[doc]))
-                for w, k in zip(window.tolist(), item.tolist(), strict=True):
-                    d, e = int(doc[w]), int(self.edits[k])
-                    low, high = max(int(first[d]), int(start[w]) - e), min(int(last[d]), int(start[w]) + m + e)
+                doc, start, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((item, start, doc))
+                doc, start, item = doc[order], start[order], item[order]
+                tables = self.enough[int(m * self.percent // 100).bit_length()]
+                if tables is not None:
+                    once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])
+                    doc, start = doc[once], start[once]
+                    window, item = self._meet(m, tables, flat, start, np.minimum(start + m, last[doc]))
+                    doc, start = doc[window], start[window]
+                e = int(m * self.percent // 100)
+                # Windows of a document and item, near ones together.
+                order = np.lexsort((start, item, doc))
+                doc, start, item = doc[order], start[order], item[order]
+                begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > e)])) if len(doc) else doc
+                for x, y in zip(begins.tolist(), np.append(begins[1:], len(doc)).tolist(), strict=True) if len(doc) else ():
+                    d, k = int(doc[x]), int(item[x])
+                    low, high = max(int(first[d]), int(start[x]) - e), min(int(last[d]), int(start[y - 1]) + m + e)
                     near = flat[low:high]
                     key = (k, near.tobytes())
                     if key not in verified:

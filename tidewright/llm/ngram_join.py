@@ -35,10 +35,13 @@ How it scales:
 The result gives each document its component under the links. Component labels
 and link counts need no list of pairs, and none is collected anywhere.
 
-Defined results: null texts and texts without words have no shingles, link with
+``MOST_MATCHES`` bounds l, and sets of fewer than ``LONG_SET`` shingles take l = 1:
+that changes what a search costs, never which pairs it finds.
+
+Defined results: texts of any length count with all their shingles; null texts and texts without words have no shingles, link with
 nothing and are their own component; equal texts link; rows that repeat an id
 count as one document with the shingles of the row whose text sorts first; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

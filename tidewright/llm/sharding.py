@@ -21,10 +21,13 @@ placed by a broadcast of that bounded table, all others by a join on the group.
 Slots are numbered by (shard, hash bucket of the id) with offsets from a prefix
 sum of the bucket counts, so no task sees a whole shard.
 
-Defined results: a null text has size 1, crc 0 and forms a group of its own;
+Defined results: ties between partial partitions go to the one formed first, those
+between subsets to the lower number, and slots to the hash of the row, so a shard
+holds the same rows in every run; texts of any length count with all their bytes;
+a null text has size 1, crc 0 and forms a group of its own;
 an empty text has size 1, crc 0; repeated rows are all placed (same group, one
 slot each); null ids are placed like any other; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
