@@ -248,3 +248,24 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Cluster)
     assert hashlib.sha256(scratch.shared_dir(spark).encode()).digest()
+
+
+def test_long_runs_take_the_short_lines_in_them(spark):
+    rng = random.Random(6)
+    lines = [prose(rng, n) for n in (30, 25, 12, 11)] + ["x", "y", ""]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 5)))) for i in range(60)]
+    docs += [(90, f"{lines[0]}\nx\none"), (91, f"two\n{lines[0]}\nx"), (92, f"two\n{lines[0]}\nx")]
+    seen, gone = {}, defaultdict(set)
+    for d, t in docs:
+        own = t.split("\n")
+        for size in (1, 2, 3):
+            for s in range(len(own) - size + 1):
+                run = tuple(own[s : s + size])
+                if size == 3 or len(" ".join(run).split()) >= 20:
+                    if run in seen:
+                        gone[d].update(range(s, s + size))
+                    seen.setdefault(run, (d, s))
+    found = {r.id: r for r in line_dedup.delete_repeated_runs(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), min_words=20).collect()}
+    for d, t in docs:
+        kept = [x for i, x in enumerate(t.split("\n")) if i not in gone[d]]
+        assert (found[d].n_removed, found[d].text) == (len(gone[d]), "\n".join(kept)), d

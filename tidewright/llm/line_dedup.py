@@ -23,7 +23,8 @@ overlap make up a document's maximal repeated runs, and these are deleted.
 So a line goes if and only if it lies in ``min_lines`` consecutive lines of its
 document that also stand earlier (in a document of smaller id, or further up).
 With ``min_words``, so does a shorter run of at least so many words: each place
-is judged in the interval of the fewest lines that hold ``min_words`` words.
+is judged in the intervals of all numbers of lines, up to ``min_lines``, that hold
+``min_words`` words.
 
 Lines end at ``\\n``. A line that a third of all documents have is one row of
 each partial count; the join that hands ranks back has it as a skewed key, which
@@ -113,9 +114,13 @@ def _later() -> Column:
     return ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.at") == F.col("at")))
 
 
-def _places() -> list[Column]:
-    """id and place: the line, the number of lines from it and the text's tag."""
-    return [F.col("id"), (F.shiftleft(F.col("at").cast("long"), 32) + F.col("tag")).alias("place")]
+def _places(size: int, min_lines: int) -> list[Column]:
+    """id and place: the line and the number of lines from it as one number, and the text's tag."""
+    return [F.col("id"), (F.shiftleft(F.col("at").cast("long") * min_lines + size - 1, 32) + F.col("tag")).alias("place")]
+
+
+def _long_enough(size: int) -> Column:
+    return F.col("need").between(1, size)
 
 
 def _rank(scratch: Scratch, rows: DataFrame, x: str, y: str, label: str) -> DataFrame:
@@ -135,26 +140,27 @@ def _ahead(rows: DataFrame, step: int) -> DataFrame:
 def later_copies(lines: DataFrame, scratch: Scratch, min_lines: int) -> tuple[DataFrame, int]:
     """(id, place) of each place from which a run goes, and the number of doubling rounds.
 
-    A place is the line and, in the lower 32 bits, the text's tag; -1 - tag stands for a whole text that is a copy.
+    A place is the line times ``min_lines`` plus the run's lines less one and, in the lower 32 bits, the text's
+    tag; -1 - tag stands for a whole text that is a copy.
     """
     every = scratch.save(lines, "lines")
     copies = scratch.save(_copies(every.filter("at < 0")), "texts")
     saved = every.filter("at >= 0").join(copies, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left_anti")
     # Rows that repeat an id and a text are one; only lines that occur again are left here.
     now = scratch.save(_rank(scratch, saved, "a", "b", "one").dropDuplicates(["id", "tag", "at"]), "one")
-    marks = [copies.select(F.col("_id").alias("id"), (-1 - F.col("_tag")).alias("place")), now.filter((F.col("need") == 1) & _later()).select(*_places())]
+    marks = [copies.select(F.col("_id").alias("id"), (-1 - F.col("_tag")).alias("place")), now.filter(_long_enough(1) & _later()).select(*_places(1, min_lines))]
     h, rounds = 1, 0
     while not now.isEmpty():
         for size in range(h + 1, min(2 * h, min_lines + 1)):
-            here = _ahead(now, size - h).filter(F.col("need") == size)
+            here = _ahead(now, size - h).filter(_long_enough(size))
             groups = _intervals(here, "rank", "next").withColumnsRenamed({"rank": "_x", "next": "_y"})
             met = here.withColumnsRenamed({"rank": "_x", "next": "_y"}).join(groups, ["_x", "_y"])
-            marks.append(scratch.save(met.filter(_later()).select(*_places()), f"copies{size}"))
+            marks.append(scratch.save(met.filter(_later()).select(*_places(size, min_lines)), f"copies{size}"))
         rounds += 1
         now = scratch.save(_rank(scratch, _ahead(now, h), "rank", "next", f"round{rounds}"), f"round{rounds}")
         h *= 2
         if h <= min_lines:
-            marks.append(now.filter((F.col("need") == h) & _later()).select(*_places()))
+            marks.append(now.filter(_long_enough(h) & _later()).select(*_places(h, min_lines)))
     found = marks[0]
     for more in marks[1:]:
         found = found.unionByName(more)
@@ -168,20 +174,25 @@ def _delete(joined: DataFrame, min_lines: int, min_words: int | None, others: li
         unpacker = zstandard.ZstdDecompressor()
         for batch in slices(batches):
             texts = [None if x is None else unpacker.decompress(x) for x in batch.column(1).to_pylist()]
-            kept, removed, runs, size = [], [], [], []
+            kept, removed, runs, sizes = [], [], [], []
             for text, marks in zip(texts, places_of(batch.column(2)), strict=True):
                 lines = [] if text is None else text.split(b"\n")
-                need, tag = _needs(lines, min_lines, min_words), _tag(text)
-                at = np.flatnonzero(need) if (marks == -1 - tag).any() else (marks >> 32)[(marks >= 0) & (marks & 0xFFFFFFFF == tag)]
+                tag = _tag(text)
+                if (marks == -1 - tag).any():
+                    at = np.flatnonzero(_needs(lines, min_lines, min_words))
+                    size = np.minimum(min_lines, len(lines) - at)
+                else:
+                    at, size = np.divmod((marks >> 32)[(marks >= 0) & (marks & 0xFFFFFFFF == tag)], min_lines)
+                    size = size + 1
                 cover = np.zeros(len(lines) + 1, np.int64)
                 np.add.at(cover, at, 1)
-                np.add.at(cover, at + need[at], -1)
+                np.add.at(cover, at + size, -1)
                 gone = np.cumsum(cover)[:-1] > 0
-                size.append(len(lines))
+                sizes.append(len(lines))
                 removed.append(int(gone.sum()))
                 runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
                 kept.append(text if not removed[-1] else b"\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), *batch.columns[3:]], ["id", "text", "n_lines", "n_removed", "n_runs", *others])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), *batch.columns[3:]], ["id", "text", "n_lines", "n_removed", "n_runs", *others])
 
     kinds = [f"`{x}` {joined.schema[x].dataType.simpleString()}" for x in others]
     return joined.select("id", "packed", "found", *others).mapInArrow(run, ", ".join([f"id {joined.schema['id'].dataType.simpleString()}, text string, n_lines long, n_removed long, n_runs long", *kinds]))

@@ -122,6 +122,30 @@ ORACLES: dict[str, str] = {
                CASE WHEN text IS NOT NULL THEN sha256(kept) END AS kept_sha256
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id
     """,
+    "op4_long_runs": r"""
+        WITH d AS (
+          SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS w FROM documents
+        ), v AS (
+          SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], chr(10)) AS run
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)
+        ), l AS (
+          SELECT doc_id, s, n, md5(run) AS h FROM v WHERE n = 3 OR len(regexp_extract_all(run, '[^\x20\x09-\x0D]+')) >= 50
+        ), r AS (
+          SELECT doc_id, s, n FROM (SELECT doc_id, s, n, row_number() OVER (PARTITION BY n, h ORDER BY doc_id, s) AS k FROM l) WHERE k > 1
+        ), gone AS (
+          SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM r
+        ), p AS (
+          SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS line FROM d WHERE len(w) > 0
+        ), k AS (
+          SELECT p.doc_id, count(gone.p) AS n_removed, count(gone.p) - count(before.p) AS n_runs,
+                 coalesce(string_agg(line, chr(10) ORDER BY p.p) FILTER (gone.p IS NULL), '') AS kept
+          FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.p = gone.p
+          LEFT JOIN gone AS before ON gone.doc_id = before.doc_id AND gone.p = before.p + 1 GROUP BY 1
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+               CASE WHEN text IS NOT NULL THEN sha256(kept) END AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
     "op6_recompression": r"""
         WITH d AS (
           SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
