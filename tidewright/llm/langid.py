@@ -49,7 +49,7 @@ LANG_CHARS = 40_000
 TOTAL_CHARS = 320_000
 SEGMENT = 256
 #: Characters that are parsed side by side.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 #: Letters with a column of their own in the table of steps.
 DENSE = 48
 _MOST_LABELS = 2_000
@@ -96,7 +96,7 @@ class CrossParser:
         tables, self.roots, self.bits, states, rare = [], [], [], 0, []
         for label in self.labels:
             step, length = self._automaton([self.codes([text])[0] for text in sample[label]])
-            table = np.full((len(step), self.width), -1, np.int64)
+            table = np.full((len(step), self.width), -1, np.int32)
             for state, out in enumerate(step):
                 for c, to in out.items():
                     if c < self.width:
@@ -104,15 +104,18 @@ class CrossParser:
                     else:
                         rare.append((state + states, c, to + states))
             # A phrase starts with every step out of the root, and with every step that leaves a match.
-            root = np.where(table[0] < 0, 0, table[0])
             starts = table < 0
             starts[0] = True
-            table = np.where(table < 0, root, table) + states + np.where(starts, _NEW, 0)
+            np.copyto(table, np.maximum(table[0], 0), where=table < 0)
+            table += np.int32(states)
+            np.add(table, np.int32(_NEW), out=table, where=starts)
             table[:, 0] = np.arange(len(step)) + states
-            tables.append(table.astype(np.int32))
+            n = len(step)
+            del step, starts
+            tables.append(table)
             self.roots.append(states)
             self.bits.append(np.log2(max(2, length)))
-            states += len(step)
+            states += n
         if states >= _NEW:
             raise ValueError("the sample is too large")
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
