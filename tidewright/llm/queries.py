@@ -74,7 +74,9 @@ def op9_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: what the patterns find, and all spans."""
     docs = table(spark, sf_dir, "documents")
     found = pii.find_spans(docs, pii.fit(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    # A lambda of two arguments, be the second a default, gets the place in the array as its second.
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     every = F.concat("base", "added")
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(every).alias("spans"))
 
