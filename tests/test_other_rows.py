@@ -31,3 +31,9 @@ def test_counts_of_personal_data_are_those_of_the_patterns(spark, tmp_path):
         digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         wanted = [sum(k == kind for k, _, _ in base) for kind in range(4)]
         assert ([found[i].n_email, found[i].n_ip, found[i].n_card, found[i].n_phone], found[i].base_sha256) == (wanted, digest), text
+
+
+def test_branch_of_more_concepts_than_one_may_have(spark, tmp_path):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    written(part.crossJoin(spark.range(301)).withColumn("p_partkey", F.col("p_partkey") + 200 * F.col("id")).drop("id"), tmp_path, "part")
+    same_as_sql(spark, "s23_branch", str(tmp_path))

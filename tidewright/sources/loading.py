@@ -289,12 +289,15 @@ def _refuse(rows: DataFrame, what: str, column: str) -> None:
         raise ValueError(f"{what}: {found}")
 
 
-def checked_branch(spec: dict, concepts: DataFrame, mappings: DataFrame | None = None, bridges: DataFrame | None = None) -> dict[str, DataFrame]:
+def checked_branch(spec: dict, concepts: DataFrame, mappings: DataFrame | None = None, bridges: DataFrame | None = None, *, part: str | None = None) -> dict[str, DataFrame]:
     """A branch's tables after strict checks: concepts, qids (concept_id, qid) and active bridges.
 
     ``spec`` is the manifest (branch_id, vocabulary, discovery); concepts have ``concept_id``; mappings
     mapping_id, status, system and id; bridges the columns of ``BRIDGE_COLUMNS``. Whatever breaks a rule
     is an error that names up to five offenders; mappings that are no candidates are left out.
+
+    A branch has at most ``MOST_CONCEPTS`` concepts. ``part`` names a column of all tables that deals them
+    over branches of one manifest: these are checked together, each by all rules, and keep the column.
     """
     safe = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,119}$"
     for name in ("branch_id", "vocabulary"):
@@ -303,32 +306,35 @@ def checked_branch(spec: dict, concepts: DataFrame, mappings: DataFrame | None =
     limits = spec.get("discovery") or {}
     if not isinstance(limits.get("auto_exact_category_roots"), bool) or any(not low <= int(limits.get(k, -1)) <= high for k, (low, high) in BOUNDS.items()):
         raise ValueError(f"bounds of discovery: {limits}")
-    if not 0 < concepts.limit(MOST_CONCEPTS + 1).count() <= MOST_CONCEPTS:
+    parts = [part] if part else []
+    key = [*parts, "concept_id"]
+    if concepts.isEmpty() or not concepts.groupBy(*parts).count().filter(F.col("count") > MOST_CONCEPTS).isEmpty():
         raise ValueError("no concepts, or too many")
     _refuse(concepts.filter(~F.coalesce(F.col("concept_id").rlike(safe), F.lit(False))), "concepts without a valid id", "concept_id")
-    _refuse(concepts.groupBy("concept_id").count().filter("count > 1"), "repeated concepts", "concept_id")
+    _refuse(concepts.groupBy(*key).count().filter("count > 1"), "repeated concepts", "concept_id")
     spark = concepts.sparkSession
-    ids = concepts.select("concept_id")
-    qids = spark.createDataFrame([], "concept_id string, qid string")
+    ids = concepts.select(*key)
+    own_part = [f"{part} {ids.schema[part].dataType.simpleString()}"] if part else []
+    qids = spark.createDataFrame([], ", ".join([*own_part, "concept_id string, qid string"]))
     if mappings is not None:
-        own = mappings.select(F.regexp_extract("mapping_id", r"^wd-p3916-(concept\d+)$", 1).alias("concept_id"), F.col("id").alias("qid"), "status", "system")
-        qids = own.filter("status = 'candidate' and system = 'wikidata'").filter(F.col("qid").rlike("^Q[1-9][0-9]*$")).join(ids, "concept_id", "left_semi").select("concept_id", "qid").distinct()
-    active = spark.createDataFrame([], "concept_id string, category_title string, justification string, depth int")
+        own = mappings.select(*parts, F.regexp_extract("mapping_id", r"^wd-p3916-(concept\d+)$", 1).alias("concept_id"), F.col("id").alias("qid"), "status", "system")
+        qids = own.filter("status = 'candidate' and system = 'wikidata'").filter(F.col("qid").rlike("^Q[1-9][0-9]*$")).join(ids, key, "left_semi").select(*key, "qid").distinct()
+    active = spark.createDataFrame([], ", ".join([*own_part, "concept_id string, category_title string, justification string, depth int"]))
     if bridges is not None:
         missing = [c for c in BRIDGE_COLUMNS if c not in bridges.columns]
         if missing:
             raise ValueError(f"bridges lack the columns {missing}")
-        rows = bridges.select(*[F.trim(c).alias(c) for c in BRIDGE_COLUMNS])
+        rows = bridges.select(*parts, *[F.trim(c).alias(c) for c in BRIDGE_COLUMNS])
         from tidewright.operators.filters import topic_category
 
-        _refuse(rows.join(ids, "concept_id", "left_anti"), "bridges of unknown concepts", "concept_id")
+        _refuse(rows.join(ids, key, "left_anti"), "bridges of unknown concepts", "concept_id")
         _refuse(rows.filter(~F.coalesce(topic_category("category_title"), F.lit(False))), "bridges to no topic", "category_title")
-        _refuse(rows.groupBy("concept_id", "category_title").count().filter("count > 1"), "repeated bridges", "category_title")
+        _refuse(rows.groupBy(*key, "category_title").count().filter("count > 1"), "repeated bridges", "category_title")
         _refuse(rows.filter(~F.coalesce(F.col("status").isin(*BRIDGE_STATES), F.lit(False))), "unknown states of bridges", "status")
         live = rows.filter(F.col("status") == BRIDGE_STATES[0]).withColumn("depth", F.col("depth_limit").try_cast("int"))
         good = (F.length("justification") >= 15) & F.col("depth").between(0, int(limits["max_reviewed_root_depth"]))
         _refuse(live.filter(~F.coalesce(good, F.lit(False))), "bridges that aren't qualified", "category_title")
-        active = live.select("concept_id", "category_title", "justification", "depth")
+        active = live.select(*key, "category_title", "justification", "depth")
     return {"concepts": concepts, "qids": qids, "bridges": active}
 
 
