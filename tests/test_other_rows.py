@@ -49,3 +49,30 @@ def test_claims_of_short_and_missing_texts(spark, tmp_path):
     texts = [None, "", "  ", "x" * 18, "x" * 19, "x" * 19 + " ", " " + "x" * 19, "x" * 20, "y" * 59 + "  z"]
     written(spark.createDataFrame([(13 * n, k, text) for n, text in enumerate(texts) for k in range(13)], "conv_id long, turn long, text string"), tmp_path, "conversations")
     same_as_sql(spark, "x36_claim_validation", str(tmp_path))
+
+
+def test_links_meet_pages_of_several_names_once(spark):
+    links = spark.createDataFrame([(s, t, n) for s in (1, 2, 3, None) for t in (1, 1, 2, 3) for n in (0, 1)], "source long, target_id long, ns long")
+    targets = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (1, "a")], "target_id long, title string")
+    pages = spark.createDataFrame([(0, "a", 1), (0, "a", 1), (1, "a", 7), (0, "b", 7), (1, "b", 8), (None, "b", 9), (0, None, 8), (0, "a", None)], "ns long, title string, page long")
+    found = sorted(map(tuple, joins.resolved_links(links, targets, pages).collect()))
+    assert found == [(1, 7), (1, 8), (2, 1), (2, 7), (2, 8), (3, 1), (3, 7), (3, 8)]
+
+
+def test_resolved_links_of_pages_of_one_name_are_not_shuffled(spark):
+    links = spark.range(20).select(F.col("id").alias("source"), F.lit(1).cast("long").alias("target_id"), F.lit(0).cast("long").alias("ns"))
+    targets = spark.createDataFrame([(1, "a")], "target_id long, title string")
+    pages = spark.range(1000, 2000).select(F.lit(0).cast("long").alias("ns"), F.lit("a").alias("title"), F.col("id").alias("page"))
+    found = joins.resolved_links(links, targets, pages)
+    assert len(found.collect()) == 20_000
+    dealt = []
+
+    def walk(node):
+        if node.metrics().contains("shuffleRecordsWritten"):
+            dealt.append(node.metrics().apply("shuffleRecordsWritten").value())
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        for x in [*below, *([node.executedPlan()] if node.nodeName().startswith("AdaptiveSparkPlan") else []), *([node.plan()] if "QueryStage" in node.nodeName() else [])]:
+            walk(x)
+
+    walk(found._jdf.queryExecution().executedPlan())
+    assert dealt and max(dealt) <= 1000

@@ -68,9 +68,17 @@ def unified_links(legacy: DataFrame, by_id: DataFrame, targets: DataFrame) -> Da
 
 
 def resolved_links(links: DataFrame, targets: DataFrame, pages: DataFrame) -> DataFrame:
-    """(source, page): links to pages by (namespace, title), each once, none to itself."""
-    found = links.join(targets, "target_id").join(pages, ["ns", "title"])
-    return found.filter(F.col("source") != F.col("page")).select("source", "page").distinct()
+    """(source, page): links to pages by (namespace, title), each once, none to itself.
+
+    What a source links to and the names of pages are made distinct before they meet, so it meets a page of
+    one name once, and those rows aren't shuffled; only pages of several names are made distinct afterwards.
+    """
+    wanted = links.join(targets, "target_id").select("source", "ns", "title").distinct()
+    names = pages.select("ns", "title", "page").filter("ns is not null and title is not null").distinct()
+    count = names.groupBy("page").agg(F.count(F.lit(1)).alias("_names"))
+    named = names.join(count, "page")
+    meet = lambda own: wanted.join(named.filter(own), ["ns", "title"]).filter(F.col("source") != F.col("page")).select("source", "page")
+    return meet("_names = 1").unionByName(meet("_names > 1").distinct())
 
 
 def cardinality_classes(pairs: DataFrame, left: str, right: str) -> DataFrame:
