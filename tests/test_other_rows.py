@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import SF, oracle, rows
 from tests.llm.test_llm import brute_spans
-from tidewright.llm import pii, queries
+from tidewright.llm import pii, queries, substring_dedup
 from tidewright.operators import joins
 from tidewright.plans import registry
 
@@ -33,6 +33,17 @@ def test_counts_of_personal_data_are_those_of_the_patterns(spark, tmp_path):
         assert ([found[i].n_email, found[i].n_ip, found[i].n_card, found[i].n_phone], found[i].base_sha256) == (wanted, digest), text
 
 
+def test_texts_with_one_symbol_or_none(spark):
+    """Groups of texts in which there is nothing to tell apart: copies, short texts, a single window."""
+    words = " ".join(f"w{i}" for i in range(20))
+    for texts, removed in (([None, "", "few words"], [0, 0, 0]), ([words], [0]), (["few words"] * 3, [0, 0, 0]), ([words] * 3, [0, 20, 20]), ([words, "x " + words], [0, 20]), (["a " * 19], [0]), (["a " * 20], [0]), (["a " * 21], [20])):
+        found = substring_dedup.cut_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+        assert [r.n_removed for r in sorted(found, key=lambda r: r.id)] == removed, texts
+    many = [(i, words if i % 2 else " ".join(f"v{i}x{j}" for j in range(20))) for i in range(64)]
+    found = substring_dedup.cut_repeats(spark.createDataFrame(many, "doc_id long, text string").repartition(64)).collect()
+    assert sum(r.n_removed for r in found) == 31 * 20
+
+
 def test_branch_of_more_concepts_than_one_may_have(spark, tmp_path):
     part = spark.read.parquet(f"{SF}/part.parquet")
     written(part.crossJoin(spark.range(301)).withColumn("p_partkey", F.col("p_partkey") + 200 * F.col("id")).drop("id"), tmp_path, "part")

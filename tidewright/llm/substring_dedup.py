@@ -73,8 +73,8 @@ def copies(rows: DataFrame) -> DataFrame:
 def _told_apart(keys: np.ndarray, order: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which rows of one group of texts are first of their key, in ``order``; and names to deal the others by."""
     last = np.ones(len(order), bool)
-    same = (keys[order][1:] == keys[order][:-1]).reshape(len(order[1:]), -1).all(1)
-    last[1:] = ~same
+    same = keys[order][1:] == keys[order][:-1]
+    last[1:] = ~(same if same.ndim == 1 else same.all(1))
     first = np.empty(len(order), bool)
     first[order] = last
     return first, words.mix(spread.astype(np.uint64) + np.arange(len(order), dtype=np.uint64)).view(np.int64)
