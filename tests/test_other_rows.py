@@ -87,3 +87,21 @@ def test_resolved_links_of_pages_of_one_name_are_not_shuffled(spark):
 
     walk(found._jdf.queryExecution().executedPlan())
     assert dealt and max(dealt) <= 1000
+
+
+def test_resolved_links_of_one_name_follow_each_other(spark):
+    pages = spark.range(60).select((F.col("id") % 2).alias("ns"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("title"), (F.col("id") + 10_000).alias("page"))
+    targets = spark.range(300).select(F.col("id").alias("target_id"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("title"))
+    links = spark.range(4000).select(F.col("id").alias("source"), F.explode(F.array(*[(F.col("id") + k) % 300 for k in (0, 0, 1, 2)])).alias("target_id"), (F.col("id") % 2).alias("ns"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "1g")
+    try:
+        found = joins.resolved_links(links, targets, pages)
+        tasks = found.rdd.mapPartitions(lambda rows: [[tuple(r) for r in rows]]).collect()
+    finally:
+        spark.conf.set(threshold, before)
+    assert sorted(r for rows in tasks for r in rows) == [(s, 10_000 + p) for s in range(4000) for p in range(60) if p % 2 == s % 2]
+    met = [[(page % 2, (page - 10_000) % 3) for _, page in rows] for rows in tasks]
+    turns = sum(1 for names in met for a, b in zip(names, names[1:]) if a != b)
+    assert turns < 6 * 32  # a name is met once in each share of its sources, not again and again

@@ -67,17 +67,29 @@ def unified_links(legacy: DataFrame, by_id: DataFrame, targets: DataFrame) -> Da
     return legacy.select("source", "category", "kind").unionByName(named)
 
 
-def resolved_links(links: DataFrame, targets: DataFrame, pages: DataFrame) -> DataFrame:
+def resolved_links(links: DataFrame, targets: DataFrame, pages: DataFrame, *, salts: int = 32, block: int = 1000) -> DataFrame:
     """(source, page): links to pages by (namespace, title), each once, none to itself.
 
     What a source links to and the names of pages are made distinct before they meet, so it meets a page of
     one name once, and those rows aren't shuffled; only pages of several names are made distinct afterwards.
+    What sources link to is dealt once, by name and ``salts`` shares of the sources: there it is made distinct, sorted
+    and merged with blocks of about ``block`` pages of the name. So sources of a name follow each other, and a file of
+    the result repeats their pages.
     """
-    wanted = links.join(targets, "target_id").select("source", "ns", "title").distinct()
+    salt = F.pmod(F.xxhash64("source"), F.lit(salts)).cast("int").alias("_salt")
+    wanted = links.join(targets, "target_id").select("source", "ns", "title", salt).repartition("ns", "title", "_salt").distinct()
     names = pages.select("ns", "title", "page").filter("ns is not null and title is not null").distinct()
-    count = names.groupBy("page").agg(F.count(F.lit(1)).alias("_names"))
-    named = names.join(count, "page")
-    meet = lambda own: wanted.join(named.filter(own), ["ns", "title"]).filter(F.col("source") != F.col("page")).select("source", "page")
+    named = names.join(names.groupBy("page").agg(F.count(F.lit(1)).alias("_names")), "page")
+
+    def meet(own: str) -> DataFrame:
+        some = named.filter(own)
+        blocks = F.ceil(F.count(F.lit(1)) / block).alias("_blocks")
+        dealt = some.join(some.groupBy("ns", "title").agg(blocks), ["ns", "title"]).withColumn("_block", F.pmod(F.xxhash64("page"), F.col("_blocks")))
+        lists = dealt.groupBy("ns", "title", "_block").agg(F.collect_list("page").alias("_pages"))
+        shares = lists.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+        found = wanted.join(shares.hint("merge"), ["ns", "title", "_salt"]).select("source", F.explode("_pages").alias("page"))
+        return found.filter(F.col("source") != F.col("page"))
+
     return meet("_names = 1").unionByName(meet("_names > 1").distinct())
 
 
